@@ -6,15 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ITEM = T._parse_datatype_string(
-    "id bigint, dataname string, task_type string, reasoning_type string, context string, "
-    "question string, options array<string>, answer string, split string"
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+
+ITEM = (
+    T.StructType()
+    .add("id", T.LongType())
+    .add("dataname", _TEXT)
+    .add("task_type", _TEXT)
+    .add("reasoning_type", _TEXT)
+    .add("context", _TEXT)
+    .add("question", _TEXT)
+    .add("options", _TEXTS)
+    .add("answer", _TEXT)
+    .add("split", _TEXT)
 )
 
-EXTRACTED = T._parse_datatype_string(
-    ITEM.simpleString()[len("struct<"):-1]
-    + ",predicates:array<string>,constants:array<string>,logical_expressions:array<string>"
-    + ",normalized_complexity_score:float"
+EXTRACTED = (
+    T.StructType(list(ITEM.fields))
+    .add("predicates", _TEXTS)
+    .add("constants", _TEXTS)
+    .add("logical_expressions", _TEXTS)
+    .add("normalized_complexity_score", T.FloatType())
 )
 
 OPTION_ANALYSIS_DDL = (
@@ -24,7 +36,7 @@ OPTION_ANALYSIS_DDL = (
     "is_correct:boolean>>"
 )
 
-PREDICTION = T._parse_datatype_string("label string, predict string")
+PREDICTION = T.StructType().add("label", _TEXT).add("predict", _TEXT)
 
 # Column name here -> key in the JSON files.
 FILE_NAMES = {

@@ -56,8 +56,10 @@ def _json(
     spark: SparkSession, path: str, ddl: str | T.StructType, extension: str, multi_line: bool,
     recursive: bool = True,
 ) -> DataFrame:
-    schema = T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl
-    schema = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    if isinstance(ddl, str):
+        schema = f"{ddl}, {_CORRUPT} string"
+    else:
+        schema = T.StructType([*ddl.fields, T.StructField(_CORRUPT, T.StringType())])
     return (
         _reader(spark, extension, recursive)
         .option("multiLine", str(multi_line).lower())
