@@ -1,6 +1,15 @@
 """Queries over the given tables, one per operator, with the SQL to compare."""
 
-from checks import q_bins, q_items, q_metrics, q_plans, q_scoring  # noqa: F401
+from checks import (  # noqa: F401
+    q_bins,
+    q_items,
+    q_joins,
+    q_metrics,
+    q_plans,
+    q_scoring,
+    q_sources,
+    q_streaming,
+)
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -578,7 +578,7 @@ def analysis_completions(spark, sf_dir):
     )
     kind = F.col("reasoning_type")
     text = (
-        F.when(kind == "FR", F.substring_index(whole, "}", -3))
+        F.when(kind == "FR", F.substr(whole, F.lit(1), F.length(whole) - 30))
         .when(kind == "ES", F.concat(F.lit("No analysis of "), "context"))
         .when(kind == "DE", F.concat(F.lit('{"option_analysis": [{"option_index": 0, '), "context"))
         .otherwise(whole)
@@ -593,7 +593,7 @@ def analysis_completions(spark, sf_dir):
   NULL::VARCHAR AS reject_reason FROM ({ANALYSIS_SQL}) WHERE reasoning_type = 'EN'
 UNION ALL
 SELECT id, NULL, NULL, NULL, NULL, NULL, NULL,
-  CASE WHEN reasoning_type = 'DE' THEN 'option_analysis is not valid JSON' ELSE 'option_analysis not found' END
+  CASE WHEN reasoning_type IN ('DE', 'FR') THEN 'option_analysis is not valid JSON' ELSE 'option_analysis not found' END
 FROM items WHERE reasoning_type <> 'EN'""",
         "items",
     ),
@@ -620,7 +620,7 @@ def parse_option_analysis(spark, sf_dir):
     "parse_option_analysis_literal",
     Q.sql(
         "SELECT id, CASE WHEN reasoning_type = 'EN' THEN 0 END::BIGINT AS n_options, "
-        "CASE WHEN reasoning_type = 'EN' THEN NULL WHEN reasoning_type = 'DE' THEN "
+        "CASE WHEN reasoning_type IN ('EN', 'FR') THEN NULL WHEN reasoning_type = 'DE' THEN "
         "'option_analysis is not valid JSON' ELSE 'option_analysis not found' END AS reject_reason FROM items",
         "items",
     ),

@@ -33,9 +33,13 @@ def task_type() -> Column:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items_of(table(spark, sf_dir, "documents"))
+
+
+def items_of(documents: DataFrame) -> DataFrame:
     """Canonical items from ``documents``."""
     mcqa = F.col("lang") == "en"
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("dataname"),
         task_type().alias("task_type"),
@@ -54,8 +58,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted_of(table(spark, sf_dir, "documents"))
+
+
+def extracted_of(documents: DataFrame) -> DataFrame:
     """Items with predicates, constants and expressions."""
-    return items(spark, sf_dir).select(
+    return items_of(documents).select(
         "*",
         F.split("context", ",").alias("predicates"),
         F.split("context", " ").alias("constants"),
@@ -98,6 +106,10 @@ def option_analysis() -> Column:
 
 
 def scoring_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring_input_of(table(spark, sf_dir, "documents"))
+
+
+def scoring_input_of(documents: DataFrame) -> DataFrame:
     """Extracted items with the fields of ``option_analysis`` that are scored."""
 
     def option(line: Column) -> Column:
@@ -108,7 +120,7 @@ def scoring_input(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("deduction_steps"),
         )
 
-    return extracted(spark, sf_dir).withColumn(
+    return extracted_of(documents).withColumn(
         "option_analysis", F.transform(F.split("context", "\n"), option)
     )
 

@@ -341,11 +341,11 @@ def read_jsonl_lenient(
 PREDICTIONS_FILE = "generated_predictions.jsonl"
 
 
-def _predictions(spark: SparkSession, path: str) -> DataFrame:
+def _predictions(spark: SparkSession, path: str, file_glob: str) -> DataFrame:
     schema = T.StructType([*PREDICTION.fields, T.StructField(_CORRUPT, T.StringType())])
     raw = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", PREDICTIONS_FILE)
+        .option("pathGlobFilter", file_glob)
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .schema(schema)
         .json(path)
@@ -358,10 +358,12 @@ def model_of_path(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
 
 
-def read_predictions_tree(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+def read_predictions_tree(
+    spark: SparkSession, roots: dict[str, str], file_glob: str = PREDICTIONS_FILE
+) -> DataFrame:
     """All prediction files below each data set's root, with ``dataset`` and ``model``."""
     trees = [
-        _predictions(spark, root)
+        _predictions(spark, root, file_glob)
         .withColumn("dataset", F.lit(dataset))
         .withColumn("model", model_of_path(F.col("_file")))
         for dataset, root in roots.items()
@@ -372,7 +374,9 @@ def read_predictions_tree(spark: SparkSession, roots: dict[str, str]) -> DataFra
     return whole
 
 
-def read_predictions_folders(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+def read_predictions_folders(
+    spark: SparkSession, folders: Sequence[str], file_glob: str = PREDICTIONS_FILE
+) -> DataFrame:
     """Predictions of an ordered list of folders; folders that cannot be read are skipped.
 
     Order by ``source_rank`` and the scan order to keep the list order.
@@ -380,7 +384,7 @@ def read_predictions_folders(spark: SparkSession, folders: Sequence[str]) -> Dat
     whole = None
     for rank, folder in enumerate(folders):
         try:
-            part = _predictions(spark, folder).withColumn("source_rank", F.lit(rank))
+            part = _predictions(spark, folder, file_glob).withColumn("source_rank", F.lit(rank))
         except AnalysisException:
             continue
         whole = part if whole is None else whole.unionByName(part)
