@@ -563,12 +563,12 @@ def parse_extraction(spark, sf_dir):
 
 
 ANALYSIS_SQL = f"""SELECT id, reasoning_type, (o_index - 1)::BIGINT AS option_index, o.line AS option_text,
-  array_to_string(string_split({Q.symbols('o.line')}, ','), {SEP}) AS preconditions,
-  {Q.symbols('o.line')} AS deduction_target,
+  array_to_string(string_split(o.line, ','), {SEP}) AS preconditions, 'so ' || o.line AS deduction_target,
   array_to_string(list_transform(string_split(o.line, '.'), lambda s: {Q.step_expression('s')}), {SEP}) AS expressions,
   o_index = 1 AS is_correct
-FROM (SELECT id, reasoning_type, unnest(list_transform(options, lambda x: {{'line': x}})) AS o,
-  generate_subscripts(options, 1) AS o_index FROM items)"""
+FROM (SELECT id, reasoning_type, unnest(list_transform(lines, lambda x: {{'line': x}})) AS o,
+  generate_subscripts(lines, 1) AS o_index
+  FROM (SELECT id, reasoning_type, string_split(sym, chr(10)) AS lines FROM extracted))"""
 
 
 def analysis_completions(spark, sf_dir):
@@ -595,7 +595,7 @@ UNION ALL
 SELECT id, NULL, NULL, NULL, NULL, NULL, NULL,
   CASE WHEN reasoning_type IN ('DE', 'FR') THEN 'option_analysis is not valid JSON' ELSE 'option_analysis not found' END
 FROM items WHERE reasoning_type <> 'EN'""",
-        "items",
+        "extracted",
     ),
 )
 def parse_option_analysis(spark, sf_dir):
@@ -619,9 +619,12 @@ def parse_option_analysis(spark, sf_dir):
 @query(
     "parse_option_analysis_literal",
     Q.sql(
-        "SELECT id, CASE WHEN reasoning_type = 'EN' THEN 0 END::BIGINT AS n_options, "
-        "CASE WHEN reasoning_type IN ('EN', 'FR') THEN NULL WHEN reasoning_type = 'DE' THEN "
-        "'option_analysis is not valid JSON' ELSE 'option_analysis not found' END AS reject_reason FROM items",
+        # a cut text keeps its first object whole when there is more than one line
+        """SELECT id, CASE WHEN whole THEN 0 END::BIGINT AS n_options, CASE WHEN whole THEN NULL
+  WHEN reasoning_type IN ('DE', 'FR') THEN 'option_analysis is not valid JSON'
+  ELSE 'option_analysis not found' END AS reject_reason
+FROM (SELECT *, reasoning_type = 'EN' OR reasoning_type = 'FR' AND contains(context, chr(10)) AS whole
+  FROM items)""",
         "items",
     ),
 )

@@ -88,7 +88,7 @@ def deduction_score(expressions: str) -> str:
 def step_expression(s: str) -> str:
     return (
         f"CASE WHEN length({s}) = 0 THEN 'N/A' WHEN length({s}) < 15 THEN 'Derivation cannot proceed' "
-        f"WHEN length({s}) < 25 THEN 'Derivation cannot proceed.' ELSE {symbols(s)} END"
+        f"WHEN length({s}) < 25 THEN 'Derivation cannot proceed.' ELSE {s} END"
     )
 
 
@@ -109,11 +109,11 @@ CTES = {
   FROM documents)""",
     "extracted": f"""extracted AS (
   SELECT *, string_split(context, ',') AS predicates, string_split(context, ' ') AS constants,
-    list_transform(string_split(context, '.'), lambda {_s}: {symbols(_s)}) AS logical_expressions
-  FROM items)""",
+    string_split(sym, '.') AS logical_expressions
+  FROM (SELECT *, {symbols('context')} AS sym FROM items))""",
     "analysed": f"""analysed AS (
-  SELECT *, list_transform(string_split(context, chr(10)), lambda {_line}: {{
-      'preconditions': string_split({symbols(_line)}, ','),
+  SELECT *, list_transform(string_split(sym, chr(10)), lambda {_line}: {{
+      'preconditions': string_split({_line}, ','),
       'expressions': list_transform(string_split({_line}, '.'), lambda {_s}: {step_expression(_s)})
     }}) AS option_analysis
   FROM extracted)""",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.operators.scoring import score_items
+from gradus.storage import spread
 
 # Letters that stand for brackets and connectives in the expressions made from prose.
 LETTERS, SYMBOLS = "hgwkbv", "()[]∧¬"
@@ -32,6 +33,10 @@ def task_type() -> Column:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_of(table(spark, sf_dir, "documents"))
 
@@ -58,55 +63,37 @@ def items_of(documents: DataFrame) -> DataFrame:
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted_of(table(spark, sf_dir, "documents"))
+    return extracted_of(documents(spark, sf_dir))
 
 
 def extracted_of(documents: DataFrame) -> DataFrame:
     """Items with predicates, constants and expressions."""
-    return items_of(documents).select(
+    return _with_symbols(documents).drop("sym")
+
+
+def _with_symbols(documents: DataFrame) -> DataFrame:
+    """Extracted items plus ``sym``, the context in symbols."""
+    return items_of(documents).withColumn("sym", symbols(F.col("context"))).select(
         "*",
         F.split("context", ",").alias("predicates"),
         F.split("context", " ").alias("constants"),
-        F.transform(F.split("context", r"\."), symbols).alias("logical_expressions"),
+        F.split("sym", r"\.").alias("logical_expressions"),
     )
 
 
 def step_expression(sentence: Column) -> Column:
+    """A sentence in symbols; the shortest ones stand for failed steps."""
     n = F.length(sentence)
     return (
         F.when(n == 0, "N/A")
         .when(n < 15, "Derivation cannot proceed")
         .when(n < 25, "Derivation cannot proceed.")
-        .otherwise(symbols(sentence))
+        .otherwise(sentence)
     )
 
 
-def option_analysis() -> Column:
-    """One option per line; its clauses are preconditions, its sentences steps."""
-
-    def option(line: Column, i: Column) -> Column:
-        return F.struct(
-            i.alias("option_index"),
-            line.alias("option_text"),
-            F.split(symbols(line), ",").alias("preconditions"),
-            symbols(line).alias("deduction_target"),
-            F.transform(
-                F.split(line, r"\."),
-                lambda s, j: F.struct(
-                    (j + 1).cast("string").alias("step"),
-                    s.alias("task"),
-                    step_expression(s).alias("expression"),
-                    F.upper(s).alias("result"),
-                ),
-            ).alias("deduction_steps"),
-            (i == 0).alias("is_correct"),
-        )
-
-    return F.transform(F.split("context", "\n"), option)
-
-
 def scoring_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring_input_of(table(spark, sf_dir, "documents"))
+    return scoring_input_of(documents(spark, sf_dir))
 
 
 def scoring_input_of(documents: DataFrame) -> DataFrame:
@@ -114,19 +101,49 @@ def scoring_input_of(documents: DataFrame) -> DataFrame:
 
     def option(line: Column) -> Column:
         return F.struct(
-            F.split(symbols(line), ",").alias("preconditions"),
+            F.split(line, ",").alias("preconditions"),
             F.transform(
                 F.split(line, r"\."), lambda s: F.struct(step_expression(s).alias("expression"))
             ).alias("deduction_steps"),
         )
 
-    return extracted_of(documents).withColumn(
-        "option_analysis", F.transform(F.split("context", "\n"), option)
+    lines = F.split("sym", "\n")
+    return (
+        _with_symbols(documents)
+        .withColumn("option_analysis", F.transform(lines, option))
+        .drop("sym")
     )
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(spark, sf_dir).withColumn("option_analysis", option_analysis())
+    """Extracted items with whole option analyses: one option per line of the text.
+
+    The clauses of a line are its preconditions, its sentences the steps.
+    """
+
+    def option(line: Column, i: Column) -> Column:
+        return F.struct(
+            i.alias("option_index"),
+            line.alias("option_text"),
+            F.split(line, ",").alias("preconditions"),
+            F.concat(F.lit("so "), line).alias("deduction_target"),
+            F.transform(
+                F.split(line, r"\."),
+                lambda s, j: F.struct(
+                    (j + 1).cast("string").alias("step"),
+                    s.alias("task"),
+                    step_expression(s).alias("expression"),
+                    F.concat(F.lit("gives "), s).alias("result"),
+                ),
+            ).alias("deduction_steps"),
+            (i == 0).alias("is_correct"),
+        )
+
+    return (
+        _with_symbols(documents(spark, sf_dir))
+        .withColumn("option_analysis", F.transform(F.split("sym", "\n"), option))
+        .drop("sym")
+    )
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

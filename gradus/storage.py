@@ -34,3 +34,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = run_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input that has fewer scan partitions than cores.
+
+    A scan is only that narrow when it holds a few MB per core, so this moves
+    little data and never touches a large input.  Scoring is costly per byte and
+    would otherwise leave cores idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
