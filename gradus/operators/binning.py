@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from gradus.functions import bins as B
 from gradus.functions.hashing import hash60
 from gradus.functions.labels import error_flag
-from gradus.operators.ordering import broadcast_if_small
 from gradus.storage import materialise
 
 SELECT_SALTS = 32
@@ -149,7 +148,8 @@ def select_per_bin(
         rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*ranks))
         slim = slim.withColumn("rank", rank).filter(F.col("rank") <= n)
     chosen = slim.select(*dict.fromkeys([*within, *row_key]), "bin", "rank")
-    chosen = broadcast_if_small(materialise(chosen, "selection"))
+    # at most n rows per bin and group; written so that the join knows its size
+    chosen = materialise(chosen, "selection")
     return df.join(chosen, list(dict.fromkeys([*within, *row_key])))
 
 

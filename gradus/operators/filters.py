@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions.bins import is_valid_score
 from gradus.functions.text import strip
+from gradus.storage import materialise
 
 # Fixed values
 KNOWN_TASKS = ("BQA", "MCQA")
@@ -64,13 +65,18 @@ def dedup_items(
     key: Column | None = None,
     row_key: Sequence[str] = ("id",),
 ) -> DataFrame:
-    """First row (by ``row_key``) of each group of equal content.
+    """First row (by ``row_key``, unique) of each group of equal content.
 
     Copies are counted out by a map-side combined ``min`` over (hash, row key),
     so a content repeated in a third of all rows costs one row per task in the
-    shuffle; the records themselves are touched only by the final semi join.
+    shuffle.  Only the keys of the later copies are written; the records are
+    anti-joined with them, by broadcast when that table is small on disk.
     """
     key = content_key("context", "question") if key is None else key
-    slim = df.select(key.alias("_key"), F.struct(*row_key).alias("_row"))
-    first = slim.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row.*")
-    return df.join(first, list(row_key), "left_semi")
+    row = F.col(row_key[0]) if len(row_key) == 1 else F.struct(*row_key)
+    first = df.select(key.alias("_key"), row.alias("_row")).groupBy("_key").agg(F.min("_row").alias("_row"))
+    kept = first.select(
+        *([F.col("_row").alias(row_key[0])] if len(row_key) == 1 else ["_row.*"])
+    )
+    copies = df.select(*row_key).join(kept, list(row_key), "left_anti")
+    return df.join(materialise(copies, "copies"), list(row_key), "left_anti")

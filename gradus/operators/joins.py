@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.operators.ordering import broadcast_if_small, with_position
+from gradus.functions.hashing import hash60, uniform
+from gradus.operators.ordering import with_position
+from gradus.storage import materialise
 
 # Fixed value: suffix of a repair file.
 REPAIR_SUFFIX = r"(?i)_error\.json$"
@@ -40,7 +43,9 @@ def upsert(
         .groupBy(*keys)
         .agg(F.min(order).alias(order))
     )
-    patches = first.join(repaired, keys)
+    # Written first, so that its size is known: a small table is broadcast and the
+    # target is not shuffled, a large one is sort-merge joined.
+    patches = materialise(first.join(repaired, keys), "patches")
     joined = target.join(patches, [*keys, order], "left")
     return joined.select(
         *keys,
@@ -125,8 +130,6 @@ def split_train_eval(
     exactly ``ceil(fraction * n)`` rows with ``exact``.  Mode 2: ``eval_df`` is
     the evaluation set.
     """
-    from gradus.functions.hashing import hash60, uniform
-
     train = F.lit("train")
     if mode == 0:
         return df.withColumn("role", train)
@@ -143,10 +146,10 @@ def split_train_eval(
     slim = with_position(
         df.select(*row_key).withColumn("_h", hash60(seed, *keys)), ["_h", *row_key]
     )
-    n_eval = -int(-slim.count() * fraction // 1)
+    n_eval = math.ceil(slim.count() * fraction)
     held = slim.filter(F.col("position") < n_eval).select(*row_key, F.lit("eval").alias("_role"))
     return (
-        df.join(broadcast_if_small(held), list(row_key), "left")
+        df.join(materialise(held, "held-out"), list(row_key), "left")
         .withColumn("role", F.coalesce("_role", train))
         .drop("_role")
     )

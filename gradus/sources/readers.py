@@ -159,9 +159,19 @@ def read_text_blocks(
     )
 
 
-def _bad_json() -> list[Column]:
+def _is_bad(anchor: str) -> Column:
+    """True for a record that did not parse.
+
+    Spark refuses a JSON scan that needs no field but the corrupt record, as in
+    counting the rejects, so the test mentions the field ``anchor`` as well.
+    """
+    corrupt = F.isnotnull(F.col(_CORRUPT)).cast("int")
+    return corrupt * 2 + F.isnull(F.col(f"`{anchor}`")).cast("int") >= 2
+
+
+def _bad_json(anchor: str) -> list[Column]:
     return [
-        F.when(F.col(_CORRUPT).isNotNull(), "invalid JSON").alias("reject_reason"),
+        F.when(_is_bad(anchor), "invalid JSON").alias("reject_reason"),
         F.col(_CORRUPT).alias("raw"),
     ]
 
@@ -194,7 +204,7 @@ def read_jsonl_mcqa(
             answer=F.col("answer"),
             split=_split(split_rules, default_split),
         ),
-        *_bad_json(),
+        *_bad_json("question"),
         *_scan_order(),
     )
 
@@ -231,7 +241,7 @@ def read_json_array_mcqa(
             answer=F.col("label"),
             split=_split(split_rules, default_split),
         ),
-        *_bad_json(),
+        *_bad_json("question"),
         *_scan_order(),
     )
 
@@ -259,7 +269,7 @@ def read_jsonl_premises(
             answer=X.truth_to_text(F.col("label")),
             split=_split(split_rules, default_split),
         ),
-        *_bad_json(),
+        *_bad_json("conclusion"),
         *_scan_order(),
     )
 
@@ -288,17 +298,21 @@ def read_nested_qa(
         X.reasoning_from_path(F.col("_metadata.file_path"), reasoning_rules).alias("_reasoning"),
         *_scan_order(),
     )
+    bad = [F.col("reject_reason"), F.col("raw")]
     samples = raw.select(
-        _CORRUPT, "_reasoning", *SCAN_ORDER, F.posexplode_outer("data_samples").alias("_sample", "_s")
+        *_bad_json("data_samples"),
+        "_reasoning",
+        *SCAN_ORDER,
+        F.posexplode_outer("data_samples").alias("_sample", "_s"),
     )
     pairs = samples.select(
-        _CORRUPT,
+        *bad,
         "_reasoning",
         *SCAN_ORDER,
         "_sample",
         F.col("_s.context").alias("_context"),
         F.posexplode_outer("_s.qa_pairs").alias("_pair", "_qa"),
-    ).filter(F.col("_qa").isNotNull() | F.col(_CORRUPT).isNotNull())
+    ).filter(F.col("_qa").isNotNull() | F.col("reject_reason").isNotNull())
     return pairs.select(
         *canonical(
             dataname,
@@ -309,7 +323,7 @@ def read_nested_qa(
             answer=F.col("_qa.answer"),
             split=split,
         ),
-        *_bad_json(),
+        *bad,
         *SCAN_ORDER,
         "_sample",
         "_pair",
@@ -324,8 +338,10 @@ def read_union_folder(
     Scalars and malformed files keep their text in ``raw`` with a reason.
     """
     raw = _json(spark, path, schema, extension, True)
-    fields = [f"`{c}`" for c in raw.columns if c != _CORRUPT]
-    return raw.select(*fields, *_bad_json(), *_scan_order())
+    fields = [c for c in raw.columns if c != _CORRUPT]
+    return raw.select(
+        *[F.col(f"`{c}`") for c in fields], *_bad_json(fields[0]), *_scan_order()
+    )
 
 
 def read_jsonl_lenient(
@@ -333,8 +349,10 @@ def read_jsonl_lenient(
 ) -> DataFrame:
     """Flat folder of JSON lines; lines that do not parse are dropped."""
     raw = _json(spark, path, schema, extension, False, recursive=False)
-    fields = [f"`{c}`" for c in raw.columns if c != _CORRUPT]
-    return raw.filter(F.col(_CORRUPT).isNull()).select(*fields, *_scan_order())
+    fields = [c for c in raw.columns if c != _CORRUPT]
+    return raw.filter(~_is_bad(fields[0])).select(
+        *[F.col(f"`{c}`") for c in fields], *_scan_order()
+    )
 
 
 # Fixed value: name of a prediction file.
@@ -350,7 +368,7 @@ def _predictions(spark: SparkSession, path: str, file_glob: str) -> DataFrame:
         .schema(schema)
         .json(path)
     )
-    return raw.filter(F.col(_CORRUPT).isNull()).select("label", "predict", *_scan_order())
+    return raw.filter(~_is_bad("label")).select("label", "predict", *_scan_order())
 
 
 def model_of_path(path: Column) -> Column:

@@ -16,6 +16,7 @@ from gradus.operators.generate import Generate, generate_batch
 from gradus.operators.joins import anti_join_done
 from gradus.operators.scoring import normalise, with_raw_score
 from gradus.sources.sinks import append_results
+from gradus.storage import spread
 
 KEYS = ("dataname", "id")
 
@@ -90,7 +91,7 @@ def incremental_score(items: DataFrame, stats: DataFrame, path: str, checkpoint:
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        append_results(normalise(with_raw_score(batch), frozen), path, batch_id)
+        append_results(normalise(with_raw_score(spread(batch)), frozen), path, batch_id)
 
     query = (
         items.writeStream.foreachBatch(handle)
