@@ -12,20 +12,28 @@ from pyspark.sql import functions as F
 
 # Fixed values
 BRACKETS = r"()\[\]{}"
+NESTED = r"[(\[{][^()\[\]{}]*[(\[{]"
 OPERATORS = "∧∨→¬~←"
 ARROW_TEXT = "->"
 PLAIN_RUN = r"[\x00-}\x7f]+"  # ASCII without the tilde
 
 
 def nesting_depth(expression: Column) -> Column:
-    """Largest running (opened - closed) count, at least 1; null for null."""
+    """Largest running (opened - closed) count, at least 1; null for null.
+
+    Unless an opening bracket follows another with no bracket between them, the
+    depth cannot pass 1; only the other texts are looked at bracket by bracket.
+    """
     kinds = F.translate(F.regexp_replace(expression, f"[^{BRACKETS}]+", ""), "[]{}", "()()")
     opened = F.filter(
         F.transform(F.split(kinds, ""), lambda c, i: F.when(c == "(", i + 1)),
         lambda p: p.isNotNull(),
     )
     deepest = F.array_max(F.transform(opened, lambda p, k: (k + 1) * 2 - p))
-    return F.when(expression.isNotNull(), F.greatest(F.lit(1), deepest))
+    return (
+        F.when(expression.rlike(NESTED), F.greatest(F.lit(1), deepest))
+        .when(expression.isNotNull(), F.lit(1))
+    )
 
 
 def count_operators(expression: Column) -> Column:

@@ -40,9 +40,16 @@ def preconditions_score(preconditions: Column) -> Column:
 
 
 def step_score(expression: Column, zero_markers: Sequence[str] = ZERO_MARKERS) -> Column:
-    """``D^2 * (operators + 1)`` of one step; 0 for the marker texts."""
-    text = strip(F.coalesce(expression, F.lit("")))
-    return F.when(text.isin(*zero_markers), F.lit(0.0)).otherwise(
+    """``D^2 * (operators + 1)`` of one step; 0 for the marker texts.
+
+    A text is trimmed only when it contains a marker, since trimming changes
+    neither depth nor operators.
+    """
+    text = F.coalesce(expression, F.lit(""))
+    named = F.lit(False)
+    for marker in zero_markers:
+        named = named | text.contains(marker)
+    return F.when(named & strip(text).isin(*zero_markers), F.lit(0.0)).otherwise(
         F.pow(nesting_depth(text).cast("double"), F.lit(2.0)) * (count_operators(text) + 1)
     )
 

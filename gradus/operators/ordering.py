@@ -18,6 +18,10 @@ from gradus.storage import materialise
 # monotonically_increasing_id keeps the partition number above this many bits.
 _ROW_BITS = 33
 BROADCAST_ROWS = 200_000
+# Columns the readers add: file, block of the file, row.
+SCAN_ORDER = ("_file", "_block", "_row")
+# Added by readers that unnest a record.
+NESTED_ORDER = ("_sample", "_pair")
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -87,16 +91,47 @@ def with_position(
 
 def assign_ids(
     df: DataFrame,
-    order_by: Sequence[Column | str] = ("_file", "_block", "_row"),
+    order_by: Sequence[Column | str] = SCAN_ORDER,
     start: int = 1,
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """Sequential ids in file order; ``order_by`` defaults to the readers' scan order."""
+    """Sequential ids.  The default is the order of the files as a reader scans them.
+
+    In scan order the rows are written as they come, without a shuffle: each file
+    block is read by one task, so its rows already stand in order and only the
+    counts of the blocks before are needed.
+    """
     kept = [c for c in df.columns if c != "id" and not c.startswith("_")]
-    numbered = with_position(df.drop("id"), order_by, within, start, "id")
+    if list(order_by) == list(SCAN_ORDER) and not within:
+        numbered = _positions_in_scan_order(df.drop("id"), start)
+    else:
+        numbered = with_position(df.drop("id"), order_by, within, start, "id")
     return numbered.select("id", *kept)
 
 
+def _positions_in_scan_order(df: DataFrame, start: int) -> DataFrame:
+    marked = materialise(df.withColumn("_mark", F.monotonically_increasing_id()), "scan")
+    block = list(SCAN_ORDER[:2])
+    blocks = marked.groupBy(*block).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min("_mark").alias("_first"),
+        F.max("_mark").alias("_last"),
+    )
+    # A block whose rows are not in one piece was moved by a shuffle after the scan.
+    if not blocks.filter(F.col("_last") - F.col("_first") + 1 != F.col("_rows")).isEmpty():
+        order = [c for c in (*SCAN_ORDER, *NESTED_ORDER) if c in df.columns]
+        return with_position(marked.drop("_mark"), order, start=start, name="id")
+    # One row per block of a file (some 128 MB of input), so the window is small.
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(
+        *block,
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + start).alias("_off"),
+    )
+    return marked.join(broadcast_if_small(offsets), block).select(
+        (F.col("_off") + F.col("_mark")).alias("id"), *[F.col(f"`{c}`") for c in df.columns]
+    )
+
+
 def order_by_score(
     df: DataFrame, score: str, tie: str, descending: bool = False
 ) -> DataFrame:

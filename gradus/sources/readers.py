@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradus.functions import text as X
+from gradus.operators.ordering import SCAN_ORDER
 from gradus.schema import PREDICTION
 
-SCAN_ORDER = ["_file", "_block", "_row"]
 ITEM_COLUMNS = [
     "id", "dataname", "task_type", "reasoning_type", "context", "question", "options", "answer",
     "split",

@@ -44,9 +44,16 @@ def test_blocks_keep_their_order_over_many_splits(spark, tmp_path):
         raw = R.read_text_blocks(spark, str(tmp_path), "blocks")
         assert raw.rdd.getNumPartitions() > 5
         items = assign_ids(R.accepted(raw)).select("id", "context").collect()
+        shuffled = assign_ids(R.accepted(raw).repartition(3)).select("id", "context").collect()
+        ids = assign_ids(R.accepted(raw))
+        assert "hashpartitioning" not in ids._jdf.queryExecution().executedPlan().toString().split(
+            "BroadcastExchange"
+        )[0]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert {(r.id, r.context) for r in items} == {(k + 1, f"context {k}") for k in range(n)}
+    expected = {(k + 1, f"context {k}") for k in range(n)}
+    assert {(r.id, r.context) for r in items} == expected
+    assert {(r.id, r.context) for r in shuffled} == expected
 
 
 def test_jsonl_mcqa(spark, tmp_path):
@@ -87,7 +94,7 @@ def test_premises(spark, tmp_path):
         {"premises": [], "conclusion": "d", "label": True},
         {"conclusion": "e", "label": "False"},
     ]
-    put(tmp_path, "folio_validation.jsonl", "\n".join(map(json.dumps, rows)))
+    put(tmp_path, "premises_validation.jsonl", "\n".join(map(json.dumps, rows)))
     items = R.accepted(R.read_jsonl_premises(spark, str(tmp_path), "premises")).collect()
     found = {r.question: (r.context, r.answer, r.split, r.options) for r in items}
     assert found == {
@@ -108,8 +115,9 @@ def test_nested(spark, tmp_path):
     put(tmp_path, "first_order_logic/x.json", json.dumps(document))
     put(tmp_path, "misc/y.json", json.dumps(document))
     raw = R.read_nested_qa(spark, str(tmp_path), "nested")
-    order = [*R.SCAN_ORDER, "_sample", "_pair"]
-    items = assign_ids(R.accepted(raw), order).orderBy("id").collect()
+    items = assign_ids(R.accepted(raw)).orderBy("id").collect()
+    moved = assign_ids(R.accepted(raw).repartition(4)).orderBy("id").collect()
+    assert [r.question for r in moved] == [r.question for r in items]
     assert [(r.id, r.context, r.question, r.answer) for r in items[:3]] == [
         (1, "c1", "q1", "yes"), (2, "c1", "q2", ""), (3, "c3", "q3", "no"),
     ]
