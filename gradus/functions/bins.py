@@ -35,6 +35,28 @@ def is_valid_score(score: Column) -> Column:
     return F.coalesce(score.between(0.0, 1.0), F.lit(False))
 
 
+def in_range(value: Column, edges: Sequence[float], last_closed: bool = True) -> Column:
+    """Within the outer edges; false for NaN, null for null."""
+    first, last = F.lit(float(edges[0])), F.lit(float(edges[-1]))
+    return (value >= first) & ((value <= last) if last_closed else (value < last))
+
+
+def bin_number(value: Column, edges: Sequence[float], closed: str = "left") -> Column:
+    """0-based bin of a value that is within the edges.
+
+    Filter with :func:`in_range` and number afterwards: a filter on the number
+    itself would be pushed down and repeat the value once per edge.
+    """
+    inner = [F.lit(float(e)) for e in edges[1:-1]]
+    if closed == "left":
+        passed = [value >= e for e in inner]
+    elif closed == "right":
+        passed = [value > e for e in inner]
+    else:
+        raise ValueError("closed must be 'left' or 'right'")
+    return reduce(lambda a, b: a + b, [p.cast("int") for p in passed], F.lit(0))
+
+
 def bin_index(
     value: Column,
     edges: Sequence[float],
@@ -47,17 +69,7 @@ def bin_index(
     ``last_closed`` is false; ``closed="right"`` means ``(lo, hi]`` with the
     lowest edge included.
     """
-    first, *inner, last = [F.lit(float(e)) for e in edges]
-    if closed == "left":
-        passed = [value >= e for e in inner]
-        inside = (value >= first) & ((value <= last) if last_closed else (value < last))
-    elif closed == "right":
-        passed = [value > e for e in inner]
-        inside = (value >= first) & (value <= last)
-    else:
-        raise ValueError("closed must be 'left' or 'right'")
-    index = reduce(lambda a, b: a + b, [p.cast("int") for p in passed], F.lit(0))
-    return F.when(inside, index)
+    return F.when(in_range(value, edges, last_closed), bin_number(value, edges, closed))
 
 
 def edge_at(index: Column, edges: Sequence[float]) -> Column:

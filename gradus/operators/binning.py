@@ -15,15 +15,40 @@ from gradus.storage import materialise
 SELECT_SALTS = 32
 
 
-def _bin_frame(df: DataFrame, edges: Sequence[float], closed_last: bool = True) -> DataFrame:
-    """All bins of an edge list: as many rows as there are bins."""
+def _per_bin(
+    df: DataFrame,
+    value: Column,
+    edges: Sequence[float],
+    measures: dict[str, Column],
+    by: Sequence[str] = (),
+    closed: str = "left",
+) -> DataFrame:
+    """Sum of each measure per bin (and group), empty bins included.
+
+    Every bin is a conditional sum of one aggregation, so each task sends one row
+    per group and no bin table is joined.  Rows are filtered by their value, not
+    by their bin: a filter on the bin would repeat the value once per edge.
+    """
     n = len(edges) - 1
-    index = F.col("id").cast("int")
-    return df.sparkSession.range(0, n, 1, 1).select(
-        index.alias("bin"),
-        B.edge_at(index, edges).alias("lower"),
-        B.edge_at(index + 1, edges).alias("upper"),
-        (index == (n - 1 if closed_last else -1)).alias("closed_right"),
+    binned = (
+        df.select(*by, value.alias("_v"), *[m.alias(k) for k, m in measures.items()])
+        .filter(B.in_range(F.col("_v"), edges))
+        .select(*by, B.bin_number(F.col("_v"), edges, closed).alias("_bin"), *measures)
+    )
+
+    def total(name: str, i: int) -> Column:
+        found = F.sum(F.when(F.col("_bin") == i, F.col(name)))
+        return F.coalesce(found, F.lit(0)).alias(name)
+
+    sums = F.array(*[F.struct(*[total(name, i) for name in measures]) for i in range(n)])
+    per_bin = binned.groupBy(*by).agg(sums.alias("_sums"))
+    return per_bin.select(*by, F.posexplode("_sums").alias("bin", "_m")).select(
+        *by,
+        "bin",
+        B.edge_at(F.col("bin"), edges).alias("lower"),
+        B.edge_at(F.col("bin") + 1, edges).alias("upper"),
+        (F.col("bin") == n - 1).alias("closed_right"),
+        "_m.*",
     )
 
 
@@ -36,52 +61,19 @@ def histogram(
 ) -> DataFrame:
     """Count per bin, empty bins included: (bin, lower, upper, closed_right, count)."""
     value = F.col(score) if isinstance(score, str) else score
-    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = (
-        df.select(
-            B.bin_index(value, edges, closed).alias("bin"),
-            *([] if weight is None else [weight.alias("_w")]),
-        )
-        .filter(F.col("bin").isNotNull())
-        .groupBy("bin")
-        .agg((n if weight is None else F.sum("_w")).alias("count"))
-    )
-    return (
-        _bin_frame(df, edges)
-        .join(F.broadcast(counts), "bin", "left")  # at most one row per bin
-        .withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint"))
-    )
+    one = F.lit(1).cast("bigint") if weight is None else weight
+    return _per_bin(df, value, edges, {"count": one}, closed=closed)
 
 
 def histogram_by(
     df: DataFrame,
     by: Sequence[str],
-    score: str = "score_norm",
+    score: Column | str = "score_norm",
     edges: Sequence[float] = B.UNIFORM_EDGES,
 ) -> DataFrame:
-    """Histogram per group, empty bins included, in one aggregation.
-
-    All bins of a group come from one conditional count each, so no dimension
-    table is joined and each group shuffles one row per task.
-    """
-    n = len(edges) - 1
-    index = B.bin_index(F.col(score), edges)
-    wide = (
-        df.filter(B.is_valid_score(F.col(score)))
-        .select(*by, index.alias("bin"))
-        .groupBy(*by)
-        .agg(
-            F.array(*[F.count(F.when(F.col("bin") == i, 1)) for i in range(n)]).alias("counts")
-        )
-    )
-    return wide.select(*by, F.posexplode("counts").alias("bin", "count")).select(
-        *by,
-        "bin",
-        B.edge_at(F.col("bin"), edges).alias("lower"),
-        B.edge_at(F.col("bin") + 1, edges).alias("upper"),
-        (F.col("bin") == n - 1).alias("closed_right"),
-        "count",
-    )
+    """Histogram per group with any valid score, empty bins included."""
+    value = F.col(score) if isinstance(score, str) else score
+    return _per_bin(df, value, edges, {"count": F.lit(1).cast("bigint")}, by)
 
 
 def merge_histograms(df: DataFrame) -> DataFrame:
@@ -105,8 +97,8 @@ def histogram_from_midpoints(
 
 
 def custom_bin(score: str = "score_norm") -> Column:
-    """Bin of the two-decimal score in the 16 selection bins."""
-    return B.bin_index(B.floor_2(F.col(score)), B.CUSTOM_EDGES)
+    """Bin of the two-decimal score in the 16 selection bins, for a valid score."""
+    return B.bin_number(B.floor_2(F.col(score)), B.CUSTOM_EDGES)
 
 
 def bin_counts(df: DataFrame, score: str = "score_norm") -> DataFrame:
@@ -158,9 +150,8 @@ def selection_report(
 ) -> DataFrame:
     """Per bin: rows, requested, selected; with the totals of the whole selection."""
     if within:
-        counts = histogram_by(
-            df.withColumn("_floor", B.floor_2(F.col(score))), within, "_floor", B.CUSTOM_EDGES
-        )
+        valid = df.filter(B.is_valid_score(F.col(score)))
+        counts = histogram_by(valid, within, B.floor_2(F.col(score)), B.CUSTOM_EDGES)
     else:
         counts = bin_counts(df, score)
     per_bin = counts.select(
@@ -190,22 +181,9 @@ def error_rate(
     labels = F.array(
         *[F.lit(B.range_label(edges[i], edges[i + 1], decimals)) for i in range(n)]
     )
-    stats = (
-        df.select(
-            B.bin_index(F.col(score), edges, "right").alias("bin"),
-            error_flag(F.col("label"), F.col("predict")).cast("bigint").alias("wrong"),
-        )
-        .filter(F.col("bin").isNotNull())
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("total"), F.sum("wrong").alias("errors"))
-    )
-    filled = (
-        _bin_frame(df, edges)
-        .select("bin")
-        .join(F.broadcast(stats), "bin", "left")  # at most one row per bin
-        .na.fill(0, ["total", "errors"])
-    )
-    return filled.select(
+    wrong = error_flag(F.col("label"), F.col("predict")).cast("bigint")
+    measures = {"total": F.lit(1).cast("bigint"), "errors": wrong}
+    return _per_bin(df, F.col(score), edges, measures, closed="right").select(
         F.col("bin").alias("bin_index"),
         F.element_at(labels, F.col("bin") + 1).alias("bin"),
         "total",
@@ -244,7 +222,9 @@ def bucket(score: Column) -> Column:
 
 def bucket_members(df: DataFrame, stage: int, score: str = "score_norm") -> DataFrame:
     """Rows of all buckets up to ``stage``."""
-    return df.withColumn("bucket", bucket(F.col(score))).filter(F.col("bucket") <= stage)
+    edges = B.BUCKET_EDGES[: stage + 2]
+    kept = df.filter(B.in_range(F.col(score), edges, last_closed=False))
+    return kept.withColumn("bucket", bucket(F.col(score)))
 
 
 def difficulty_masks(df: DataFrame, score: str = "score_norm") -> DataFrame:
