@@ -401,3 +401,11 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan
 
 
+
+
+def test_bins_do_not_repeat_the_score(spark):
+    """A filter on the bin would be pushed down and repeat the score once per edge."""
+    _, df = scored(spark)
+    made = normalise(df.drop("score_norm")).withColumns({"label": F.lit("a"), "predict": F.lit("b")})
+    for frame in (N.histogram(made), N.histogram_by(made, ["dataname"]), N.error_rate(made)):
+        assert max(line.count("EXP(") for line in plan_of(frame).splitlines()) <= 4
