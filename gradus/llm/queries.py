@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks.registry import QueryFn
 
+from gradus.llm.mixing import PART, STEPS, mix_sources
+from gradus.llm.shards import shard_by_bytes
 from gradus.llm.simhash import simhash_components
 
 QUERIES: dict[str, QueryFn] = {}
@@ -21,4 +23,47 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES["op5_simhash"] = op5_simhash
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes, equal texts together."""
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by the square root of the size of their source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources(docs, power=0.5, seed=7)
+
+
+# The steps are summed from 0 upwards, as the operator does; a mean above PART would
+# be drawn in parts.
+ORACLES["op10_mixing"] = f"""
+WITH RECURSIVE sizes AS (
+  SELECT source, count(*) AS n, sqrt(count(*)::DOUBLE) AS w FROM documents GROUP BY source
+),
+rates AS (
+  SELECT source, (SELECT sum(n) FROM sizes)::DOUBLE * w / (SELECT sum(w) FROM sizes) / n AS rate
+  FROM sizes
+),
+parts AS (SELECT source, rate, ceil(rate / {PART})::INT AS parts FROM rates),
+steps AS (
+  SELECT source, parts, rate / parts AS mean, 0 AS k, exp(-(rate / parts)) AS p, exp(-(rate / parts)) AS c FROM parts
+  UNION ALL
+  SELECT source, parts, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM steps WHERE k < {STEPS}
+),
+below AS (
+  SELECT source, parts, list(c ORDER BY k) FILTER (c < top) AS cs
+  FROM (SELECT *, max(c) OVER (PARTITION BY source) AS top FROM steps) GROUP BY source, parts
+),
+drawn AS (
+  SELECT d.doc_id, d.source, list_sum(list_transform(range(1, b.parts + 1), lambda j:
+    len(list_filter(b.cs, lambda c: c <= (
+      ('0x' || substr(md5('7|poisson|' || d.doc_id || '|' || j), 1, 15))::BIGINT >> 7) / 9007199254740992.0::DOUBLE)))) AS n
+  FROM documents d JOIN below b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, source, copy::INT AS copy,
+  ('0x' || substr(md5('7|order|' || doc_id || '|' || copy), 1, 15))::BIGINT AS shuffle_key
+FROM (SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy FROM drawn WHERE n > 0)
+"""
+
+for query in (op1_shards, op5_simhash, op10_mixing):
+    QUERIES[query.__name__] = query
