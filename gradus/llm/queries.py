@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from checks.registry import QueryFn
 
+from gradus.llm.chat import format_conversations, read_back
 from gradus.llm.mixing import PART, STEPS, mix_sources
 from gradus.llm.shards import shard_by_bytes
 from gradus.llm.simhash import simhash_components
+from gradus.llm.warc import archive_folder, read_warc, sha1_base32, write_warc
+from gradus.storage import materialise
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
@@ -65,5 +69,59 @@ SELECT doc_id, source, copy::INT AS copy,
 FROM (SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy FROM drawn WHERE n > 0)
 """
 
-for query in (op1_shards, op5_simhash, op10_mixing):
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived, read back by the index; revisits through what they refer to."""
+    index = write_warc(table(spark, sf_dir, "pages"), archive_folder(spark))
+    read = materialise(
+        read_warc(index).select(
+            "page_id",
+            "record_type",
+            "refers_to",
+            F.octet_length("payload").cast("long").alias("payload_bytes"),
+            sha1_base32(F.col("payload")).alias("payload_digest"),
+        ),
+        "warc-read",
+    )
+    whole = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    responses = read.where("record_type = 'response'").select(*whole)
+    targets = responses.where("page_id IS NOT NULL").groupBy(F.col("page_id").alias("target")).agg(
+        F.first("payload_bytes").alias("bytes"), F.first("payload_digest").alias("digest")
+    )
+    revisits = (
+        read.where("record_type = 'revisit'")
+        .join(targets, F.col("refers_to") == F.col("target"), "left")
+        .select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    )
+    return responses.unionByName(revisits)
+
+
+# SHA-1 in base 32: five hexadecimal digits at a time are four digits of base 32.
+ORACLES["op7_warc"] = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hex FROM pages
+),
+coded AS (
+  SELECT page_id, payload_bytes,
+    list_reduce(list_transform(range(8), lambda i: list_reduce(list_transform([32768, 1024, 32, 1], lambda d:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, 5 * i::INT + 1, 5))::INT // d % 32)::INT + 1, 1)),
+      lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest
+  FROM hashed
+),
+largest AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM coded)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM largest
+"""
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that imitates control strings, formatted and read back."""
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    spoof = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], messages.schema)
+    return read_back(format_conversations(messages.unionByName(spoof)))
+
+
+for query in (op1_shards, op5_simhash, op7_warc, op9_chat, op10_mixing):
     QUERIES[query.__name__] = query
