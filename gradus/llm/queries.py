@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from checks.registry import QueryFn
 
+from gradus.llm import pivots
+from gradus.llm.binary_codes import near_duplicates
 from gradus.llm.chat import format_conversations, read_back
 from gradus.llm.mixing import PART, STEPS, mix_sources
 from gradus.llm.shards import shard_by_bytes
 from gradus.llm.simhash import simhash_components
+from gradus.llm.tokens import count_tokens, write_token_files
 from gradus.llm.warc import archive_folder, read_warc, sha1_base32, write_warc
-from gradus.storage import materialise
+from gradus.storage import materialise, run_path
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
@@ -123,5 +126,35 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(messages.unionByName(spoof)))
 
 
-for query in (op1_shards, op5_simhash, op7_warc, op9_chat, op10_mixing):
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, counted in the flat files they were written to."""
+    docs = table(spark, sf_dir, "documents")
+    written = write_token_files(docs, run_path(spark, "tokens"))
+    counted = count_tokens(written.select("file"))
+    return written.join(counted, ["file", "ordinal"], "left").select(
+        F.col("id").alias("doc_id"), "n_tokens"
+    )
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all embeddings of one label."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of every 50th embedding, among all."""
+    index, shards = pivots.build_index(table(spark, sf_dir, "embeddings"))
+    return pivots.search(index, shards, index.where("id % 50 = 0"), k=5)
+
+
+for query in (
+    op1_shards,
+    op2_token_counts,
+    op3_embedding_dedup,
+    op4_nearest,
+    op5_simhash,
+    op7_warc,
+    op9_chat,
+    op10_mixing,
+):
     QUERIES[query.__name__] = query
