@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from checks.registry import QueryFn
 
 from gradus.llm import pivots
 from gradus.llm.binary_codes import near_duplicates
 from gradus.llm.chat import format_conversations, read_back
 from gradus.llm.mixing import PART, STEPS, mix_sources
+from gradus.llm.pieces import decode_documents, encode_documents
+from gradus.llm.quality import score_documents
 from gradus.llm.shards import shard_by_bytes
 from gradus.llm.simhash import simhash_components
 from gradus.llm.tokens import count_tokens, write_token_files
@@ -147,14 +150,39 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(index, shards, index.where("id % 50 = 0"), k=5)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from the labels that are not held out."""
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again: sizes and digests of both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_documents(docs)
+    decoded = decode_documents(
+        encoded.select(
+            "doc_id",
+            "pieces",
+            F.size("pieces").cast("long").alias("n_pieces"),
+            F.xxhash64("pieces").alias("pieces_xxh64"),
+        )
+    )
+    return decoded.select(
+        "doc_id", "n_pieces", "pieces_xxh64", F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 for query in (
     op1_shards,
     op2_token_counts,
     op3_embedding_dedup,
     op4_nearest,
     op5_simhash,
+    op6_quality,
     op7_warc,
+    op8_sentencepiece,
     op9_chat,
     op10_mixing,
 ):
     QUERIES[query.__name__] = query
+QUERIES["pipeline"] = corpus_pipeline.run

@@ -283,33 +283,40 @@ def simhash_components(
     block: int = BLOCK,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, fingerprint, component_id) for each row, and the columns of ``keep``.
+    """(id, fingerprint, component_id, kept) for each row, and the columns of ``keep``.
 
     A null or blank text has fingerprint 0 and links as any other fingerprint.
-    Repeated rows stay; rows of one id count one by one.  A null id takes no part in
-    the choice of the smallest id; a class of such rows only has a null component.
-    Building the frame runs the passes up to the components; the fingerprints are
-    written to the shared folder so that texts are read once.
+    ``kept`` holds for one row of each class: that of the smallest id, and the first
+    written of those if ids repeat.  A null id comes after all others; a class of such
+    rows only has a null component.  Repeated rows stay, and an empty table gives an
+    empty result.  Building the frame runs the passes up to the components; the
+    fingerprints (and ``keep``) are written to the shared folder, so texts are read once.
     """
     own = materialise(
         docs.select(
             F.col(id_col).alias("_id"),
             *keep,
             fingerprint_column(F.col(text_col), words).alias("_fp"),
+            F.monotonically_increasing_id().alias("_row"),
         ),
         "fingerprints",
     )
-    fps = own.select(F.col("_fp").alias("fp"))
-    classes = connected_components(simhash_links(fps, budget, block), "a", "b")
-    least = own.groupBy("_fp").agg(F.min("_id").alias("_least"))
+    classes = connected_components(
+        simhash_links(own.select(F.col("_fp").alias("fp")), budget, block), "a", "b"
+    )
+    first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    least = own.groupBy("_fp").agg(F.min(first).alias("_least"))
     rooted = least.join(classes, F.col("_fp") == F.col("node"), "left").select(
         "_fp", "_least", F.coalesce("root", "_fp").alias("_root")
     )
-    by_root = rooted.groupBy("_root").agg(F.min("_least").alias("_component"))
-    of_fp = rooted.join(by_root, "_root").select(F.col("_fp").alias("_of"), "_component")
+    by_root = rooted.groupBy("_root").agg(F.min("_least").alias("_first"))
+    of_fp = rooted.join(by_root, "_root").select(
+        F.col("_fp").alias("_of"), F.col("_first.id").alias("_component"), F.col("_first.row").alias("_kept")
+    )
     return own.join(materialise(of_fp, "classes"), F.col("_fp") == F.col("_of"), "left").select(
         F.col("_id").alias(id_col),
         *keep,
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
         F.col("_component").alias("component_id"),
+        (F.col("_row") == F.col("_kept")).alias("kept"),
     )
