@@ -104,7 +104,7 @@ def mix_sources(
     if any(w < 0 for w in (weights or {}).values()):
         raise ValueError("weights must not be negative")
     rates = source_rates(docs, source_col, weights, power, target_rows).where("rate > 0")
-    parts = F.ceil(F.col("rate") / PART).cast("int")
+    parts = F.greatest(F.ceil(F.col("rate") / PART).cast("int"), F.lit(1))
     table = materialise(
         rates.select(
             F.col("source").alias("_mix_source"),
