@@ -12,20 +12,23 @@ character), so words are segmented by themselves and remembered in a bounded cac
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the format: the mark of a space and the penalty of an unknown character.
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
+#: Rows converted at once.
+SLICE = 256
 
 
 class PieceModel:
@@ -144,6 +147,33 @@ def _others(df: DataFrame, *dropped: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in lower]
 
 
+def _mapped(
+    df: DataFrame,
+    source: str,
+    target: str,
+    kind: T.DataType,
+    convert: Callable[[pa.Array], pa.Array],
+) -> DataFrame:
+    """``df`` with ``target`` made from ``source``, a few hundred rows at a time.
+
+    Arrow hands over thousands of rows together; the larger column is made and given
+    back in slices, so that a task never holds it for a whole batch.
+    """
+    kept = _others(df, source, target)
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(source).alias(target))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(target, kind)])
+    names = [*kept, target]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                columns = [*part.columns[:-1], convert(part.columns[-1])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def encode_documents(
     docs: DataFrame, text_col: str = "text", ids_col: str = "pieces", model: str = MODEL
 ) -> DataFrame:
@@ -152,15 +182,15 @@ def encode_documents(
     A null or empty text has no identifiers.  Other columns are kept; one named as
     ``ids_col`` is replaced.  ``model`` is a path every executor can read.
     """
-    kept = _others(docs, text_col, ids_col)
 
-    @F.pandas_udf("array<int>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def convert(texts: pa.Array) -> pa.Array:
         encode = load(model).encode
-        for texts in batches:
-            yield pd.Series([encode(t) for t in texts], dtype="object")
+        found = [encode(t.as_py()) for t in texts]
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        ids = np.concatenate(found) if found else np.empty(0, dtype=np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], of(F.col(text_col)).alias(ids_col))
+    return _mapped(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), convert)
 
 
 def decode_documents(
@@ -171,15 +201,10 @@ def decode_documents(
     Decoding gives back what was encoded, but for the space mark itself, which is
     read as a space.
     """
-    kept = _others(docs, text_col)
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(ids_col).alias(text_col))
 
-    @F.pandas_udf("string")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def convert(lists: pa.Array) -> pa.Array:
         decode = load(model).decode
-        for lists in batches:
-            yield pd.Series(
-                ["" if ids is None else decode(np.asarray(ids).tolist()) for ids in lists], dtype="object"
-            )
+        texts = ("" if not ids.is_valid else decode(ids.values.to_pylist()) for ids in lists)
+        return pa.array(texts, pa.string())
 
-    return rows.select(*[F.col(f"`{c}`") for c in kept], of(F.col(text_col)).alias(text_col))
+    return _mapped(docs, ids_col, text_col, T.StringType(), convert)

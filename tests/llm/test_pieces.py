@@ -84,6 +84,7 @@ def test_documents_come_back(spark):
     frame = docs(spark, [*ODD_TEXTS, "  two  spaces ", "\n\nlines\n"]).selectExpr("*", "1 AS pieces", "'k' AS other")
     encoded = encode_documents(frame)
     assert encoded.columns == ["doc_id", "lang", "source", "n_chars", "other", "pieces"]
+    assert encoded.where("other = 'k'").count() == frame.count()
     decoded = decode_documents(encoded.selectExpr("*", "'gone' AS text"))
     expected = {r.doc_id: r.text or "" for r in frame.collect()}
     assert {r.doc_id: r.text for r in decoded.collect()} == expected
