@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
 import duckdb
 from pyspark.sql import SparkSession
 
+from gradus.shipping import ship
+from gradus.storage import release
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -22,12 +26,14 @@ def session(cores: str = "8", partitions: str = "8") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gradus-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark, os.path.dirname(os.path.abspath(__file__)))
     return spark
 
 
@@ -94,6 +100,7 @@ def main() -> None:
                 state = f"{len(df.collect())} rows, no SQL"
         except Exception as failure:
             state = f"ERROR {type(failure).__name__} {str(failure)[:600]}"
+        release(spark)
         bad += state.startswith(("DIFFERS", "ERROR"))
         in_sql = sql_seconds.get(ORACLES.get(name), 0.0)
         spent = time.time() - started - in_sql

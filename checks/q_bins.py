@@ -112,10 +112,11 @@ def bin_counts_custom(spark, sf_dir):
     return shown(N.bin_counts(V.scores(spark, sf_dir)))
 
 
-def selected_sql(order: str, n: int) -> str:
+def selected_sql(order: str, n: int, within: str) -> str:
     return f"""SELECT dataname, id, bin, rank, round(score_norm, 6) AS score_norm FROM (
-  SELECT *, row_number() OVER (PARTITION BY dataname, bin ORDER BY {order})::BIGINT AS rank
-  FROM (SELECT *, {bin_sql(FLOORED, CUSTOM, 16)} AS bin FROM scores)
+  SELECT *, row_number() OVER (PARTITION BY {within} bin ORDER BY {order})::BIGINT AS rank
+  FROM (SELECT * REPLACE (nullif(dataname, 'src3') AS dataname, id % 50 AS id), id AS n,
+    {bin_sql(FLOORED, CUSTOM, 16)} AS bin FROM scores)
   WHERE bin IS NOT NULL) WHERE rank <= {n}"""
 
 
@@ -129,18 +130,38 @@ def shown_selection(df):
     )
 
 
-@query("select_per_bin", Q.sql(selected_sql("id", 3), "scores"))
+def clashing(scores):
+    """Ids that come again and again, and one data set without a name; ``n`` tells all apart."""
+    return scores.withColumn("n", F.col("id")).withColumns(
+        {"id": F.col("id") % 50, "dataname": F.nullif("dataname", F.lit("src3"))}
+    )
+
+
+@query("select_per_bin", Q.sql(selected_sql("id, dataname NULLS FIRST, n", 3, "dataname,"), "scores"))
 def select_per_bin(spark, sf_dir):
-    """First three items of every bin of every data set."""
+    """First three items of every bin of every data set, the nameless one too."""
     return shown_selection(
-        N.select_per_bin(V.scores(spark, sf_dir), n=3, within=["dataname"])
+        N.select_per_bin(
+            clashing(V.scores(spark, sf_dir)), n=3, within=["dataname"], row_key=["dataname", "id", "n"]
+        )
     )
 
 
-@query("random_per_bin", Q.sql(selected_sql("md5('7|' || dataname || '|' || id)[:15], id", 3), "scores"))
+@query(
+    "random_per_bin",
+    Q.sql(
+        selected_sql(
+            "md5(concat_ws('|', '7', dataname, id, n))[:15], dataname NULLS FIRST, id, n", 40, ""
+        ),
+        "scores",
+    ),
+)
 def random_per_bin(spark, sf_dir):
+    """Forty hashed items of every bin over all data sets."""
     return shown_selection(
-        N.select_per_bin(V.scores(spark, sf_dir), n=3, within=["dataname"], seed=7)
+        N.select_per_bin(
+            clashing(V.scores(spark, sf_dir)), n=40, seed=7, row_key=["dataname", "id", "n"]
+        )
     )
 
 

@@ -93,16 +93,26 @@ def opt_strip_letter(spark, sf_dir):
     return V.items(spark, sf_dir).select("id", joined(options).alias("options"))
 
 
+# The letter of each word of a text, taken from its length; every fifth has none.
+WORD_LETTER_SQL = "CASE length(w) % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'B' WHEN 2 THEN 'c' WHEN 3 THEN 'D' ELSE 'e' END"
+
+
 @query(
     "ans_letter_to_index",
-    "SELECT doc_id, CASE lower(c) WHEN 'a' THEN '0' WHEN 'b' THEN '1' WHEN 'c' THEN '2' "
-    "WHEN 'd' THEN '3' ELSE '' END AS answer FROM (SELECT doc_id, text[1] AS c FROM documents)",
+    f"""SELECT doc_id, string_agg(CASE lower(c) WHEN 'a' THEN '0' WHEN 'b' THEN '1' WHEN 'c' THEN '2'
+  WHEN 'd' THEN '3' ELSE '' END, ',' ORDER BY i) AS answers
+FROM (SELECT doc_id, i, {WORD_LETTER_SQL} AS c FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w,
+  generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)) GROUP BY doc_id""",
 )
 def ans_letter_to_index(spark, sf_dir):
-    """The first letter of each text stands for an answer letter."""
-    return V.table(spark, sf_dir, "documents").select(
-        "doc_id", X.letter_to_index(F.substring("text", 1, 1)).alias("answer")
-    )
+    """Every word of a text stands for an answer letter."""
+
+    def letter(word):
+        n = F.length(word) % 5
+        return F.when(n == 0, "a").when(n == 1, "B").when(n == 2, "c").when(n == 3, "D").otherwise("e")
+
+    answers = F.transform(F.split("text", " "), lambda w: X.letter_to_index(letter(w)))
+    return V.documents(spark, sf_dir).select("doc_id", F.array_join(answers, ",").alias("answers"))
 
 
 TRUTH_SQL = (
@@ -336,15 +346,21 @@ def exclude_dataset(spark, sf_dir):
 @query(
     "dedup_items",
     Q.sql(
-        """SELECT min(id) AS id FROM (SELECT id, trim(regexp_replace(lower(context), '\\s+', ' ', 'g')) AS c,
-  task_type AS q FROM items) GROUP BY c, q""",
+        """SELECT key.d AS dataname, key.i AS id FROM (
+  SELECT min({'d': d, 'i': i}) AS key FROM (SELECT dataname || '-' || id % 2 AS d, id // 2 AS i,
+    trim(regexp_replace(lower(context), '\\s+', ' ', 'g')) AS c, task_type AS q FROM items) GROUP BY c, q)""",
         "items",
     ),
 )
 def dedup_items(spark, sf_dir):
-    """First item of each normalised context; the task type stands for the question."""
-    items = V.items(spark, sf_dir).withColumn("question", F.coalesce("task_type", F.lit("")))
-    return L.dedup_items(items).select("id")
+    """First item of each normalised context; ids restart in every data set."""
+    items = V.items(spark, sf_dir).select(
+        F.concat_ws("-", "dataname", F.col("id") % 2).alias("dataname"),
+        F.expr("id div 2").alias("id"),
+        "context",
+        F.coalesce("task_type", F.lit("")).alias("question"),
+    )
+    return L.dedup_items(items).select("dataname", "id")
 
 
 # -- prompts -----------------------------------------------------------------
@@ -540,6 +556,24 @@ def items_sql(raw: str) -> str:
 
 @query(
     "parse_extraction",
+    Q.sql(
+        "SELECT id, "
+        + ", ".join(
+            f"CASE WHEN dataname <> 'src5' THEN array_to_string({c}, {SEP}) ELSE '' END AS {c}"
+            for c in C.EXTRACTION_KEYS
+        )
+        + f""", CASE WHEN dataname = 'src5' THEN {COMPLETION_SQL} END AS assistant_content,
+  CASE WHEN dataname = 'src5' THEN 'lists not found' END AS reject_reason FROM extracted""",
+        "extracted",
+    ),
+)
+def parse_extraction(spark, sf_dir):
+    """Whole lists, whatever brackets their items hold."""
+    return shown_extraction(V.extracted(spark, sf_dir), "whole")
+
+
+@query(
+    "parse_extraction_literal",
     Q.sql(
         f"""SELECT id, {items_sql('p')} AS predicates, {items_sql('c')} AS constants, {items_sql('e')} AS logical_expressions,
   CASE WHEN NOT complete THEN t END AS assistant_content,
@@ -550,10 +584,13 @@ FROM (SELECT *, p <> '' AND c <> '' AND e <> '' AS complete FROM (
         "extracted",
     ),
 )
-def parse_extraction(spark, sf_dir):
-    parsed = V.extracted(spark, sf_dir).select(
-        "id", C.parse_extraction(completions()).alias("p")
-    )
+def parse_extraction_literal(spark, sf_dir):
+    """Lists that end at the first bracket."""
+    return shown_extraction(V.extracted(spark, sf_dir), "literal")
+
+
+def shown_extraction(extracted, mode):
+    parsed = extracted.select("id", C.parse_extraction(completions(), mode).alias("p"))
     return parsed.select(
         "id",
         *[joined(F.col(f"p.{c}")).alias(c) for c in C.EXTRACTION_KEYS],
@@ -571,39 +608,54 @@ FROM (SELECT id, reasoning_type, unnest(list_transform(lines, lambda x: {{'line'
   FROM (SELECT id, reasoning_type, string_split(sym, chr(10)) AS lines FROM extracted))"""
 
 
+ANALYSIS_FAULTS = {
+    "src5": ('{"option_analysis": [{"option_index": 0, ', "option_analysis is not valid JSON"),
+    "src6": ("No analysis of ", "option_analysis not found"),
+}
+
+
 def analysis_completions(spark, sf_dir):
-    """Prose around the JSON; French texts are cut short, Spanish ones lack the key."""
-    whole = F.concat(
-        F.lit('Sure: {"option_analysis": '), F.to_json("option_analysis"), F.lit("} I hope this helps.")
-    )
+    """Whole analyses in the frames models use, by language; those of two sources are none."""
+    whole = F.concat(F.lit('{"option_analysis": '), F.to_json("option_analysis"), F.lit("}"))
     kind = F.col("reasoning_type")
     text = (
-        F.when(kind == "FR", F.substr(whole, F.lit(1), F.length(whole) - 30))
-        .when(kind == "ES", F.concat(F.lit("No analysis of "), "context"))
-        .when(kind == "DE", F.concat(F.lit('{"option_analysis": [{"option_index": 0, '), "context"))
-        .otherwise(whole)
+        F.when(kind == "FR", F.concat(F.lit("\n"), whole))
+        .when(kind == "ES", F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
+        .when(kind == "DE", whole)
+        .otherwise(F.concat(F.lit("Sure: "), whole, F.lit(" I hope this helps.")))
     )
-    return V.analysed(spark, sf_dir).select("id", "reasoning_type", text.alias("text"))
+    for source, (start, _) in ANALYSIS_FAULTS.items():
+        text = F.when(F.col("dataname") == source, F.concat(F.lit(start), "context")).otherwise(text)
+    return V.analysed(spark, sf_dir).select("id", text.alias("text"))
+
+
+def fault_sql(part: int) -> str:
+    cases = " ".join(
+        f"WHEN '{source}' THEN {Q.quote(fault[part])}" for source, fault in ANALYSIS_FAULTS.items()
+    )
+    return f"CASE dataname {cases} END"
 
 
 @query(
     "parse_option_analysis",
     Q.sql(
-        f"""SELECT id, option_index, option_text, preconditions, deduction_target, expressions, is_correct,
-  NULL::VARCHAR AS reject_reason FROM ({ANALYSIS_SQL}) WHERE reasoning_type = 'EN'
+        f"""SELECT a.id, option_index, option_text, preconditions, deduction_target, expressions, is_correct,
+  NULL::VARCHAR AS assistant_content, NULL::VARCHAR AS reject_reason
+FROM ({ANALYSIS_SQL}) a JOIN items i ON a.id = i.id WHERE dataname NOT IN ('src5', 'src6')
 UNION ALL
-SELECT id, NULL, NULL, NULL, NULL, NULL, NULL,
-  CASE WHEN reasoning_type IN ('DE', 'FR') THEN 'option_analysis is not valid JSON' ELSE 'option_analysis not found' END
-FROM items WHERE reasoning_type <> 'EN'""",
+SELECT id, NULL, NULL, NULL, NULL, NULL, NULL, {fault_sql(0)} || context, {fault_sql(1)}
+FROM items WHERE dataname IN ('src5', 'src6')""",
         "extracted",
     ),
 )
 def parse_option_analysis(spark, sf_dir):
-    """Written as text with prose around it, parsed back, one row per option."""
+    """Written as text, parsed back, one row per option; rejected texts are kept."""
     parsed = analysis_completions(spark, sf_dir).select(
         "id", C.parse_option_analysis(F.col("text")).alias("p")
     )
-    options = parsed.select("id", "p.reject_reason", F.explode_outer("p.option_analysis").alias("o"))
+    options = parsed.select(
+        "id", "p.assistant_content", "p.reject_reason", F.explode_outer("p.option_analysis").alias("o")
+    )
     return options.select(
         "id",
         F.col("o.option_index").cast("bigint").alias("option_index"),
@@ -612,6 +664,7 @@ def parse_option_analysis(spark, sf_dir):
         "o.deduction_target",
         joined(F.transform("o.deduction_steps", lambda s: s["expression"])).alias("expressions"),
         "o.is_correct",
+        "assistant_content",
         "reject_reason",
     )
 
@@ -619,12 +672,8 @@ def parse_option_analysis(spark, sf_dir):
 @query(
     "parse_option_analysis_literal",
     Q.sql(
-        # a cut text keeps its first object whole when there is more than one line
-        """SELECT id, CASE WHEN whole THEN 0 END::BIGINT AS n_options, CASE WHEN whole THEN NULL
-  WHEN reasoning_type IN ('DE', 'FR') THEN 'option_analysis is not valid JSON'
-  ELSE 'option_analysis not found' END AS reject_reason
-FROM (SELECT *, reasoning_type = 'EN' OR reasoning_type = 'FR' AND contains(context, chr(10)) AS whole
-  FROM items)""",
+        f"""SELECT id, CASE WHEN dataname NOT IN ('src5', 'src6') THEN 0 END::BIGINT AS n_options,
+  {fault_sql(0)} || context AS assistant_content, {fault_sql(1)} AS reject_reason FROM items""",
         "items",
     ),
 )
@@ -638,7 +687,6 @@ def parse_option_analysis_literal(spark, sf_dir):
         F.when(F.col("p.option_analysis").isNotNull(), F.size("p.option_analysis"))
         .cast("bigint")
         .alias("n_options"),
+        "p.assistant_content",
         "p.reject_reason",
     )
-
-

@@ -22,6 +22,12 @@ def h60(*parts: str) -> str:
     return "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 15))::BIGINT"
 
 
+def h120(*parts: str) -> str:
+    digest = "md5(" + " || '|' || ".join(parts) + ")"
+    high, low = (f"('0x' || substr({digest}, {at}, 15))::BIGINT::HUGEINT" for at in (1, 16))
+    return f"({high} * 1152921504606846976::HUGEINT + {low})"
+
+
 def numbered(order: str) -> str:
     return f"(row_number() OVER (ORDER BY {order}) - 1)::BIGINT"
 
@@ -112,19 +118,19 @@ def plan_sorted(spark, sf_dir):
     Q.sql(
         f"""SELECT e::BIGINT AS epoch, dataname, id, (row_number() OVER (PARTITION BY e
   ORDER BY {h60(f"'{SEED}'", 'e', 'dataname', 'id')}, dataname, id) - 1)::BIGINT AS position
-FROM items, range(4) t(e)""",
+FROM items, range(16) t(e)""",
         "items",
     ),
 )
 def plan_shuffle(spark, sf_dir):
-    return shown(P.plan_shuffle(V.items(spark, sf_dir), epochs=4, seed=SEED))
+    return shown(P.plan_shuffle(V.items(spark, sf_dir), seed=SEED))
 
 
 def drawn_sql(epochs: str, stage: str) -> str:
     """Draws from the ``lined`` rows (stage, dataname, id, lo, total)."""
     return f"""SELECT d.epoch, d.position, l.dataname, l.id
 FROM (SELECT e::BIGINT AS epoch, i::BIGINT AS position, {stage} AS stage,
-    {h60(f"'{SEED}'", 'e', 'i')} % (SELECT max(total) FROM lined WHERE lined.stage = {stage}) AS u
+    {h120(f"'{SEED}'", 'e', 'i')} % (SELECT max(total) FROM lined WHERE lined.stage = {stage}) AS u
   FROM ({epochs}) t(e), range((SELECT count(*) FROM scores)) r(i)) d
 ASOF JOIN lined l ON d.stage = l.stage AND d.u >= l.lo"""
 
@@ -141,7 +147,7 @@ def lined_sql(weights: str) -> str:
     "plan_weighted",
     Q.sql(
         f"""SELECT 0::BIGINT AS epoch, {numbered('dataname, id')} AS position, dataname, id FROM scores
-UNION ALL {drawn_sql('SELECT unnest(range(1, 5))', '0')}""",
+UNION ALL {drawn_sql('SELECT unnest(range(1, 16))', '0')}""",
         "scores",
         extra=lined_sql(
             "SELECT 0 AS stage, dataname, id, round((score_norm + 1e-6) * 1000000)::BIGINT AS w FROM scores"
@@ -149,8 +155,8 @@ UNION ALL {drawn_sql('SELECT unnest(range(1, 5))', '0')}""",
     ),
 )
 def plan_weighted(spark, sf_dir):
-    """First epoch in order, four epochs of weighted draws."""
-    return shown(P.plan_weighted(V.scores(spark, sf_dir), epochs=5, seed=SEED))
+    """First epoch in order, then fifteen epochs of weighted draws."""
+    return shown(P.plan_weighted(V.scores(spark, sf_dir), seed=SEED))
 
 
 STAGE_SQL = "CASE WHEN e < 3 THEN 0 WHEN e < 7 THEN 1 WHEN e < 11 THEN 2 ELSE 3 END"
@@ -263,7 +269,7 @@ def curriculum_eligible(spark, sf_dir):
 
 
 EXTRA_SQL = f"""hard AS (
-  SELECT dataname, id, {numbered('dataname, id')} AS n FROM scores WHERE score_norm > 0.7),
+  SELECT dataname, id, {numbered('score_norm, dataname, id')} AS n FROM scores WHERE score_norm > 0.7),
 extra AS (
   SELECT x.epoch::BIGINT AS epoch, x.size + x.j AS position, hard.dataname, hard.id
   FROM (SELECT epoch, size, j, {h60(f"'{SEED}'", "'hard'", 'epoch', 'j')} % (SELECT count(*) FROM hard) AS n
@@ -321,7 +327,7 @@ FROM plan JOIN scores USING (dataname, id) GROUP BY epoch""",
 )
 def plan_monitor(spark, sf_dir):
     scored = V.scores(spark, sf_dir)
-    plan = W.scored_plan(P.plan_curriculum(scored, seed=SEED), scored)
+    plan = P.plan_curriculum(scored, seed=SEED, with_score=True)
     return W.plan_monitor(plan, scored.count()).select(
         F.col("epoch").cast("bigint").alias("epoch"),
         F.round("mean_score", 6).alias("mean_score"),
@@ -345,7 +351,7 @@ FROM plan JOIN scores USING (dataname, id) GROUP BY ALL""",
 )
 def batch_difficulty(spark, sf_dir):
     scored = V.scores(spark, sf_dir)
-    plan = W.scored_plan(P.plan_curriculum(scored, seed=SEED), scored)
+    plan = P.plan_curriculum(scored, seed=SEED, with_score=True)
     return W.batch_difficulty(plan).select(
         F.col("epoch").cast("bigint").alias("epoch"),
         "batch",

@@ -27,17 +27,20 @@ def as_items(turns):
     )
 
 
-def echo_lists():
+def echo_lists(predicate):
     """A stand-in for a model: lists made from the length of the prompt."""
 
-    def generate(prompts):
-        return [
-            '{"Predicates": ["P"], "Constants": ["a", "b"], '
-            f'"Logical Expressions": ["P({len(p)})"]}}'
-            for p in prompts
-        ]
+    def make():
+        def generate(prompts):
+            return [
+                f'{{"Predicates": ["{predicate}"], "Constants": ["a", "b"], '
+                f'"Logical Expressions": ["P({len(p)})"]}}'
+                for p in prompts
+            ]
 
-    return generate
+        return generate
+
+    return make
 
 
 def prompt_length_sql() -> str:
@@ -48,16 +51,20 @@ def prompt_length_sql() -> str:
 
 @query(
     "incremental_extract",
-    f"""SELECT 'conv-' || conv_id AS dataname, turn AS id, 'P' AS predicates, 'a' || {SEP} || 'b' AS constants,
+    f"""SELECT 'conv-' || conv_id AS dataname, turn AS id, CASE role WHEN 'user' THEN 'P' ELSE 'Q' END AS predicates, 'a' || {SEP} || 'b' AS constants,
   'P(' || {prompt_length_sql()} || ')' AS logical_expressions, NULL::VARCHAR AS reject_reason, NULL::VARCHAR AS error
 FROM (SELECT *, text AS context FROM conversations) WHERE {strip('context')} <> ''""",
 )
 def extract_twice(spark, sf_dir):
-    """Two runs over the same turns; the second finds every key done."""
+    """Users' turns first; then all turns, under a new checkpoint and with another model.
+
+    The second run must leave what the first one made and add the rest.
+    """
     path, checkpoints = run_path(spark, "extracted"), run_path(spark, "extract-checkpoints")
-    for run in ("first", "second"):
-        source = as_items(stream(spark, sf_dir, "conversations"))
-        incremental_extract(source, echo_lists, path, f"{checkpoints}/{run}")
+    turns = stream(spark, sf_dir, "conversations")
+    users = turns.filter(F.col("role") == "user")
+    incremental_extract(as_items(users), echo_lists("P"), path, f"{checkpoints}/users")
+    incremental_extract(as_items(turns), echo_lists("Q"), path, f"{checkpoints}/all")
     return spark.read.parquet(path).select(
         "dataname",
         "id",
@@ -77,11 +84,16 @@ def extract_twice(spark, sf_dir):
     ),
 )
 def score_stream(spark, sf_dir):
-    """Documents arrive as a stream and are scored with statistics frozen before."""
-    path, checkpoint = run_path(spark, "scored"), run_path(spark, "score-checkpoint")
+    """Documents arrive as streams and are scored with statistics frozen before.
+
+    English ones come first; the second stream has all and scores the others.
+    """
+    path, checkpoints = run_path(spark, "scored"), run_path(spark, "score-checkpoints")
     stats = score_stats(with_raw_score(V.scoring_input(spark, sf_dir)))
-    arriving = V.scoring_input_of(stream(spark, sf_dir, "documents"))
-    incremental_score(arriving, stats, path, checkpoint)
+    arriving = stream(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    for name, docs in (("en", arriving.filter(F.col("lang") == "en")), ("all", arriving)):
+        incremental_score(V.scoring_input_of(docs), stats, path, f"{checkpoints}/{name}", cores)
     return spark.read.parquet(path).select(
         "dataname",
         "id",

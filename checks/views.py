@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.operators.scoring import score_items
-from gradus.storage import spread
 
 # Letters that stand for brackets and connectives in the expressions made from prose.
 LETTERS, SYMBOLS = "hgwkbv", "()[]∧¬"
@@ -34,7 +33,8 @@ def task_type() -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    """The texts, dealt out by id: each given table is one block, and scoring is costly."""
+    return table(spark, sf_dir, "documents").repartition("doc_id")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,14 @@ EXTRACTION_KEYS = {
     "constants": "Constants",
     "logical_expressions": "Logical Expressions",
 }
+# Of the literal reading only.
 LIST_PATTERN = r'(?iu)"?{key}"?\s*:\s*(\[[^\]]*\])'
 ITEM_PATTERN = r'"([^"]+)"'
+
+# The key, and all that follows it from the opening bracket on.
+_TAIL_PATTERN = r'(?ius)"?{key}"?\s*:\s*(\[.*)'
+_CORRUPT = "_corrupt_record"
+_JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
 ANALYSIS_KEY = '"option_analysis"'
 EMPTY_COMPLETION = "empty completion"
 LISTS_NOT_FOUND = "lists not found"
@@ -23,37 +31,80 @@ ANALYSIS_NOT_FOUND = "option_analysis not found"
 ANALYSIS_NOT_JSON = "option_analysis is not valid JSON"
 
 
-def completion_text(completions: Column) -> Column:
-    """Trimmed ``generated_text`` of the first completion, empty when missing."""
-    return strip(F.coalesce(F.get(completions, F.lit(0))["generated_text"], F.lit("")))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def completion_text(completions: Column, many: bool = True) -> Column:
+    """Trimmed ``generated_text`` of a completion, empty when missing.
+
+    ``completions`` is a list, of which the first counts, or with ``many=False`` a
+    single struct.
+    """
+    one = F.get(completions, F.lit(0)) if many else completions
+    return strip(F.coalesce(one["generated_text"], F.lit("")))
+
+
+def _whole_lists(text: Column) -> Column:
+    """The three lists as JSON arrays; null where one is missing or does not parse."""
+
+    def read(key: str) -> Column:
+        tail = F.regexp_extract(text, _TAIL_PATTERN.format(key=key), 1)
+        parsed = F.from_json(
+            F.concat(F.lit('{"v": '), tail), f"v array<string>, {_CORRUPT} string", _JSON_OPTIONS
+        )
+        return _once(
+            F.struct((tail != "").alias("found"), parsed.alias("p")),
+            lambda x: F.when(x["found"] & x["p"][_CORRUPT].isNull(), x["p"]["v"]),
+        )
+
+    return F.struct(*[read(key).alias(name) for name, key in EXTRACTION_KEYS.items()])
 
 
-def parse_extraction(text: Column) -> Column:
+def _literal_lists(text: Column) -> Column:
+    """The quoted items up to the first closing bracket after each key."""
+
+    def read(key: str) -> Column:
+        found = F.regexp_extract(text, LIST_PATTERN.format(key=key), 1)
+        return _once(
+            found, lambda raw: F.when(raw != "", F.regexp_extract_all(raw, F.lit(ITEM_PATTERN), 1))
+        )
+
+    return F.struct(*[read(key).alias(name) for name, key in EXTRACTION_KEYS.items()])
+
+
+def parse_extraction(text: Column, mode: str = "whole") -> Column:
     """Struct of the three lists, ``assistant_content`` and ``reject_reason``.
 
-    A list ends at the first closing square bracket.  All three lists must be
-    there; otherwise all are empty and the raw text is kept.
+    ``whole`` reads each list as a JSON array.  ``literal`` ends a list at the first
+    closing square bracket, also inside an item.  All three lists must be there;
+    otherwise all are empty and the raw text is kept.
     """
-    found = {
-        name: F.regexp_extract(text, LIST_PATTERN.format(key=key), 1)
-        for name, key in EXTRACTION_KEYS.items()
-    }
-    complete = F.lit(True)
-    for raw in found.values():
-        complete = complete & (raw != "")
-    lists = [
-        F.when(complete, F.regexp_extract_all(raw, F.lit(ITEM_PATTERN), 1))
-        .when(text != "", F.array().cast("array<string>"))
-        .alias(name)
-        for name, raw in found.items()
-    ]
-    return F.struct(
-        *lists,
-        F.when((text != "") & ~complete, text).alias("assistant_content"),
-        F.when(F.coalesce(text, F.lit("")) == "", EMPTY_COMPLETION)
-        .when(~complete, LISTS_NOT_FOUND)
-        .alias("reject_reason"),
-    )
+    if mode not in ("whole", "literal"):
+        raise ValueError("mode must be 'whole' or 'literal'")
+    read = _whole_lists if mode == "whole" else _literal_lists
+
+    def columns(row: Column) -> Column:
+        raw, lists = row["text"], row["lists"]
+        complete = F.lit(True)
+        for name in EXTRACTION_KEYS:
+            complete = complete & lists[name].isNotNull()
+        return F.struct(
+            *[
+                F.when(complete, lists[name])
+                .when(raw != "", F.array().cast("array<string>"))
+                .alias(name)
+                for name in EXTRACTION_KEYS
+            ],
+            F.when((raw != "") & ~complete, raw).alias("assistant_content"),
+            F.when(F.coalesce(raw, F.lit("")) == "", EMPTY_COMPLETION)
+            .when(~complete, LISTS_NOT_FOUND)
+            .alias("reject_reason"),
+        )
+
+    bound = lambda t: F.struct(t.alias("text"), read(t).alias("lists"))
+    return _once(text, lambda t: _once(bound(t), columns))
 
 
 def parse_option_analysis(text: Column, mode: str = "wrapped") -> Column:
@@ -63,32 +114,34 @@ def parse_option_analysis(text: Column, mode: str = "wrapped") -> Column:
     object after the key and looks the key up inside it, which yields an empty
     list for the usual layout.
     """
-    at = F.locate(ANALYSIS_KEY, text)
-    tail = F.substr(text, at)
-    brace = F.locate("{", tail)
-    if mode == "wrapped":
-        document = F.concat(F.lit("{"), tail)
-    elif mode == "literal":
-        document = F.substr(tail, brace)
-    else:
+    if mode not in ("wrapped", "literal"):
         raise ValueError("mode must be 'wrapped' or 'literal'")
-    parsed = F.from_json(
-        document,
-        f"option_analysis {OPTION_ANALYSIS_DDL}, _corrupt_record string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
-    )
-    present = (at > 0) & (brace > 0)
-    good = present & parsed["_corrupt_record"].isNull()
-    reason = (
-        F.when(F.coalesce(text, F.lit("")) == "", EMPTY_COMPLETION)
-        .when(~present, ANALYSIS_NOT_FOUND)
-        .when(~good, ANALYSIS_NOT_JSON)
-    )
-    return F.struct(
-        F.when(
-            good,
-            F.coalesce(parsed["option_analysis"], F.array().cast(OPTION_ANALYSIS_DDL)),
-        ).alias("option_analysis"),
-        F.when((text != "") & ~good, text).alias("assistant_content"),
-        reason.alias("reject_reason"),
-    )
+
+    def read(t: Column) -> Column:
+        at = F.locate(ANALYSIS_KEY, t)
+        tail = F.substr(t, at)
+        brace = F.locate("{", tail)
+        document = F.concat(F.lit("{"), tail) if mode == "wrapped" else F.substr(tail, brace)
+        parsed = F.from_json(
+            document, f"option_analysis {OPTION_ANALYSIS_DDL}, {_CORRUPT} string", _JSON_OPTIONS
+        )
+        return F.struct(
+            t.alias("text"), ((at > 0) & (brace > 0)).alias("present"), parsed.alias("parsed")
+        )
+
+    def columns(row: Column) -> Column:
+        raw, present, parsed = row["text"], row["present"], row["parsed"]
+        good = present & parsed[_CORRUPT].isNull()
+        reason = (
+            F.when(F.coalesce(raw, F.lit("")) == "", EMPTY_COMPLETION)
+            .when(~present, ANALYSIS_NOT_FOUND)
+            .when(~good, ANALYSIS_NOT_JSON)
+        )
+        empty = F.array().cast(OPTION_ANALYSIS_DDL)
+        return F.struct(
+            F.when(good, F.coalesce(parsed["option_analysis"], empty)).alias("option_analysis"),
+            F.when((raw != "") & ~good, raw).alias("assistant_content"),
+            reason.alias("reject_reason"),
+        )
+
+    return _once(text, lambda t: _once(read(t), columns))

@@ -116,33 +116,40 @@ def select_per_bin(
     row_key: Sequence[str] = ("dataname", "id"),
     order_by: Sequence[Column | str] = ("id",),
     seed: int | None = None,
+    salts: int = SELECT_SALTS,
 ) -> DataFrame:
     """First ``n`` rows of each bin (and group), or ``n`` hashed ones with a seed.
 
+    Ties in ``order_by`` go by ``row_key``; nulls in a group or key are values.
+
     Only keys are ranked.  Ranking runs first inside hashed salts, then over the
     survivors, so a bin holding most rows is spread over many tasks.  The whole
     records are fetched by key at the end.
     """
     if seed is not None:
         order_by = (hash60(seed, *[F.col(c) for c in row_key]), *row_key)
-    order = [c if isinstance(c, Column) else F.col(c) for c in order_by]
+    order = [c if isinstance(c, Column) else F.col(c) for c in (*order_by, *row_key)]
+    names = list(dict.fromkeys([*within, *row_key]))
     slim = (
         df.filter(B.is_valid_score(F.col(score)))
         .select(
-            *dict.fromkeys([*within, *row_key]),
+            *names,
             custom_bin(score).alias("bin"),
             *[c.alias(f"_o{i}") for i, c in enumerate(order)],
         )
-        .withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.lit(SELECT_SALTS)))
+        .withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.lit(salts)))
     )
     ranks = [f"_o{i}" for i in range(len(order))]
     for scope in ([*within, "bin", "_salt"], [*within, "bin"]):
         rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*ranks))
         slim = slim.withColumn("rank", rank).filter(F.col("rank") <= n)
-    chosen = slim.select(*dict.fromkeys([*within, *row_key]), "bin", "rank")
+    chosen = slim.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "bin", "rank")
     # at most n rows per bin and group; written so that the join knows its size
     chosen = materialise(chosen, "selection")
-    return df.join(chosen, list(dict.fromkeys([*within, *row_key])))
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_k{i}"))
+    return df.join(chosen, same).select(*[F.col(f"`{c}`") for c in df.columns], "bin", "rank")
 
 
 def selection_report(

@@ -63,20 +63,21 @@ def content_key(*columns: str) -> Column:
 def dedup_items(
     df: DataFrame,
     key: Column | None = None,
-    row_key: Sequence[str] = ("id",),
+    row_key: Sequence[str] = ("dataname", "id"),
 ) -> DataFrame:
-    """First row (by ``row_key``, unique) of each group of equal content.
-
-    Copies are counted out by a map-side combined ``min`` over (hash, row key),
-    so a content repeated in a third of all rows costs one row per task in the
-    shuffle.  Only the keys of the later copies are written; the records are
-    anti-joined with them, by broadcast when that table is small on disk.
+    """First row (by ``row_key``) of each group of equal content.
+
+    ``row_key`` must tell all rows apart: ids restart in every data set, so the
+    default has both.  Rows that share it stay or go together; null parts count as
+    values.  Building the frame reads the content once and writes hashes and keys.
+    Copies are found by a map-side combined ``min`` over (hash, row key), so a
+    content repeated in a third of all rows costs one row per task in the shuffle;
+    the records are then anti-joined with the keys of the later copies, by broadcast
+    when that table is small on disk.
     """
     key = content_key("context", "question") if key is None else key
-    row = F.col(row_key[0]) if len(row_key) == 1 else F.struct(*row_key)
-    first = df.select(key.alias("_key"), row.alias("_row")).groupBy("_key").agg(F.min("_row").alias("_row"))
-    kept = first.select(
-        *([F.col("_row").alias(row_key[0])] if len(row_key) == 1 else ["_row.*"])
-    )
-    copies = df.select(*row_key).join(kept, list(row_key), "left_anti")
-    return df.join(materialise(copies, "copies"), list(row_key), "left_anti")
+    slim = materialise(df.select(key.alias("_key"), F.struct(*row_key).alias("_row")), "content")
+    first = slim.groupBy("_key").agg(F.min("_row").alias("_first"))
+    copies = slim.join(first.select("_first"), F.col("_row") == F.col("_first"), "left_anti")
+    later = materialise(copies.select("_row").distinct(), "copies")
+    return df.join(later, F.struct(*row_key) == F.col("_row"), "left_anti")

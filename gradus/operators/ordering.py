@@ -17,20 +17,12 @@ from gradus.storage import materialise
 
 # monotonically_increasing_id keeps the partition number above this many bits.
 _ROW_BITS = 33
-BROADCAST_ROWS = 200_000
 # Columns the readers add: file, block of the file, row.
 SCAN_ORDER = ("_file", "_block", "_row")
 # Added by readers that unnest a record.
 NESTED_ORDER = ("_sample", "_pair")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to shuffle."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def range_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -80,7 +72,7 @@ def with_position(
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + start).alias("_off"),
     )
     # Without groups there are at most as many offsets as range partitions.
-    offsets = broadcast_if_small(offsets) if within else F.broadcast(offsets)
+    offsets = offsets if within else F.broadcast(offsets)
     condition = F.col("_part") == F.col("_p")
     for i, c in enumerate(within):
         condition = condition & F.col(c).eqNullSafe(F.col(f"_g{i}"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions import score as S
-from gradus.operators.ordering import broadcast_if_small
 from gradus.storage import materialise
 
 
@@ -69,7 +68,7 @@ def normalise(
     for i, c in enumerate(group_cols):
         condition = condition & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     return (
-        df.join(broadcast_if_small(renamed), condition, "left")
+        df.join(renamed, condition, "left")
         .withColumn("score_norm", norm(F.col("_mean"), F.col("_variance")))
         .select(*[F.col(f"`{c}`") for c in df.columns], "score_norm")
     )

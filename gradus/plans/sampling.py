@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.functions.hashing import HASH_BITS, hash60
+from gradus.functions.hashing import hash60, hash120
 from gradus.operators.ordering import order_by_score, sorted_ranges, with_position
 from gradus.plans.schedule import (
     EPOCHS,
@@ -74,9 +76,149 @@ def plan_shuffle(
     return with_position(rows, ["_h", *key], within=["epoch"]).select("epoch", "position", *key)
 
 
+WHOLE = "decimal(38,0)"
+#: Draws that share a copy of the items of their bucket, as a multiple of these items.
+DRAWS_PER_COPY = 4
+DRAWS_PER_NUMBER = 4096
+
+
+class _Line:
+    """Items in key order, as ranges, with the size and weight of each range.
+
+    The order is made once and serves every stage: the weights are an array.
+    """
+
+    def __init__(self, items: DataFrame, key: Sequence[str], weights: Sequence[Column]) -> None:
+        self.key, self.stages = list(key), range(len(weights))
+        slim = items.select(*key, F.array(*weights).alias("_w"))
+        self.ranged = sorted_ranges(slim, list(key), "weights")
+        # One row per range partition.
+        self.sizes = (
+            self.ranged.groupBy("_part")
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                F.array(*[F.sum(F.col("_w")[i].cast(WHOLE)) for i in self.stages]).alias("w"),
+            )
+            .orderBy("_part")
+            .collect()
+        )
+        self.n_items = sum(r.n for r in self.sizes)
+
+    def positions(self, epochs: Sequence[int]) -> DataFrame:
+        """The key order itself, in the given epochs."""
+        offsets, at = [], 0
+        for r in self.sizes:
+            offsets.append((r["_part"], at))
+            at += r.n
+        table = self.ranged.sparkSession.createDataFrame(offsets, "_part bigint, _off bigint")
+        return self.ranged.join(F.broadcast(table), "_part").select(
+            F.explode(F.array(*[F.lit(int(e)) for e in epochs])).alias("epoch"),
+            (F.col("_off") + F.col("_seq")).alias("position"),
+            *self.key,
+        )
+
+    def draws(self, epochs: Sequence[int], stage: Column, seed: int) -> DataFrame:
+        """As many draws per epoch as there are items, by the weights of its stage."""
+        spark = self.ranged.sparkSession
+        total = {s: sum(int(r.w[s] or 0) for r in self.sizes) for s in self.stages}
+        if not self.n_items or not all(total.values()):
+            raise ValueError("there must be items, and each stage needs a positive total weight")
+        if max(total.values()) >= 10**37:
+            raise ValueError("total weight beyond 37 digits")
+        # The line is cut into equal cells; each cell lists the buckets it touches.
+        # A bucket's draws of all epochs are shared among copies of its items, so
+        # that none has many more draws than items: some epochs' worth of copies at
+        # most, however the weights lie.
+        cells = max(1, len(self.sizes))
+        width = {s: -(-total[s] // cells) for s in self.stages}
+        ends, salts, start = [], [], dict.fromkeys(self.stages, 0)
+        for r in self.sizes:
+            for s in self.stages:
+                lo, hi = start[s], start[s] + int(r.w[s] or 0)
+                start[s] = hi
+                if hi > lo:
+                    share = (hi - lo) * self.n_items * len(epochs)
+                    copies = max(1, -(-share // (total[s] * r.n * DRAWS_PER_COPY)))
+                    salts.append((s, r["_part"], copies))
+                    for cell in range(lo // width[s], (hi - 1) // width[s] + 1):
+                        ends.append((s, Decimal(cell), r["_part"], Decimal(lo), Decimal(hi), copies))
+        buckets = spark.createDataFrame(
+            ends,
+            f"_stage int, _cell {WHOLE}, _bucket bigint, _lo {WHOLE}, _hi {WHOLE}, _copies int",
+        )
+        copies = spark.createDataFrame(salts, "stage int, _part bigint, _copies int")
+
+        def per_stage(values: dict[int, int]) -> Column:
+            chain = F.lit(None).cast(WHOLE)
+            for s in self.stages:
+                chain = F.when(F.col("stage") == s, F.lit(Decimal(values[s])).cast(WHOLE)).otherwise(chain)
+            return chain
+
+        epoch_array = F.array(*[F.lit(int(e)) for e in epochs])
+        n = self.n_items
+        drawn = (
+            spark.range(n * len(epochs))
+            .select(
+                F.element_at(epoch_array, (_div(F.col("id"), F.lit(n)) + 1).cast("int")).alias("epoch"),
+                (F.col("id") % n).alias("position"),
+            )
+            .withColumn("stage", stage.cast("int"))
+            .withColumn("u", (hash120(seed, F.col("epoch"), F.col("position")) % per_stage(total)).cast(WHOLE))
+            .withColumn("_c", F.floor(_div(F.col("u"), per_stage(width))).cast(WHOLE))
+        )
+        # at most two rows per range partition and stage
+        placed = drawn.join(
+            F.broadcast(buckets),
+            (F.col("stage") == F.col("_stage"))
+            & (F.col("_c") == F.col("_cell"))
+            & (F.col("u") >= F.col("_lo"))
+            & (F.col("u") < F.col("_hi")),
+        ).select(
+            "stage",
+            F.col("_bucket").alias("_part"),
+            F.pmod(F.xxhash64("epoch", "position"), F.col("_copies")).cast("int").alias("_salt"),
+            (F.col("u") - F.col("_lo")).cast(WHOLE).alias("place"),
+            "epoch",
+            "position",
+        )
+        in_bucket = Window.partitionBy("_part").orderBy("_seq")
+        ends_of_items = [F.sum(F.col("_w")[s].cast(WHOLE)).over(in_bucket) for s in self.stages]
+        starts = self.ranged.withColumn("_ends", F.array(*ends_of_items)).select(
+            "_part",
+            *self.key,
+            F.posexplode(F.arrays_zip("_w", "_ends")).alias("stage", "_s"),
+        ).select(
+            "_part",
+            *self.key,
+            "stage",
+            F.col("_s._w").alias("weight"),
+            (F.col("_s._ends") - F.col("_s._w")).cast(WHOLE).alias("place"),
+        )
+        merged = (
+            starts.filter(F.col("weight") > 0)
+            .join(F.broadcast(copies), ["stage", "_part"])
+            .select(
+                "stage",
+                "_part",
+                F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"),
+                "place",
+                F.struct(*self.key).alias("item"),
+            )
+            .unionByName(placed, allowMissingColumns=True)
+        )
+        last_start = Window.partitionBy("stage", "_part", "_salt").orderBy(
+            "place", F.col("epoch").asc_nulls_first()
+        ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return (
+            merged.withColumn("item", F.last("item", ignorenulls=True).over(last_start))
+            .filter(F.col("position").isNotNull())
+            .select("epoch", "position", "item.*")
+        )
+
+
 def weighted_draws(
     items: DataFrame,
-    stage_weights: dict[int, Column],
+    stage_weights: Sequence[Column],
     epochs: Sequence[int],
     stage: Column,
     key: Sequence[str] = KEY,
@@ -84,114 +226,17 @@ def weighted_draws(
 ) -> DataFrame:
     """As many draws with replacement per epoch as there are items.
 
-    ``stage_weights`` gives the whole-number weight per stage, ``stage`` the
+    ``stage_weights`` gives the whole-number weight of each stage, ``stage`` the
     stage of the ``epoch`` column.  Items lie one after the other on a line, each
     as long as its weight; a draw is a point of that line.  Range partitions of
     the items are the buckets, so no bucket has more than its share of items
     however small their weights.  A draw finds its bucket through a table of
     bucket ends (as many rows as buckets) and its item by one sort per bucket:
     items and draws are merged on their place and the last item start before a
-    draw is the item drawn.  Nothing is compared pairwise.
+    draw is the item drawn.  Nothing is compared pairwise.  Places are whole numbers
+    of up to 37 digits, drawn from 120 bits, so no table is too large for them.
     """
-    spark = items.sparkSession
-    stages = sorted(stage_weights)
-    weights = F.array(
-        *[F.struct(F.lit(s).alias("stage"), stage_weights[s].alias("weight")) for s in stages]
-    )
-    lined = items.select(*key, F.explode(weights).alias("_w")).select(
-        "_w.stage", *key, "_w.weight"
-    )
-    ranged = sorted_ranges(lined, ["stage", *key], "weights")
-
-    # One row per range partition and stage.
-    sizes = (
-        ranged.groupBy("stage", "_part")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
-        .orderBy("stage", "_part")
-        .collect()
-    )
-    n_items = sum(r.n for r in sizes if r.stage == stages[0])
-    total = {s: sum(r.w for r in sizes if r.stage == s) for s in stages}
-    if not n_items or not all(total.values()):
-        raise ValueError("there must be items, and each stage needs a positive total weight")
-    if max(total.values()) >= 2 ** (HASH_BITS - 10):
-        raise ValueError("total weight too large for 60-bit draws; use a smaller weight scale")
-
-    # The line is cut into equal cells; each cell lists the buckets it touches.
-    # A bucket heavier than a cell gets copies of its items, one per salt, and
-    # shares its draws among them; there are at most twice as many salts as buckets.
-    cells = max(1, len(sizes))
-    width = {s: math.ceil(total[s] / cells) for s in stages}
-    ends, salts, start = [], [], dict.fromkeys(stages, 0)
-    for r in sizes:
-        lo, hi = start[r.stage], start[r.stage] + r.w
-        start[r.stage] = hi
-        if hi > lo:
-            copies = math.ceil(r.w / width[r.stage])
-            salts.append((r.stage, r["_part"], copies))
-            for cell in range(lo // width[r.stage], (hi - 1) // width[r.stage] + 1):
-                ends.append((r.stage, cell, r["_part"], lo, hi, copies))
-    buckets = spark.createDataFrame(
-        ends, "_stage int, _cell bigint, _bucket bigint, _lo bigint, _hi bigint, _copies int"
-    )
-    copies = spark.createDataFrame(salts, "stage int, _part bigint, _copies int")
-
-    def per_stage(values: dict[int, int]) -> Column:
-        chain = F.lit(None).cast("bigint")
-        for s in stages:
-            chain = F.when(F.col("stage") == s, F.lit(values[s]).cast("bigint")).otherwise(chain)
-        return chain
-
-    epoch_array = F.array(*[F.lit(int(e)) for e in epochs])
-    draws = (
-        spark.range(n_items * len(epochs))
-        .select(
-            F.element_at(epoch_array, (_div(F.col("id"), F.lit(n_items)) + 1).cast("int")).alias(
-                "epoch"
-            ),
-            (F.col("id") % n_items).alias("position"),
-        )
-        .withColumn("stage", stage.cast("int"))
-        .withColumn("u", F.pmod(hash60(seed, F.col("epoch"), F.col("position")), per_stage(total)))
-        .withColumn("_c", _div(F.col("u"), per_stage(width)))
-    )
-    # at most two rows per range partition and stage
-    placed = draws.join(
-        F.broadcast(buckets),
-        (F.col("stage") == F.col("_stage"))
-        & (F.col("_c") == F.col("_cell"))
-        & (F.col("u") >= F.col("_lo"))
-        & (F.col("u") < F.col("_hi")),
-    ).select(
-        "stage",
-        F.col("_bucket").alias("_part"),
-        F.pmod(F.xxhash64("epoch", "position"), F.col("_copies")).cast("int").alias("_salt"),
-        (F.col("u") - F.col("_lo")).alias("place"),
-        "epoch",
-        "position",
-    )
-    in_bucket = Window.partitionBy("stage", "_part").orderBy("_seq")
-    starts = ranged.withColumn("place", F.sum("weight").over(in_bucket) - F.col("weight"))
-    merged = (
-        starts.filter(F.col("weight") > 0)
-        .join(F.broadcast(copies), ["stage", "_part"])
-        .select(
-            "stage",
-            "_part",
-            F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"),
-            "place",
-            F.struct(*key).alias("item"),
-        )
-        .unionByName(placed, allowMissingColumns=True)
-    )
-    last_start = Window.partitionBy("stage", "_part", "_salt").orderBy(
-        "place", F.col("epoch").asc_nulls_first()
-    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        merged.withColumn("item", F.last("item", ignorenulls=True).over(last_start))
-        .filter(F.col("position").isNotNull())
-        .select("epoch", "position", "item.*")
-    )
+    return _Line(items, key, stage_weights).draws(epochs, stage, seed)
 
 
 def plan_weighted(
@@ -203,12 +248,11 @@ def plan_weighted(
     scale: int = WEIGHT_SCALE,
 ) -> DataFrame:
     """Epoch 0 in order; later epochs draw with weight ``score + 1e-6``."""
-    plan = plan_sequential(items, min(epochs, 1), key)
-    if epochs <= 1:
-        return plan
     weight = integer_weight(F.coalesce(score, F.lit(0.0)) + SCORE_OFFSET, scale)
-    drawn = weighted_draws(items, {0: weight}, range(1, epochs), F.lit(0), key, seed)
-    return plan.unionByName(drawn)
+    if epochs <= 1:
+        return plan_sequential(items, epochs, key)
+    line = _Line(items, key, [weight])
+    return line.positions([0]).unionByName(line.draws(range(1, epochs), F.lit(0), seed))
 
 
 def plan_staged(
@@ -222,19 +266,39 @@ def plan_staged(
     stage_weights: Sequence[float] = STAGE_WEIGHTS,
 ) -> DataFrame:
     """Every epoch draws with the weights of its stage."""
-    weights = {
-        s: integer_weight(staged_weight(F.col(score), s, stage_weights), scale)
+    weights = [
+        integer_weight(staged_weight(F.col(score), s, stage_weights), scale)
         for s in range(len(stage_weights))
-    }
+    ]
     return weighted_draws(
         items, weights, range(epochs), stage_of_epoch(F.col("epoch"), stage_epochs), key, seed
     )
 
 
-def score_quantile(items: DataFrame, fraction: float, score: str = "score_norm", key: Sequence[str] = KEY) -> float | None:
+@dataclass(frozen=True)
+class _Admitted:
+    """What a curriculum needs to know of its items, from one sort by score."""
+
+    limits: list[float]
+    sizes: list[int]
+    ranked: DataFrame
+    n_ranked: int
+    n_hard: int
+
+
+def score_quantile(
+    items: DataFrame, fraction: float, score: str = "score_norm", key: Sequence[str] = KEY
+) -> float | None:
     """Exact quantile with linear interpolation, read from two ranks of a distributed sort."""
-    ranked = with_position(items.select(score, *key).filter(F.col(score).isNotNull()), [score, *key])
-    n = ranked.count()
+    ranked = _ranked(items, score, key)
+    return _quantile(ranked, ranked.count(), fraction, score)
+
+
+def _ranked(items: DataFrame, score: str, key: Sequence[str]) -> DataFrame:
+    return with_position(items.select(score, *key).filter(F.col(score).isNotNull()), [score, *key])
+
+
+def _quantile(ranked: DataFrame, n: int, fraction: float, score: str) -> float | None:
     if not n:
         return None
     at = fraction * (n - 1)
@@ -249,6 +313,30 @@ def score_quantile(items: DataFrame, fraction: float, score: str = "score_norm",
     return near[0] + (near[-1] - near[0]) * (at - low)
 
 
+def _within(items: DataFrame, limits: Sequence[float], score: str, hard: float) -> tuple[int, int, int, list[int]]:
+    """Rows, ranked rows, hard rows, and rows within each limit; one pass."""
+    row = items.agg(
+        F.count(F.lit(1)),
+        F.count(score),
+        F.count(F.when(F.col(score) > hard, 1)),
+        *[F.count(F.when(F.col(score) <= x, 1)) for x in limits],
+    ).first()
+    return row[0], row[1], row[2], list(row[3:])
+
+
+def _admit(items: DataFrame, settings: Curriculum, score: str, key: Sequence[str]) -> _Admitted:
+    ranked = _ranked(items, score, key)
+    limits = settings.limits()
+    n, n_ranked, n_hard, sizes = _within(items, limits, score, settings.hard_score)
+    short = [i for i, size in enumerate(sizes) if size < settings.min_coverage * n]
+    if short and n_ranked:
+        quantile = _quantile(ranked, n_ranked, settings.min_coverage, score)
+        size = ranked.filter(F.col(score) <= quantile).count()
+        for i in short:
+            limits[i], sizes[i] = quantile, size
+    return _Admitted(limits, sizes, ranked, n_ranked, n_hard)
+
+
 def curriculum_limits(
     items: DataFrame,
     settings: Curriculum = Curriculum(),
@@ -256,17 +344,13 @@ def curriculum_limits(
     key: Sequence[str] = KEY,
 ) -> list[float]:
     """Score limit per epoch; epochs that would admit too few items use the quantile."""
-    limits = settings.limits()
-    counts = items.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(F.when(F.col(score) <= x, 1)).alias(f"e{i}") for i, x in enumerate(limits)],
-    ).first()
-    short = [i for i in range(len(limits)) if counts[f"e{i}"] < settings.min_coverage * counts.n]
-    if short:
-        quantile = score_quantile(items, settings.min_coverage, score, key)
-        for i in short:
-            limits[i] = limits[i] if quantile is None else quantile
-    return limits
+    return _admit(items, settings, score, key).limits
+
+
+def _eligible(items: DataFrame, limits: Sequence[float], score: str, columns: Sequence[str]) -> DataFrame:
+    admitted = F.array(*[F.when(F.col(score) <= x, F.lit(i)) for i, x in enumerate(limits)])
+    epochs = F.filter(admitted, lambda e: e.isNotNull())
+    return items.select(F.explode(epochs).alias("epoch"), *columns)
 
 
 def curriculum_eligible(
@@ -277,11 +361,7 @@ def curriculum_eligible(
 ) -> DataFrame:
     """(epoch, key, score) of every item admitted in an epoch."""
     limits = curriculum_limits(items, settings, score, key)
-    admitted = F.array(
-        *[F.when(F.col(score) <= x, F.lit(i)) for i, x in enumerate(limits)]
-    )
-    epochs = F.filter(admitted, lambda e: e.isNotNull())
-    return items.select(F.explode(epochs).alias("epoch"), *key, score)
+    return _eligible(items, limits, score, [*key, score])
 
 
 def curriculum_oversample(
@@ -290,38 +370,45 @@ def curriculum_oversample(
     score: str = "score_norm",
     key: Sequence[str] = KEY,
     seed: int = 0,
-    eligible: DataFrame | None = None,
+    with_score: bool = False,
 ) -> DataFrame:
     """Extra draws of hard items for the early epochs, at the end of each epoch.
 
-    The hard items are numbered, so a draw is an equi-join on the number.
+    The hard items are numbered in score order, so a draw is an equi-join on the
+    number.
     """
-    eligible = curriculum_eligible(items, settings, score, key) if eligible is None else eligible
+    kept = [*key, score] if with_score else list(key)
+    return _oversample(_admit(items, settings, score, key), settings, score, kept, seed)
+
+
+def _oversample(
+    admitted: _Admitted, settings: Curriculum, score: str, kept: Sequence[str], seed: int
+) -> DataFrame:
     early = [e for e, x in enumerate(settings.limits()) if x < settings.oversample_below]
-    sizes = {r.epoch: r["count"] for r in eligible.groupBy("epoch").count().collect()}
-    hard = with_position(
-        items.filter(F.col(score) > settings.hard_score).select(*key), list(key), name="_number"
-    )
-    n_hard = hard.count()
-    spark = items.sparkSession
-    parts = []
-    for epoch in early if n_hard else []:
-        size = sizes.get(epoch, 0)
-        parts.append(
-            spark.range(int(size * settings.oversample_share)).select(
-                F.lit(epoch).alias("epoch"),
-                (F.col("id") + size).alias("position"),
-                F.pmod(hash60(seed, "hard", epoch, F.col("id")), F.lit(n_hard)).alias("_number"),
-            )
+    extra = [(e, size, int(size * settings.oversample_share)) for e, size in enumerate(admitted.sizes) if e in early]
+    # Hard items stand last in the order of scores.
+    hard = admitted.ranked.filter(F.col(score) > settings.hard_score).withColumn(
+        "_number", F.col("position") - (admitted.n_ranked - admitted.n_hard)
+    ).select("_number", *kept)
+    spark = hard.sparkSession
+    draws = None
+    for epoch, size, n in extra if admitted.n_hard else []:
+        part = spark.range(n).select(
+            F.lit(epoch).alias("epoch"),
+            (F.col("id") + size).alias("position"),
+            F.pmod(hash60(seed, "hard", epoch, F.col("id")), F.lit(admitted.n_hard)).alias("_number"),
         )
-    if not parts:
+        draws = part if draws is None else draws.unionByName(part)
+    if draws is None:
         return hard.filter(F.lit(False)).select(
-            F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("position"), *key
+            F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("position"), *kept
         )
-    draws = parts[0]
-    for part in parts[1:]:
-        draws = draws.unionByName(part)
-    return draws.join(hard, "_number").select("epoch", "position", *key)
+    # Few hard items share many draws: a number is cut over copies of its item, so
+    # that no copy has more than some thousand draws.
+    copies = max(1, sum(n for _, _, n in extra) // (admitted.n_hard * DRAWS_PER_NUMBER))
+    salted = hard.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    dealt = draws.withColumn("_salt", F.pmod(F.xxhash64("epoch", "position"), F.lit(copies)).cast("int"))
+    return dealt.join(salted, ["_number", "_salt"]).select("epoch", "position", *kept)
 
 
 def plan_curriculum(
@@ -330,19 +417,23 @@ def plan_curriculum(
     score: str = "score_norm",
     key: Sequence[str] = KEY,
     seed: int = 0,
+    with_score: bool = False,
 ) -> DataFrame:
-    """Shuffled eligible items per epoch, then the extra hard draws."""
-    eligible = curriculum_eligible(items, settings, score, key)
+    """Shuffled eligible items per epoch, then the extra hard draws.
+
+    ``with_score`` keeps the score, so that statistics of the plan need no join.
+    Building the frame sorts the items and counts them.
+    """
+    kept = [*key, score] if with_score else list(key)
+    admitted = _admit(items, settings, score, key)
     shuffled = with_position(
-        eligible.select(
-            "epoch", *key, hash60(seed, F.col("epoch"), *[F.col(k) for k in key]).alias("_h")
+        _eligible(items, admitted.limits, score, [*key, score]).select(
+            "epoch", *kept, hash60(seed, F.col("epoch"), *[F.col(k) for k in key]).alias("_h")
         ),
         ["_h", *key],
         within=["epoch"],
-    ).select("epoch", "position", *key)
-    return shuffled.unionByName(
-        curriculum_oversample(items, settings, score, key, seed, eligible)
-    )
+    ).select("epoch", "position", *kept)
+    return shuffled.unionByName(_oversample(admitted, settings, score, kept, seed))
 
 
 METHODS = ("sequential", "sorted", "shuffle", "weighted", "staged", "curriculum")

@@ -36,9 +36,13 @@ def write_dataset(
     df.write.mode(mode).partitionBy(*partition_by).format(fmt).save(path)
 
 
-def append_results(df: DataFrame, path: str, batch_id: int) -> None:
-    """Add one batch; writing the same batch again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+def append_results(df: DataFrame, path: str, batch_id: int, stream: str = "default") -> None:
+    """Add one batch of one stream; only the same batch written again is replaced.
+
+    Batch numbers restart with every checkpoint, so ``stream`` must tell the
+    checkpoints that write to ``path`` apart.
+    """
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream={stream}/batch={batch_id}")
 
 
 def histogram_line() -> Column:
@@ -80,7 +84,10 @@ def metrics_table(metrics: DataFrame) -> DataFrame:
 
 
 def write_metrics(metrics: DataFrame, path: str, fmt: str = "csv") -> None:
-    """One folder per data set holding the metrics of its models."""
-    table = metrics_table(metrics).coalesce(1)
+    """One folder per data set holding the metrics of its models.
+
+    Each data set is gathered in one file; the metrics before that are not.
+    """
+    table = metrics_table(metrics).repartition("dataset")
     writer = table.write.partitionBy("dataset").format(fmt)
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)

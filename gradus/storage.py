@@ -12,20 +12,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Written by this process and not yet released, per application.
+_written: dict[str, list[str]] = {}
+_own_folder: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one only for local masters."""
+    """The shared folder of this session.
+
+    Under a local master that names none, a folder of this application's own; on a
+    cluster the session must name one, as a local folder would not be shared.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.gettempdir()
-    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    application = spark.sparkContext.applicationId
+    if application not in _own_folder:
+        _own_folder[application] = tempfile.mkdtemp(prefix="gradus-")
+    return _own_folder[application]
 
 
 def run_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/gradus/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; :func:`release` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/gradus/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -36,12 +49,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition an input that has fewer scan partitions than cores.
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables this application has written to the shared folder.
 
-    A scan is only that narrow when it holds a few MB per core, so this moves
-    little data and never touches a large input.  Scoring is costly per byte and
-    would otherwise leave cores idle.
+    Call it when the results that were built on them have been written or read:
+    frames built before cannot be read again.  Returns how many were removed.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        files, place = _file_system(spark, path)
+        files.delete(place, True)
+    return len(paths)

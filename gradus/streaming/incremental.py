@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions.completions import parse_extraction, parse_option_analysis
@@ -16,20 +16,37 @@ from gradus.operators.generate import Generate, generate_batch
 from gradus.operators.joins import anti_join_done
 from gradus.operators.scoring import normalise, with_raw_score
 from gradus.sources.sinks import append_results
-from gradus.storage import spread
+from gradus.storage import exists
 
 KEYS = ("dataname", "id")
 
 
-def finished(spark, path: str, batch_id: int | None = None) -> DataFrame | None:
-    """Keys already generated without an error, leaving out the batch being (re)written."""
-    try:
-        out = spark.read.parquet(path)
-    except AnalysisException:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a streaming query keeps in its checkpoint for all its runs."""
+    lines = spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()
+    return json.loads(lines[0])["id"]
+
+
+def finished(
+    spark: SparkSession,
+    path: str,
+    batch_id: int | None = None,
+    stream: str | None = None,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame | None:
+    """Keys already done without an error, leaving out the batch being (re)written.
+
+    None when nothing was written yet; a path that cannot be read is an error.
+    """
+    if not exists(spark, path):
         return None
+    out = spark.read.parquet(path)
     if batch_id is not None:
-        out = out.filter(F.col("batch") != batch_id)
-    return out.filter(F.col("error").isNull()).select(*KEYS)
+        rewritten = (F.col("batch") == batch_id) & (F.col("stream") == stream)
+        out = out.filter(~rewritten)
+    if "error" in out.columns:
+        out = out.filter(F.col("error").isNull())
+    return out.select(*keys)
 
 
 def extract_step(items: DataFrame, make_generate: Callable[[], Generate]) -> DataFrame:
@@ -61,29 +78,33 @@ def incremental_extract(
     """Process what a streaming source of items has new, then stop.
 
     Finished keys are skipped by an anti join, so a batch that failed is done
-    again while a key that succeeded is never generated twice.  A replayed batch
-    overwrites its own output.
+    again while a key that succeeded is never generated twice, whatever checkpoint
+    its run had.  A replayed batch overwrites its own output and no other.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        done = finished(batch.sparkSession, path, batch_id)
+        stream = stream_id(batch.sparkSession, checkpoint)
+        done = finished(batch.sparkSession, path, batch_id, stream)
         todo = batch if done is None else anti_join_done(batch, done, KEYS)
-        append_results(step(todo, make_generate), path, batch_id)
+        append_results(step(todo, make_generate), path, batch_id, stream)
 
-    query = (
-        items.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _run(items, handle, checkpoint)
 
 
-def incremental_score(items: DataFrame, stats: DataFrame, path: str, checkpoint: str) -> None:
+def incremental_score(
+    items: DataFrame,
+    stats: DataFrame,
+    path: str,
+    checkpoint: str,
+    partitions: int | None = None,
+    keys: Sequence[str] = KEYS,
+) -> None:
     """Score new items with frozen statistics and append them.
 
     The statistics of a data set are never final on a stream, so one row of
-    earlier statistics is read first and used for every new item.
+    earlier statistics is read first and used for every new item.  Keys scored
+    before, under any checkpoint, are skipped.  ``partitions`` deals each batch out
+    before scoring; give it when the arriving files are few and cannot be split.
     """
     row = stats.select("mean", "variance").first()
     frozen = items.sparkSession.range(0, 1, 1, 1).select(
@@ -91,8 +112,16 @@ def incremental_score(items: DataFrame, stats: DataFrame, path: str, checkpoint:
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        append_results(normalise(with_raw_score(spread(batch)), frozen), path, batch_id)
+        stream = stream_id(batch.sparkSession, checkpoint)
+        done = finished(batch.sparkSession, path, batch_id, stream, keys)
+        todo = batch if partitions is None else batch.repartition(partitions)
+        todo = todo if done is None else anti_join_done(todo, done, keys)
+        append_results(normalise(with_raw_score(todo), frozen), path, batch_id, stream)
+
+    _run(items, handle, checkpoint)
+
 
+def _run(items: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     query = (
         items.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)

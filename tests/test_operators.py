@@ -56,12 +56,6 @@ def test_positions_of_nothing(spark):
     assert O.with_position(df.filter("id < 0"), ["id"]).collect() == []
 
 
-def test_broadcast_only_when_small(spark):
-    plan = lambda df: df._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan(O.broadcast_if_small(spark.range(5), 5))
-    assert "broadcast" not in plan(O.broadcast_if_small(spark.range(6), 5))
-
-
 def test_normalise(spark):
     rows, df = scored(spark)
     x = np.array([r[3] for r in rows])
