@@ -11,7 +11,9 @@ character), so words are segmented by themselves and remembered in a bounded cac
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -52,6 +54,7 @@ class PieceModel:
         for i in normal:
             self.automaton.add_word(self.pieces[i], (i, len(self.pieces[i]), model.get_score(i)))
         self.automaton.make_automaton()
+        self.known = {self.pieces[i] for i in normal if len(self.pieces[i]) == 1}
         self.unknown = min(model.get_score(i) for i in normal) - UNKNOWN_PENALTY
         self.surface = [b""] * n
         for i in normal:
@@ -70,23 +73,20 @@ class PieceModel:
 
     def viterbi(self, text: str) -> list[int]:
         """Best segmentation of ``text``: one pass, ties to the longest last piece."""
-        n = len(text)
-        best = [0.0] + [-np.inf] * n
-        came: list[tuple[int, int] | None] = [None] * (n + 1)
-        for end, found in enumerate(self._outputs(text)):
-            top, back, single = -np.inf, None, False
-            for piece, length, score in found:
-                score += best[end + 1 - length]
-                single |= length == 1
-                if score > top:
-                    top, back = score, (piece, length)
-            if not single and best[end] + self.unknown > top:
-                top, back = best[end] + self.unknown, (-1, 1)
-            best[end + 1], came[end + 1] = top, back
+        best = [0.0] + [-math.inf] * len(text)
+        came: list = [None] * (len(text) + 1)
+        if self.known.issuperset(text):
+            # Every character is a piece, so every place is reached by pieces alone.
+            for end, output in self.automaton.iter(text):
+                score = best[end + 1 - output[1]] + output[2]
+                if score > best[end + 1]:
+                    best[end + 1], came[end + 1] = score, output
+        else:
+            self._relax_with_unknown(text, best, came)
         ids: list[int] = []
-        at = n
+        at = len(text)
         while at:
-            piece, length = came[at]  # type: ignore[misc]
+            piece, length, _ = came[at]
             if piece >= 0:
                 ids.append(piece)
             else:
@@ -95,6 +95,18 @@ class PieceModel:
         ids.reverse()
         return ids
 
+    def _relax_with_unknown(self, text: str, best: list[float], came: list) -> None:
+        for end, found in enumerate(self._outputs(text)):
+            single = False
+            for output in found:
+                single |= output[1] == 1
+                score = best[end + 1 - output[1]] + output[2]
+                if score > best[end + 1]:
+                    best[end + 1], came[end + 1] = score, output
+            score = best[end] + self.unknown
+            if not single and score > best[end + 1]:
+                best[end + 1], came[end + 1] = score, (-1, 1, self.unknown)
+
     def _outputs(self, text: str) -> Iterator[list]:
         """The pieces that end at each place, without holding those of the whole text."""
         at, found = 0, []
@@ -122,16 +134,19 @@ class PieceModel:
 
 
 class _Words(dict):
-    """Word to packed identifiers; emptied when full, so its size is bounded."""
+    """Word to packed identifiers; at most twice ``limit`` words, the latest used."""
 
     def __init__(self, model: PieceModel, limit: int) -> None:
         super().__init__()
-        self.model, self.limit = model, limit
+        self.model, self.limit, self.before = model, limit, {}
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.model.viterbi(word), dtype=np.int32).tobytes()
+        packed = self.before.get(word)
+        if packed is None:
+            packed = array("i", self.model.viterbi(word)).tobytes()
         if len(word) <= 64:
             if len(self) >= self.limit:
+                self.before = dict(self)
                 self.clear()
             self[word] = packed
         return packed
