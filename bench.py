@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import QUERIES  # noqa: E402
+from gradus.shipping import ship  # noqa: E402
+from gradus.storage import release  # noqa: E402
 
 HEADLINE = [
     "src_text_blocks",
@@ -57,17 +60,20 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 1))
     names = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
+    folder = tempfile.mkdtemp(prefix="gradus-bench-")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", folder)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark, os.path.join(os.path.dirname(os.path.abspath(__file__)), "checks"))
     spark.read.parquet(f"{sf_dir}/documents.parquet").write.format("noop").mode("overwrite").save()
 
     seconds = {}
@@ -75,6 +81,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+        release(spark)
     print(
         json.dumps(
             {

@@ -47,12 +47,14 @@ def normalize_prediction(spark, sf_dir):
 
 @query(
     "lower_labels",
-    "SELECT conv_id, turn, lower(role || ' ' || text) AS label FROM conversations",
+    "SELECT conv_id, turn AS predict, lower(role || ' ' || text) AS label FROM conversations",
 )
 def lower_labels(spark, sf_dir):
-    return V.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.lower(F.concat_ws(" ", "role", "text")).alias("label")
+    """Labels are texts, predictions numbers that stay as they are."""
+    turns = V.table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").alias("predict"), F.concat_ws(" ", "role", "text").alias("label")
     )
+    return G.lower_labels(turns)
 
 
 PARSED = """CASE WHEN regexp_full_match(lower(trim({c})), '[0-9]+') THEN TRY_CAST(trim({c}) AS BIGINT)

@@ -388,3 +388,28 @@ def split_train_eval_exact(spark, sf_dir):
     return split_train_eval(V.items(spark, sf_dir), seed=SEED, exact=True).select(
         "dataname", "id", "role"
     )
+
+
+@query(
+    "split_train_eval_none",
+    Q.sql("SELECT dataname, id, 'train' AS role FROM items", "items"),
+)
+def split_train_eval_none(spark, sf_dir):
+    """Everything is for training."""
+    return split_train_eval(V.items(spark, sf_dir), mode=0).select("dataname", "id", "role")
+
+
+@query(
+    "split_train_eval_given",
+    Q.sql(
+        "SELECT dataname, id, CASE WHEN split = 'test' THEN 'eval' ELSE 'train' END AS role FROM items",
+        "items",
+    ),
+)
+def split_train_eval_given(spark, sf_dir):
+    """The test items are the evaluation set."""
+    items = V.items(spark, sf_dir)
+    test = F.col("split") == "test"
+    return split_train_eval(items.filter(~test), mode=2, eval_df=items.filter(test)).select(
+        "dataname", "id", "role"
+    )

@@ -84,42 +84,55 @@ def src_scan_ext(spark, sf_dir):
     return found.unionByName(pages).select("ext", "v.*")
 
 
-BLOCK_LETTER_SQL = "CASE lang WHEN 'en' THEN 'b' WHEN 'fr' THEN 'D' WHEN 'de' THEN 'x' END"
-
-
 @query(
     "src_text_blocks",
     f"""SELECT 'blocks' AS dataname, 'MCQA' AS task_type, '' AS reasoning_type,
   {strip(ONE_LINE_SQL)} AS context, 'Q ' || doc_id AS question,
-  'one' || {SEP} || 'two ' || n_chars || {SEP} || 'three' || {SEP} || 'four' AS options,
+  'one' || {SEP} || 'two ' || n_chars || {SEP} || CASE lang WHEN 'es' THEN '' ELSE 'three' END || {SEP} || 'four' AS options,
   CASE lang WHEN 'en' THEN '1' WHEN 'fr' THEN '3' ELSE '' END AS answer, 'train' AS split,
-  NULL::VARCHAR AS reject_reason
-FROM documents WHERE {strip(ONE_LINE_SQL)} <> ''""",
+  NULL::VARCHAR AS reject_reason, NULL::VARCHAR AS raw
+FROM documents WHERE {strip(ONE_LINE_SQL)} <> ''
+UNION ALL SELECT 'blocks', 'MCQA', '', {strip(ONE_LINE_SQL)}, 'Q ' || item_id, 'one', '1', 'train',
+  'block ends before its last option', 'b' || chr(10) || {strip(ONE_LINE_SQL)} || chr(10) || 'Q ' || item_id || chr(10) || 'A. one'
+FROM benchmark""",
 )
 def src_text_blocks(spark, sf_dir):
+    """Line ends, blank lines and letters differ by language; files of one cut block each.
+
+    English blocks have Windows line ends, French ones a blank line of spaces, German
+    ones nothing between them, Spanish ones an empty option and no letter.
+    """
+    context = X.strip(one_line("text"))
+
+    def block(letter, end, third, after):
+        lines = [context, F.concat(F.lit("Q "), "doc_id"), F.lit("A. one")]
+        lines += [F.concat(F.lit("B.two "), "n_chars"), F.lit(third), F.lit("D. four")]
+        return F.concat(F.lit(letter + end if letter else ""), F.concat_ws(end, *lines), F.lit(after))
+
     lang = F.col("lang")
-    letter = F.when(lang == "en", "b\n").when(lang == "fr", "D\n").when(lang == "de", "x\n").otherwise("")
-    block = F.concat(
-        letter,
-        X.strip(one_line("text")),
-        F.lit("\nQ "),
-        "doc_id",
-        F.lit("\nA. one\nB.two "),
-        "n_chars",
-        F.lit("\nthree\nD. four\n"),
+    text = (
+        F.when(lang == "en", block("b", "\r\n", "three", "\r\n"))
+        .when(lang == "fr", block("D", "\n", "three", "\n \t"))
+        .when(lang == "de", block("x", "\n", "three", ""))
+        .otherwise(block("", "\n", "", "\n"))
     )
-    named = documents(spark, sf_dir).filter(X.strip(one_line("text")) != "")
-    path = write_text(named, block, spark, "blocks")
-    return shown(R.read_text_blocks(spark, path, "blocks", default_split="train"))
+    root = run_path(spark, "blocks")
+    named = documents(spark, sf_dir).filter(context != "")
+    named.select(text.alias("value")).write.text(f"{root}/whole")
+    cut = F.concat(F.lit("b\n"), context, F.lit("\nQ "), "item_id", F.lit("\nA. one"))
+    write_one_file_each(V.table(spark, sf_dir, "benchmark"), cut, f"{root}/cut")
+    return shown(R.read_text_blocks(spark, root, "blocks", default_split="train"), "raw")
 
 
 @query(
     "src_jsonl_mcqa",
     f"""SELECT 'lines' AS dataname, 'MCQA' AS task_type, '' AS reasoning_type, text AS context, 'Q ' || doc_id AS question,
   CASE lang WHEN 'de' THEN '' ELSE array_to_string(string_split(text, chr(10))[1:4], {SEP}) END AS options,
-  n_chars::VARCHAR AS answer, 'dev' AS split, NULL::VARCHAR AS reject_reason
+  n_chars::VARCHAR AS answer, 'dev' AS split, NULL::VARCHAR AS reject_reason, NULL::VARCHAR AS raw,
+  CASE lang WHEN 'de' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_options
 FROM documents WHERE lang <> 'es'
-UNION ALL SELECT 'lines', 'MCQA', '', '', '', '', '', 'dev', 'invalid JSON' FROM documents WHERE lang = 'es'""",
+UNION ALL SELECT 'lines', 'MCQA', '', '', '', '', '', 'dev', 'invalid JSON', '{{"text": ' || {ONE_LINE_SQL}, 0
+FROM documents WHERE lang = 'es'""",
 )
 def src_jsonl_mcqa(spark, sf_dir):
     """German options are no list; Spanish lines do not parse."""
@@ -137,7 +150,11 @@ def src_jsonl_mcqa(spark, sf_dir):
         .otherwise(listed)
     )
     path = write_text(documents(spark, sf_dir), F.concat(line, F.lit("\n")), spark, "lines")
-    return shown(R.read_jsonl_mcqa(spark, path, "lines", default_split="dev"))
+    return shown(
+        R.read_jsonl_mcqa(spark, path, "lines", default_split="dev"),
+        "raw",
+        F.col("n_options").cast("bigint").alias("n_options"),
+    )
 
 
 def chunked(df, entry):
@@ -215,10 +232,10 @@ def src_nested_qa_bqa(spark, sf_dir):
 
 @query(
     "src_union_folder",
-    f"""SELECT doc_id AS id, text AS context, NULL::VARCHAR AS reject_reason FROM documents
-UNION ALL SELECT count(*), source, NULL FROM documents GROUP BY source
-UNION ALL SELECT NULL, NULL, 'invalid JSON' FROM documents GROUP BY source
-UNION ALL SELECT NULL, NULL, 'invalid JSON' FROM documents GROUP BY source""",
+    f"""SELECT doc_id AS id, text AS context, NULL::VARCHAR AS reject_reason, NULL::VARCHAR AS raw FROM documents
+UNION ALL SELECT count(*), source, NULL, NULL FROM documents GROUP BY source
+UNION ALL SELECT NULL, NULL, 'invalid JSON', count(*)::VARCHAR FROM documents GROUP BY source
+UNION ALL SELECT NULL, NULL, 'invalid JSON', '{{"id": ' || source FROM documents GROUP BY source""",
 )
 def src_union_folder(spark, sf_dir):
     """Arrays of documents, one object, one bare number and one broken file per source."""
@@ -231,7 +248,7 @@ def src_union_folder(spark, sf_dir):
     write_one_file_each(sizes, F.col("id").cast("string"), f"{root}/scalars")
     write_one_file_each(sizes, F.concat(F.lit('{"id": '), "source"), f"{root}/broken")
     rows = R.read_union_folder(spark, root, "id bigint, context string", extension=".txt")
-    return rows.select("id", "context", "reject_reason")
+    return rows.select("id", "context", "reject_reason", X.strip(F.col("raw")).alias("raw"))
 
 
 @query(
@@ -254,11 +271,7 @@ def write_predictions(spark, sf_dir) -> dict[str, str]:
     """A folder per data set with a folder per model."""
     root = run_path(spark, "predictions")
     made = materialise(V.all_predictions(spark, sf_dir), "predictions-table")
-    for dataset in ("labels", "embeddings"):
-        for model in ("even", "odd"):
-            made.filter((F.col("dataset") == dataset) & (F.col("model") == model)).select(
-                "label", "predict"
-            ).write.json(f"{root}/{dataset}/{model}")
+    K.write_predictions(made, root)
     return {d: f"{root}/{d}" for d in ("labels", "embeddings")}
 
 
@@ -267,7 +280,7 @@ def write_predictions(spark, sf_dir) -> dict[str, str]:
     Q.sql("SELECT dataset, model, label, predict FROM all_predictions", "all_predictions"),
 )
 def src_predictions_tree(spark, sf_dir):
-    found = R.read_predictions_tree(spark, write_predictions(spark, sf_dir), file_glob="*.json")
+    found = R.read_predictions_tree(spark, write_predictions(spark, sf_dir))
     return found.select("dataset", "model", "label", "predict")
 
 
@@ -283,7 +296,7 @@ def src_predictions_folders(spark, sf_dir):
     """The second folder does not exist and is skipped."""
     roots = write_predictions(spark, sf_dir)
     folders = [roots["embeddings"], roots["labels"] + "-missing", roots["labels"]]
-    return R.read_predictions_folders(spark, folders, file_glob="*.json").select(
+    return R.read_predictions_folders(spark, folders).select(
         F.col("source_rank").cast("bigint").alias("source_rank"), "label", "predict"
     )
 

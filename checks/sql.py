@@ -134,7 +134,7 @@ CTES = {
   FROM labels)""",
     "classes": """classes AS (
   SELECT vec_id, (label % 4)::VARCHAR AS label,
-    ((label + CASE WHEN embedding[1] > 0.1 THEN 1 ELSE 0 END) % 4)::VARCHAR AS predict
+    ((label + CASE WHEN len(list_filter(embedding, lambda x: x > 0)) > len(embedding) / 2 THEN 1 ELSE 0 END) % 4)::VARCHAR AS predict
   FROM embeddings)""",
     "scored_predictions": """scored_predictions AS (
   SELECT y.*, s.score_log, s.score_norm FROM yes_no y JOIN scores s ON y.doc_id = s.id)""",

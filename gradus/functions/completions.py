@@ -50,14 +50,9 @@ def _whole_lists(text: Column) -> Column:
     """The three lists as JSON arrays; null where one is missing or does not parse."""
 
     def read(key: str) -> Column:
+        # The parser stops at the end of the array, whatever follows it.
         tail = F.regexp_extract(text, _TAIL_PATTERN.format(key=key), 1)
-        parsed = F.from_json(
-            F.concat(F.lit('{"v": '), tail), f"v array<string>, {_CORRUPT} string", _JSON_OPTIONS
-        )
-        return _once(
-            F.struct((tail != "").alias("found"), parsed.alias("p")),
-            lambda x: F.when(x["found"] & x["p"][_CORRUPT].isNull(), x["p"]["v"]),
-        )
+        return F.from_json(tail, "array<string>")
 
     return F.struct(*[read(key).alias(name) for name, key in EXTRACTION_KEYS.items()])
 

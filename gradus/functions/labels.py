@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gradus.functions.text import strip
 
@@ -23,6 +26,12 @@ def normalize_prediction(text: Column, task_type: Column) -> Column:
     return F.when(task_type == "BQA", yes_no).when(task_type == "MCQA", digit)
 
 
+def lower_labels(df: DataFrame, columns: Sequence[str] = ("label", "predict")) -> DataFrame:
+    """Lower-case the label columns that hold text; others stay as they are."""
+    texts = [f.name for f in df.schema.fields if f.name in columns and isinstance(f.dataType, StringType)]
+    return df.withColumns({c: F.lower(F.col(f"`{c}`")) for c in texts})
+
+
 def parse_label(label: Column) -> Column:
     """Class number: digits as integer, yes/no as 1/0, otherwise null."""
     text = F.lower(strip(label))

@@ -41,10 +41,12 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
-def truncate_options(options: Column, task_type: Column) -> Column:
-    """First four options; none for yes/no tasks or when there is no list."""
+def truncate_options(
+    options: Column, task_type: Column, max_options: int | None = MAX_OPTIONS
+) -> Column:
+    """First ``max_options`` options (None: all); none for yes/no tasks or without a list."""
     kept = F.when(task_type.isin(*NO_OPTION_TASKS), F.array().cast("array<string>")).otherwise(
-        F.slice(options, 1, MAX_OPTIONS)
+        options if max_options is None else F.slice(options, 1, max_options)
     )
     return F.coalesce(kept, F.array().cast("array<string>"))
 

@@ -23,10 +23,25 @@ def generate_column(
     """Struct of ``generated_text`` and ``error`` per prompt.
 
     ``make_generate`` is called once per task and returns the function that turns
-    a list of prompts into as many texts.  A batch that raises gives its rows an
-    error instead of losing them; null prompts are passed over.
+    a list of prompts into as many texts.  A batch that raises is tried again in
+    halves, so only the prompts that fail by themselves get an error; null prompts
+    are passed over.  Arrow hands over ``spark.sql.execution.arrow.maxRecordsPerBatch``
+    prompts at once: lower it where prompts are very long.
     """
 
+    def fill(generate: Generate, prompts: pd.Series, rows: list[int], texts: pd.Series, errors: pd.Series) -> None:
+        try:
+            made = list(generate([prompts.iloc[i] for i in rows]))
+            if len(made) != len(rows):
+                raise ValueError(f"{len(rows)} prompts but {len(made)} texts")
+            texts.iloc[rows] = made
+        except Exception as failure:  # any failure of the user's model
+            if len(rows) > 1:
+                for half in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+                    fill(generate, prompts, half, texts, errors)
+            else:
+                errors.iloc[rows] = f"{type(failure).__name__}: {failure}"
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         generate = make_generate()
         for prompts in batches:
@@ -34,14 +49,7 @@ def generate_column(
             errors = pd.Series([None] * len(prompts), dtype=object)
             wanted = [i for i, p in enumerate(prompts) if p is not None]
             for at in range(0, len(wanted), batch_size):
-                rows = wanted[at : at + batch_size]
-                try:
-                    made = list(generate([prompts.iloc[i] for i in rows]))
-                    if len(made) != len(rows):
-                        raise ValueError(f"{len(rows)} prompts but {len(made)} texts")
-                    texts.iloc[rows] = made
-                except Exception as failure:  # any failure of the user's model
-                    errors.iloc[rows] = f"{type(failure).__name__}: {failure}"
+                fill(generate, prompts, wanted[at : at + batch_size], texts, errors)
             yield pd.DataFrame({"generated_text": texts, "error": errors})
 
     # annotations stay strings under the __future__ import, so give the types here

@@ -23,13 +23,24 @@ SCAN_ORDER = ("_file", "_block", "_row")
 NESTED_ORDER = ("_sample", "_pair")
 
 
+#: Names the setting that overrides how many ranges are made.
+RANGES_SETTING = "gradus.ranges"
+
+
 def range_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Ranges to cut an order into: ``gradus.ranges``, or else the shuffle partitions.
+
+    Adaptive execution does not change this number, so set one of the two to the
+    size of the input on the cluster.
+    """
+    conf = df.sparkSession.conf
+    return int(conf.get(RANGES_SETTING, None) or conf.get("spark.sql.shuffle.partitions"))
 
 
 def sorted_ranges(df: DataFrame, keys: Sequence[Column | str], label: str) -> DataFrame:
     """``df`` range-partitioned and sorted on ``keys``, written to the shared folder.
 
+    Whole rows are moved and written: with wide rows, pass keys and join the rest.
     Adds ``_part`` (range number) and ``_seq`` (row number inside the range).
     """
     marked = (
@@ -113,17 +124,35 @@ def _positions_in_scan_order(df: DataFrame, start: int) -> DataFrame:
     if not blocks.filter(F.col("_last") - F.col("_first") + 1 != F.col("_rows")).isEmpty():
         order = [c for c in (*SCAN_ORDER, *NESTED_ORDER) if c in df.columns]
         return with_position(marked.drop("_mark"), order, start=start, name="id")
-    # One row per block of a file (some 128 MB of input), so the window is small.
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        *block,
-        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + start).alias("_off"),
+    offsets = running_sum(blocks, block, "_rows", "_before").select(
+        *block, (F.col("_before") - F.col("_first") + start).alias("_off")
     )
-    return marked.join(broadcast_if_small(offsets), block).select(
+    return marked.join(offsets, block).select(
         (F.col("_off") + F.col("_mark")).alias("id"), *[F.col(f"`{c}`") for c in df.columns]
     )
 
 
+def running_sum(df: DataFrame, order_by: Sequence[Column | str], value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows before, in ``order_by`` order.
+
+    Sums run inside each range; only the totals of the ranges are added up in one
+    place, as many as there are range partitions.
+    """
+    ranged = sorted_ranges(df, order_by, "sums")
+    earlier = (Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_total"))
+    over = Window.orderBy("_part").rowsBetween(*earlier)
+    before = totals.select(
+        F.col("_part").alias("_p"), F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_earlier")
+    )
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy("_seq").rowsBetween(*earlier))
+    return (
+        ranged.withColumn("_own", F.coalesce(own, F.lit(0)))
+        .join(F.broadcast(before), F.col("_part") == F.col("_p"))
+        .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_own") + F.col("_earlier")).alias(name))
+    )
+
+
 def order_by_score(
     df: DataFrame, score: str, tie: str, descending: bool = False
 ) -> DataFrame:

@@ -8,9 +8,9 @@ and ``assign_ids`` for sequential ids.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,12 +18,15 @@ from pyspark.sql import types as T
 from gradus.functions import text as X
 from gradus.operators.ordering import SCAN_ORDER
 from gradus.schema import PREDICTION
+from gradus.sources import blocks as B
+from gradus.storage import exists
 
 ITEM_COLUMNS = [
     "id", "dataname", "task_type", "reasoning_type", "context", "question", "options", "answer",
     "split",
 ]
 _CORRUPT = "_corrupt_record"
+log = logging.getLogger(__name__)
 
 
 def glob_for(extension: str) -> str:
@@ -69,6 +72,19 @@ def _json(
     )
 
 
+def _json_entries(spark: SparkSession, path: str, ddl: str, extension: str) -> DataFrame:
+    """Entries of JSON arrays written one to a line, read in splits."""
+    entry = F.regexp_replace(F.trim("value"), r",$", "")
+    parsed = F.from_json(entry, f"{ddl}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT})
+    return (
+        _reader(spark, extension)
+        .text(path)
+        .where(~F.trim("value").isin("[", "]", "", "[]"))
+        .select(parsed.alias("_entry"), F.col("_metadata"))
+        .select("_entry.*", "_metadata")
+    )
+
+
 def canonical(
     dataname: str,
     task_type: str,
@@ -78,8 +94,12 @@ def canonical(
     options: Column | None = None,
     answer: Column | None = None,
     split: Column | str = "",
+    max_options: int | None = X.MAX_OPTIONS,
 ) -> list[Column]:
-    """The nine canonical fields; missing texts are empty, ids are null."""
+    """The nine canonical fields; missing texts are empty, ids are null.
+
+    Options beyond ``max_options`` are cut; None keeps all.
+    """
     task = F.lit(task_type)
 
     def text(value: Column | str | None) -> Column:
@@ -94,7 +114,7 @@ def canonical(
         text(reasoning_type).alias("reasoning_type"),
         text(context).alias("context"),
         text(question).alias("question"),
-        X.truncate_options(none if options is None else options, task).alias("options"),
+        X.truncate_options(none if options is None else options, task, max_options).alias("options"),
         text(answer).alias("answer"),
         text(split).alias("split"),
     ]
@@ -110,6 +130,10 @@ def rejected(df: DataFrame) -> DataFrame:
     )
 
 
+def _n_options(options: Column) -> Column:
+    return F.coalesce(F.size(options), F.lit(0)).alias("n_options")
+
+
 def _split(rules: Sequence[tuple[str, str]], default: str) -> Column:
     return X.split_from_name(F.col("_metadata.file_name"), rules, default)
 
@@ -122,39 +146,31 @@ def read_text_blocks(
     split_rules: Sequence[tuple[str, str]] = X.SPLIT_RULES["dev"],
     default_split: str = "",
     extension: str = ".txt",
-    separator: str = "\n\n",
 ) -> DataFrame:
     """Multiple-choice blocks: optional answer letter, context, question, 4 options.
 
-    Blocks are parted by a blank line and read in parallel.
+    Lines may end in any way; blank lines between blocks are optional, and a blank
+    line inside a block is an empty question or option.  A file may be cut into any
+    splits.  A block that the file ends in is rejected with its lines.
     """
-    blocks = (
-        _reader(spark, extension)
-        .option("lineSep", separator)
-        .text(path)
-        .select("value", _split(split_rules, default_split).alias("_split"), *_scan_order())
-        .filter(X.strip(F.col("value")) != "")
-    )
-    lines = F.filter(F.transform(F.split("value", "\n"), X.strip), lambda line: line != "")
-    blocks = blocks.withColumn("_lines", lines)
-    first = F.col("_lines")[0]
-    lettered = first.rlike(r"^\p{L}$")
-    body = F.when(lettered, F.slice("_lines", 2, F.size("_lines"))).otherwise(F.col("_lines"))
-    blocks = blocks.withColumn("_body", body)
-    fits = F.size("_body") == 2 + X.MAX_OPTIONS
+    blocks = B.blocks_of_lines(scan_files(spark, path, extension))
+    line = lambda part: X.strip(F.get(F.map_values(F.map_filter("parts", lambda k, _: k == part)), F.lit(0)))
+    fits = F.map_contains_key("parts", F.lit(B.LAST_OPTION))
+    options = [X.strip_option_letter(line(p)) for p in range(B.FIRST_OPTION, B.LAST_OPTION + 1)]
+    name = F.regexp_extract("_file", "([^/]*)$", 1)
     return blocks.select(
         *canonical(
             dataname,
             "MCQA",
             reasoning_type,
-            context=F.get("_body", F.lit(0)),
-            question=F.get("_body", F.lit(1)),
-            options=F.transform(F.slice("_body", 3, X.MAX_OPTIONS), X.strip_option_letter),
-            answer=F.when(lettered, X.letter_to_index(first)),
-            split=F.col("_split"),
+            context=line(B.CONTEXT),
+            question=line(B.QUESTION),
+            options=F.filter(F.array(*options), lambda o: o.isNotNull()),
+            answer=X.letter_to_index(line(B.LETTER)),
+            split=X.split_from_name(name, split_rules, default_split),
         ),
-        F.when(~fits, "block does not have 7 or 8 lines").alias("reject_reason"),
-        F.when(~fits, F.col("value")).alias("raw"),
+        F.when(~fits, "block ends before its last option").alias("reject_reason"),
+        F.when(~fits, F.col("raw")).alias("raw"),
         *SCAN_ORDER,
     )
 
@@ -185,10 +201,13 @@ def read_jsonl_mcqa(
     split_rules: Sequence[tuple[str, str]] = X.SPLIT_RULES["dev"],
     default_split: str = "",
     extension: str = ".txt",
+    max_options: int | None = X.MAX_OPTIONS,
 ) -> DataFrame:
     """One JSON object per line with ``text, question, options, answer``.
 
-    ``options`` that are not a list give an empty list.
+    ``options`` that are not a list give an empty list.  Options beyond
+    ``max_options`` are cut (None keeps all); ``n_options`` counts those that were
+    there.
     """
     raw = _json(
         spark, path, "text string, question string, options string, answer string", extension, False
@@ -203,7 +222,9 @@ def read_jsonl_mcqa(
             options=F.from_json("options", "array<string>"),
             answer=F.col("answer"),
             split=_split(split_rules, default_split),
+            max_options=max_options,
         ),
+        _n_options(F.from_json("options", "array<string>")),
         *_bad_json("question"),
         *_scan_order(),
     )
@@ -217,19 +238,21 @@ def read_json_array_mcqa(
     split_rules: Sequence[tuple[str, str]] = X.SPLIT_RULES["val"],
     default_split: str = "",
     extension: str = ".json",
+    max_options: int | None = X.MAX_OPTIONS,
+    lines: bool = False,
 ) -> DataFrame:
     """A JSON array per file with ``context, question, answers, label``.
 
-    A file is one task, since a JSON array cannot be split; keep files small or
-    convert them once with a sink.
+    A file is one task, since a JSON array cannot be split; where each entry stands
+    on a line of its own, ``lines=True`` reads large files in splits.  Options
+    beyond ``max_options`` are cut (None keeps all); ``n_options`` counts those that
+    were there.
     """
-    raw = _json(
-        spark,
-        path,
-        "context string, question string, answers array<string>, label string",
-        extension,
-        True,
-    )
+    ddl = "context string, question string, answers array<string>, label string"
+    if lines:
+        raw = _json_entries(spark, path, ddl, extension)
+    else:
+        raw = _json(spark, path, ddl, extension, True)
     return raw.select(
         *canonical(
             dataname,
@@ -240,7 +263,9 @@ def read_json_array_mcqa(
             options=F.col("answers"),
             answer=F.col("label"),
             split=_split(split_rules, default_split),
+            max_options=max_options,
         ),
+        _n_options(F.col("answers")),
         *_bad_json("question"),
         *_scan_order(),
     )
@@ -357,9 +382,12 @@ def read_jsonl_lenient(
 
 # Fixed value: name of a prediction file.
 PREDICTIONS_FILE = "generated_predictions.jsonl"
+#: That file, or the files of the folder of that name which Spark writes.
+PREDICTIONS_GLOB = "{generated_predictions.jsonl,part-*.json}"
 
 
 def _predictions(spark: SparkSession, path: str, file_glob: str) -> DataFrame:
+    """All lines; those that do not parse have ``reject_reason`` and ``raw``."""
     schema = T.StructType([*PREDICTION.fields, T.StructField(_CORRUPT, T.StringType())])
     raw = (
         spark.read.option("recursiveFileLookup", "true")
@@ -368,20 +396,35 @@ def _predictions(spark: SparkSession, path: str, file_glob: str) -> DataFrame:
         .schema(schema)
         .json(path)
     )
-    return raw.filter(~_is_bad("label")).select("label", "predict", *_scan_order())
+    return raw.select("label", "predict", *_bad_json("label"), *_scan_order())
+
+
+def rejected_predictions(df: DataFrame) -> DataFrame:
+    """Lines that did not parse, of what a prediction reader returned with ``keep_bad``."""
+    return df.filter(F.col("reject_reason").isNotNull())
+
+
+def _good(df: DataFrame, keep_bad: bool) -> DataFrame:
+    return df if keep_bad else df.filter(F.col("reject_reason").isNull()).drop("reject_reason", "raw")
 
 
 def model_of_path(path: Column) -> Column:
     """Name of the folder a file lies in."""
-    return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
+    return F.regexp_extract(path, rf"([^/]+)(?:/{PREDICTIONS_FILE})?/[^/]+$", 1)
 
 
 def read_predictions_tree(
-    spark: SparkSession, roots: dict[str, str], file_glob: str = PREDICTIONS_FILE
+    spark: SparkSession,
+    roots: dict[str, str],
+    file_glob: str = PREDICTIONS_GLOB,
+    keep_bad: bool = False,
 ) -> DataFrame:
-    """All prediction files below each data set's root, with ``dataset`` and ``model``."""
+    """All prediction files below each data set's root, with ``dataset`` and ``model``.
+
+    Lines that do not parse are left out; ``keep_bad`` keeps them with a reason.
+    """
     trees = [
-        _predictions(spark, root, file_glob)
+        _good(_predictions(spark, root, file_glob), keep_bad)
         .withColumn("dataset", F.lit(dataset))
         .withColumn("model", model_of_path(F.col("_file")))
         for dataset, root in roots.items()
@@ -393,19 +436,26 @@ def read_predictions_tree(
 
 
 def read_predictions_folders(
-    spark: SparkSession, folders: Sequence[str], file_glob: str = PREDICTIONS_FILE
+    spark: SparkSession,
+    folders: Sequence[str],
+    file_glob: str = PREDICTIONS_GLOB,
+    keep_bad: bool = False,
+    report: Callable[[str], None] = log.warning,
 ) -> DataFrame:
-    """Predictions of an ordered list of folders; folders that cannot be read are skipped.
+    """Predictions of an ordered list of folders; missing ones are reported and skipped.
 
-    Order by ``source_rank`` and the scan order to keep the list order.
+    Order by ``source_rank`` and the scan order to keep the list order.  A folder
+    that is there but cannot be read is an error.
     """
     whole = None
     for rank, folder in enumerate(folders):
-        try:
-            part = _predictions(spark, folder, file_glob).withColumn("source_rank", F.lit(rank))
-        except AnalysisException:
+        if not exists(spark, folder):
+            report(f"skipped, not there: {folder}")
             continue
+        part = _good(_predictions(spark, folder, file_glob), keep_bad).withColumn(
+            "source_rank", F.lit(rank)
+        )
         whole = part if whole is None else whole.unionByName(part)
     if whole is None:
-        raise ValueError("none of the folders can be read")
+        raise ValueError("none of the folders is there")
     return whole

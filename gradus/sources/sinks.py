@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from gradus.functions.bins import interval_text
 from gradus.schema import to_file_names
 
+# Fixed value: name of a prediction file.
+PREDICTIONS_FILE = "generated_predictions.jsonl"
+
 # Fixed values
 HISTOGRAM_HEADER = "分数区间及对应的数据个数："
 COUNT_LINE = "区间 %s: 总数 = %d, 正确数 = %d, 错误数 = %d"
@@ -91,3 +94,30 @@ def write_metrics(metrics: DataFrame, path: str, fmt: str = "csv") -> None:
     table = metrics_table(metrics).repartition("dataset")
     writer = table.write.partitionBy("dataset").format(fmt)
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)
+
+
+def write_predictions(
+    df: DataFrame, root: str, dataset: str = "dataset", model: str = "model", mode: str = "append"
+) -> None:
+    """Label and prediction of each row as JSON lines, a folder per data set and model.
+
+    The layout is ``root/<data set>/<model>/generated_predictions.jsonl/``; the
+    prediction readers find it by their defaults.
+    """
+    pairs = df.select(dataset, model).distinct().collect()  # one row per model
+    for row in pairs:
+        own = df.filter(F.col(dataset).eqNullSafe(row[0]) & F.col(model).eqNullSafe(row[1]))
+        path = f"{root.rstrip('/')}/{row[0]}/{row[1]}/{PREDICTIONS_FILE}"
+        own.select("label", "predict").write.mode(mode).json(path)
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """Text lines of a classification report, as (line_no, value); classes first."""
+    columns = ["precision", "recall", "f1_score"]
+    order = F.when(F.col("row") == "accuracy", 1).when(F.col("row") == "macro avg", 2).when(
+        F.col("row") == "weighted avg", 3
+    ).otherwise(0)
+    numbers = [F.coalesce(F.format_string("%10.2f", c), F.lit(" " * 10)) for c in columns]
+    value = F.concat(F.lpad("row", 12, " "), *numbers, F.format_string("%10d", "support"))
+    # One row per class of a report.
+    return report.select(F.struct(order.alias("o"), F.col("row").alias("r")).alias("line_no"), value.alias("value"))

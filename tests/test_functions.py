@@ -164,7 +164,8 @@ LISTS = '{"Predicates": ["`P(x)`: a", "Q"], "constants" : ["c"], Logical Express
     [
         (LISTS, (["`P(x)`: a", "Q"], ["c"], ["P(c)"]), None),
         ("Sure!\n" + LISTS + "\nDone", (["`P(x)`: a", "Q"], ["c"], ["P(c)"]), None),
-        (LISTS.replace("Q", "Q(a[1])"), (["`P(x)`: a"], ["c"], ["P(c)"]), None),
+        (LISTS.replace("Q", "Q(a[1])"), (["`P(x)`: a", "Q(a[1])"], ["c"], ["P(c)"]), None),
+        (LISTS.replace('["c"]', '["c", "d'), ([], [], []), C.LISTS_NOT_FOUND),
         (LISTS.replace("constants", "const"), ([], [], []), C.LISTS_NOT_FOUND),
         ("", (None, None, None), C.EMPTY_COMPLETION),
         (None, (None, None, None), C.EMPTY_COMPLETION),
@@ -177,6 +178,26 @@ def test_parse_extraction(spark, text, lists, reason):
     assert found.assistant_content == (text if reason == C.LISTS_NOT_FOUND else None)
 
 
+def test_parse_extraction_literal(spark):
+    text = LISTS.replace("Q", "Q(a[1])")
+    ((found,),) = values(spark, "t string", [(text,)], C.parse_extraction(F.col("t"), "literal"))
+    assert found.predicates == ["`P(x)`: a"] and found.reject_reason is None
+
+
+def test_each_list_is_parsed_once(spark):
+    df = spark.createDataFrame([("x",)], "t string").select(C.parse_extraction(F.upper("t")).alias("p")).select("p.*")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_extract(") == 3 and plan.count("upper(") == 1
+    df = spark.createDataFrame([("x",)], "t string").select(C.parse_option_analysis(F.upper("t")).alias("p")).select("p.*")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("from_json(") == 1 or plan.count("jsontostructs(") == 1
+
+
+def test_completion_of_a_single_struct(spark):
+    df = spark.createDataFrame([((" a ",),), (None,)], "c struct<generated_text:string>")
+    assert [r[0] for r in df.select(C.completion_text(F.col("c"), many=False)).collect()] == ["a", ""]
+
+
 ONE = (
     '{"option_index": 0, "option_text": "t {", "preconditions": ["P(a)"], "deduction_target": "Q(a)", '
     '"deduction_steps": [{"step": 1, "task": "k", "expression": "`P(a)`", "result": "r"}], '
@@ -233,12 +254,12 @@ def test_prompts(spark):
     ).collect()
     assert nli.p is None and nli.m is None
     assert '"Options": ["say \\"hi\\"", "é"],\n"Answer": "1",\n"Predicates": ["p"],\n"Constants": [],\n"Logical Expressions": []\n}' in mcqa.p
-    assert mcqa.p.startswith("system: ") and mcqa.p.endswith("input data.\n")
+    assert mcqa.p.startswith("system: ") and mcqa.p.endswith("this question.\n")
     assert '"Options": "Q",\n' in bqa.p and '"Predicates": ["p", "q"]' in bqa.p
     assert [m.role for m in mcqa.m] == ["system", "user", "assistant"]
     assert mcqa.m[1].content == 'Context: C\nQuestion: Q\nOptions:\n0. say "hi"\n1. é'
     assert bqa.m[1].content == "Context: C\nQuestion: Q" and bqa.m[2].content == "yes"
     blank, full = values(spark, "c string", [(" \n",), (" text ",)], P.extract_prompt(F.col("c")))
     assert blank == (None,)
-    assert full[0].startswith("System: ") and '{Context: "text"}' in full[0]
+    assert full[0].startswith("System: ") and 'work on:\n"text"' in full[0]
     assert full[0].endswith("\n\nAssistant:")

@@ -203,7 +203,14 @@ def test_attach_scores_needs_equal_lengths(spark):
 def test_dedup(spark):
     rows = [(2, "A  b", "q"), (1, "a B ", "Q"), (3, "a b", "r"), (4, None, None), (5, "", "")]
     df = spark.createDataFrame(rows, "id bigint, context string, question string")
-    assert sorted(r.id for r in dedup_items(df).collect()) == [1, 3, 4]
+    assert sorted(r.id for r in dedup_items(df, row_key=["id"]).collect()) == [1, 3, 4]
+    clash = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 2, "x"), ("b", 2, "unique"), (None, 2, "x"), (None, 3, "alone")],
+        "dataname string, id bigint, context string",
+    ).withColumn("question", F.lit(""))
+    found = {(r.dataname, r.id) for r in dedup_items(clash).collect()}
+    # a missing name sorts first, so its row is the first of the equal ones
+    assert found == {(None, 2), ("b", 2), (None, 3)}
     composite = dedup_items(df.withColumn("dataname", F.lit("d")), row_key=["dataname", "id"])
     assert sorted(r.id for r in composite.collect()) == [1, 3, 4]
 
@@ -278,7 +285,7 @@ def brute_draws(spark, rows, weights, epochs, seed):
     out = set()
     for e in epochs:
         for p in range(len(rows)):
-            u = int(md5(f"{seed}|{e}|{p}".encode()).hexdigest()[:15], 16) % total
+            u = int(md5(f"{seed}|{e}|{p}".encode()).hexdigest()[:30], 16) % total
             out.add((e, p, *rows[bisect_right(ends, u)][:2]))
     return out
 
@@ -303,6 +310,31 @@ def test_weighted_draws(spark, skew):
     assert [(r.dataname, r.id) for r in first] == sorted(r[:2] for r in rows)
 
 
+def test_draws_beyond_the_range_of_a_long(spark):
+    rows, df = scored(spark, n=60)
+    found = P.plan_weighted(df, epochs=3, seed=5, scale=10**18).collect()
+    weigh = lambda r: int(math.floor((r[2] + 1e-6) * 1e18 + 0.5))
+    assert sum(map(weigh, rows)) > 2**63
+    drawn = {(r.epoch, r.position, r.dataname, r.id) for r in found if r.epoch}
+    assert drawn == brute_draws(spark, rows, weigh, [1, 2], 5)
+
+
+def test_selection_keeps_null_groups_and_breaks_ties(spark):
+    rows = [(None if i % 3 == 0 else "d", i // 2, 0.5, i) for i in range(12)]
+    df = spark.createDataFrame(rows, "dataname string, id bigint, score_norm double, n int")
+    found = N.select_per_bin(df, n=2, within=["dataname"], row_key=["dataname", "id", "n"]).collect()
+    assert {(r.dataname, r.n) for r in found} == {(None, 0), (None, 3), ("d", 1), ("d", 2)}
+    found = N.select_per_bin(df, n=3, row_key=["dataname", "id", "n"]).collect()
+    assert {r.n for r in found} == {0, 1, 3}
+    assert N.select_per_bin(df, n=3, row_key=["dataname", "id", "n"], salts=1).count() == 3
+
+
+def test_running_sum(spark):
+    df = spark.createDataFrame([(i, i % 7) for i in range(500)], "k int, v int")
+    for r in O.running_sum(df, ["k"], "v", "before").collect():
+        assert r.before == sum(i % 7 for i in range(r.k))
+
+
 def test_staged_plan(spark):
     rows, df = scored(spark, n=300)
     found = {(r.epoch, r.position, r.dataname, r.id) for r in P.plan_staged(df, epochs=8, seed=2).collect()}

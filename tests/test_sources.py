@@ -36,24 +36,78 @@ def test_text_blocks(spark, tmp_path):
     assert "only context" in bad.raw and bad.reject_reason.startswith("block")
 
 
-def test_blocks_keep_their_order_over_many_splits(spark, tmp_path):
-    n = 3000
-    put(tmp_path, "train.txt", "".join(block("a", k) for k in range(n)))
+def small_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_blocks_keep_their_order_over_many_splits(spark, tmp_path, end):
+    n = 3000
+    parts = []
+    for k in range(n):
+        text = block("a" if k % 3 else "", k)
+        # every second block follows the one before without a blank line
+        parts.append(text.removeprefix("\n") if k % 2 else text.replace(" C.three ", " \t") + " ")
+    put(tmp_path, "train.txt", "".join(parts).replace("\n", end))
+    small_splits(spark)
     try:
+        assert R.scan_files(spark, str(tmp_path), ".txt").rdd.getNumPartitions() > 5
         raw = R.read_text_blocks(spark, str(tmp_path), "blocks")
-        assert raw.rdd.getNumPartitions() > 5
-        items = assign_ids(R.accepted(raw)).select("id", "context").collect()
+        items = assign_ids(R.accepted(raw)).select("id", "context", "options", "answer").collect()
         shuffled = assign_ids(R.accepted(raw).repartition(3)).select("id", "context").collect()
-        ids = assign_ids(R.accepted(raw))
-        assert "hashpartitioning" not in ids._jdf.queryExecution().executedPlan().toString().split(
-            "BroadcastExchange"
-        )[0]
+        assert R.rejected(raw).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     expected = {(k + 1, f"context {k}") for k in range(n)}
-    assert {(r.id, r.context) for r in items} == expected
-    assert {(r.id, r.context) for r in shuffled} == expected
+    assert {(r.id, r.context) for r in items} == expected == {(r.id, r.context) for r in shuffled}
+    for r in items:
+        third = "three" if (r.id - 1) % 2 else ""
+        assert r.options == ["one", "two", third, "four"] and r.answer == ("0" if (r.id - 1) % 3 else "")
+
+
+def test_ids_in_scan_order_need_no_shuffle(spark, tmp_path):
+    put(tmp_path, "train.txt", "".join(json.dumps({"text": f"c{k}", "question": "q"}) + "\n" for k in range(4000)))
+    small_splits(spark)
+    try:
+        raw = R.read_jsonl_mcqa(spark, str(tmp_path), "lines")
+        assert raw.rdd.getNumPartitions() > 5
+        ids = assign_ids(R.accepted(raw))
+        plan = ids._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+        found = {(r.id, r.context) for r in ids.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {(k + 1, f"c{k}") for k in range(4000)}
+
+
+def test_all_options_can_be_kept(spark, tmp_path):
+    put(tmp_path, "a.txt", json.dumps({"text": "c", "question": "q", "options": list("abcdef"), "answer": "5"}))
+    cut = R.read_jsonl_mcqa(spark, str(tmp_path), "d").first()
+    assert cut.options == list("abcd") and cut.n_options == 6
+    assert R.read_jsonl_mcqa(spark, str(tmp_path), "d", max_options=None).first().options == list("abcdef")
+
+
+def test_array_entries_on_lines(spark, tmp_path):
+    entries = [{"context": f"c{i}", "question": "q", "answers": ["a"], "label": i} for i in range(50)]
+    put(tmp_path, "a.json", "[\n" + ",\n".join(map(json.dumps, entries)) + "\n]\n")
+    for lines in (False, True):
+        rows = R.accepted(R.read_json_array_mcqa(spark, str(tmp_path), "d", lines=lines)).collect()
+        assert {(r.context, r.answer) for r in rows} == {(f"c{i}", str(i)) for i in range(50)}
+
+
+def test_predictions_are_found_where_they_are_written(spark, tmp_path):
+    rows = [("d", "m1", "yes", "no"), ("d", "m2", "1", None), ("e", "m1", "0", "0")]
+    df = spark.createDataFrame(rows, "dataset string, model string, label string, predict string")
+    K.write_predictions(df, str(tmp_path))
+    put(tmp_path, "d/m3/generated_predictions.jsonl", '{"label": "a", "predict": "b"}\nbroken\n')
+    roots = {d: str(tmp_path / d) for d in ("d", "e")}
+    found = R.read_predictions_tree(spark, roots).select("dataset", "model", "label", "predict").collect()
+    assert {tuple(r) for r in found} == {*rows, ("d", "m3", "a", "b")}
+    bad = R.rejected_predictions(R.read_predictions_tree(spark, roots, keep_bad=True)).collect()
+    assert [(r.model, r.raw) for r in bad] == [("m3", "broken")]
+    said = []
+    R.read_predictions_folders(spark, [str(tmp_path / "none"), roots["e"]], report=said.append)
+    assert len(said) == 1 and "none" in said[0]
 
 
 def test_jsonl_mcqa(spark, tmp_path):

@@ -1,11 +1,13 @@
 """Incremental runs: resume, retry after failures, frozen statistics."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gradus.operators.filters import has_context
 from gradus.operators.scoring import score_stats
 from gradus.streaming.incremental import (
     extract_step,
+    finished,
     incremental_extract,
     incremental_score,
     option_step,
@@ -91,3 +93,36 @@ def test_score_with_frozen_statistics(spark, tmp_path):
 def test_blank_context(spark):
     df = spark.createDataFrame([("a",), (" \n　",), (None,)], "context string")
     assert [r[0] for r in df.select(has_context()).collect()] == [True, False, False]
+
+
+def test_a_new_checkpoint_adds_and_keeps(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def model(name):
+        text = '{"Predicates": ["%s"], "Constants": [], "Logical Expressions": ["P"]}' % name
+        return lambda: lambda prompts: [text] * len(prompts)
+
+    for run, rows in (("1", [("d", 1, "one"), ("d", 2, "two")]), ("2", [("d", 2, "two"), ("d", 3, "three")])):
+        arrive(spark, tmp_path / run, "x", rows)
+        incremental_extract(stream(spark, tmp_path / run), model(run), out, str(tmp_path / f"state{run}"))
+    found = {r.id: r.predicates for r in spark.read.parquet(out).collect()}
+    assert found == {1: ["1"], 2: ["1"], 3: ["2"]} and spark.read.parquet(out).count() == 3
+
+
+def test_scores_of_another_checkpoint_stay(spark, tmp_path):
+    ddl = "dataname string, id bigint, predicates array<string>, constants array<string>, logical_expressions array<string>, " \
+        "option_analysis array<struct<preconditions:array<string>,deduction_steps:array<struct<expression:string>>>>"
+    stats = score_stats(spark.createDataFrame([(1.0,), (3.0,)], "score_log double"))
+    out = str(tmp_path / "out")
+    for run, ids in (("1", [1, 2]), ("2", [2, 3])):
+        arrive(spark, tmp_path / run, "x", [("d", i, ["p"], [], ["a"], None) for i in ids], ddl)
+        incremental_score(stream(spark, tmp_path / run, ddl), stats, out, str(tmp_path / f"s{run}"), partitions=2)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_nothing_finished_is_told_from_a_broken_path(spark, tmp_path):
+    assert finished(spark, str(tmp_path / "none")) is None
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        finished(spark, str(tmp_path / "broken"))
