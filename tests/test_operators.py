@@ -243,7 +243,8 @@ def test_generation_failures_keep_rows(spark):
     df = spark.createDataFrame(rows, "id bigint, prompt string").coalesce(1)
     found = {r.id: (r.generated_text, r.error) for r in generate_batch(df, make, batch_size=2).collect()}
     assert len(found) == 8 and found[0] == ("P0", None)
-    assert found[2] == found[3] == (None, "RuntimeError: model failed") and found[5] == (None, None)
+    assert found[2] == ("P2", None) and found[5] == (None, None)
+    assert found[3] == (None, "RuntimeError: model failed")
     short = generate_batch(df, lambda: lambda prompts: prompts[1:]).collect()
     assert all("texts" in r.error for r in short if r.prompt is not None)
 
