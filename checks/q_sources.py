@@ -9,6 +9,7 @@ from checks import views as V
 from checks.q_items import SEP, joined, strip
 from checks.registry import query
 from gradus.functions import text as X
+from gradus.operators.ordering import assign_ids
 from gradus.schema import from_file_names
 from gradus.sources import readers as R
 from gradus.sources import sinks as K
@@ -342,3 +343,18 @@ def sink_append_results(spark, sf_dir):
     for _ in range(2):
         K.append_results(items.filter(~mcqa), path, 2)
     return spark.read.parquet(path).select("id", "context", F.col("batch").cast("bigint").alias("batch"))
+
+
+@query(
+    "assign_ids_scan_order",
+    """SELECT row_number() OVER (ORDER BY doc_id)::BIGINT AS id, 'Q ' || doc_id AS question, text AS context
+FROM documents""",
+)
+def assign_ids_scan_order(spark, sf_dir):
+    """Written as several files in the order of their names; ids follow the scan."""
+    path = run_path(spark, "scan")
+    documents(spark, sf_dir).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(
+        "text", F.concat(F.lit("Q "), "doc_id").alias("question")
+    ).write.json(path)
+    items = R.read_jsonl_mcqa(spark, path, "scan", extension=".json")
+    return assign_ids(R.accepted(items)).select("id", "question", "context")
