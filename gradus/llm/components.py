@@ -16,13 +16,15 @@ def _hang(edges: DataFrame) -> DataFrame:
     least = both.groupBy("a").agg(F.min("b").alias("_m")).select(
         F.col("a").alias("_n"), F.least("a", "_m").alias("_m")
     )
-    joined = both.join(least, F.col("a") == F.col("_n")).where("b > a")
+    joined = both.join(materialise(least, "least"), F.col("a") == F.col("_n")).where("b > a")
     return _pairs(joined, F.col("b"), F.col("_m"))
 
 
 def _gather(edges: DataFrame) -> DataFrame:
     """Hang every smaller neighbour of a node, and the node, on the smallest one."""
-    least = edges.groupBy("a").agg(F.min("b").alias("_m")).withColumnRenamed("a", "_n")
+    least = materialise(
+        edges.groupBy("a").agg(F.min("b").alias("_m")).withColumnRenamed("a", "_n"), "least"
+    )
     joined = edges.join(least, F.col("a") == F.col("_n"))
     return _pairs(joined, F.col("b"), F.col("_m")).union(
         least.select(F.col("_n").alias("a"), F.col("_m").alias("b"))
@@ -55,7 +57,8 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     Links may be repeated, in either direction, or join a node with itself; links
     with a null end say nothing.  An empty table gives an empty result.  Each round
     is written to the shared folder, so a lost executor costs one round at most;
-    only the smallest neighbour of a node is aggregated, so hubs do not collect.
+    only the smallest neighbour of a node is aggregated, and those are written before
+    they are joined, so that the edges of a hub can be split over tasks.
     The number of rounds grows with the logarithm of the longest chain.
     """
     edges = materialise(_pairs(links, F.col(left), F.col(right)), "links")

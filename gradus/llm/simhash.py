@@ -306,11 +306,17 @@ def simhash_components(
     )
     first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     least = own.groupBy("_fp").agg(F.min(first).alias("_least"))
-    rooted = least.join(classes, F.col("_fp") == F.col("node"), "left").select(
-        "_fp", "_least", F.coalesce("root", "_fp").alias("_root")
+    rooted = materialise(
+        least.join(classes, F.col("_fp") == F.col("node"), "left").select(
+            "_fp", "_least", F.coalesce("root", "_fp").alias("_root")
+        ),
+        "rooted",
+    )
+    # Written, so that a root of many fingerprints can be split when it is joined.
+    by_root = materialise(
+        rooted.groupBy(F.col("_root").alias("_top")).agg(F.min("_least").alias("_first")), "roots"
     )
-    by_root = rooted.groupBy("_root").agg(F.min("_least").alias("_first"))
-    of_fp = rooted.join(by_root, "_root").select(
+    of_fp = rooted.join(by_root, F.col("_root") == F.col("_top")).select(
         F.col("_fp").alias("_of"), F.col("_first.id").alias("_component"), F.col("_first.row").alias("_kept")
     )
     return own.join(materialise(of_fp, "classes"), F.col("_fp") == F.col("_of"), "left").select(
