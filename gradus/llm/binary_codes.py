@@ -321,7 +321,7 @@ def near_duplicates(
         )
     )
     linked = materialise(linked, "vector-classes")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
+    smallest = materialise(linked.groupBy("root").agg(F.min("least").alias("component")), "roots")
     of_vector = materialise(
         linked.join(smallest, "root").select(
             F.col("label").alias("l"), F.col("vector").alias("v"), "n_links", "component"
