@@ -96,7 +96,8 @@ def blocks_of_lines(lines: DataFrame) -> DataFrame:
     """(_file, _block, _row, parts, raw): one row per block, at the place of its first line.
 
     ``lines`` has ``value`` and the scan-order columns.  ``parts`` maps the part to
-    its line; ``raw`` has the lines as they stand.
+    its line; ``raw`` has the lines as they stand.  The blocks of a split come
+    together and in order, as a scan would give them.
     """
     lines = lines.select("_file", "_block", "_row", "value")
     summaries = lines.mapInPandas(
@@ -118,10 +119,11 @@ def blocks_of_lines(lines: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("_block", "_row", "part", "value"))).alias("_lines"),
         F.min(at).alias("_at"),
     )
-    return grouped.select(
+    located = grouped.select(
         "_file",
         "_at._block",
         "_at._row",
         F.map_from_entries(F.transform("_lines", lambda x: F.struct(x["part"], x["value"]))).alias("parts"),
         F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("raw"),
     )
+    return located.repartition(*SPLIT).sortWithinPartitions(*SPLIT, "_row")
