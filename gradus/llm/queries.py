@@ -40,8 +40,9 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by the square root of the size of their source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix_sources(docs, power=0.5, seed=7)
+    # Written whole, so that the texts are repeated and shuffled too.
+    mixed = materialise(mix_sources(table(spark, sf_dir, "documents"), power=0.5, seed=7), "mixed")
+    return mixed.select("doc_id", "source", "copy", "shuffle_key")
 
 
 # The steps are summed from 0 upwards, as the operator does; a mean above PART would
