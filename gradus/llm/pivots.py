@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gradus.llm.vectors import norms, takes_part
 from gradus.storage import materialise
 
-_INDEX = "shard int, id long, vector binary, nearest binary"
+_INDEX = "shard int, dim int, id long, vector binary, nearest binary"
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -49,8 +49,8 @@ def build_index(
     """(index table, number of shards); every row that takes part is indexed.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no
-    part, nor do those of another length than the most common one.  The pivots are a
-    sample of ``pivots`` rows, whatever the input.
+    part.  Each length has pivots and shards of its own.  The pivots are a sample of
+    ``pivots`` rows of a length, whatever the input.
     """
     rows = materialise(
         vectors.select(
@@ -59,32 +59,42 @@ def build_index(
         ).where(F.col("id").isNotNull() & takes_part(F.col("vector"))),
         "indexed",
     )
-    common = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
+    lengths = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").collect()
+    if not lengths:
         return vectors.sparkSession.createDataFrame([], _INDEX), 0
-    rows = rows.where(F.size("vector") == common["dim"])
-    chosen = choose_pivots(rows, pivots, seed)
-    listed = min(prefix, len(chosen))
-    shards = -(-common["count"] // shard_rows)
+    chosen, places, shards = {}, [], 0
+    for dim, count in lengths:
+        chosen[dim] = choose_pivots(rows.where(F.size("vector") == dim), pivots, seed)
+        own = -(-count // shard_rows)
+        places.append((dim, shards, own))
+        shards += own
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.iloc[at : at + 2048]
-                own = np.array(part["vector"].tolist(), dtype=np.float64)
-                near = own @ chosen.T / norms(own)[:, None]
-                order = np.argsort(-near, axis=1, kind="stable")[:, :listed].astype(np.uint16)
-                yield pd.DataFrame(
-                    {
-                        "shard": part["shard"].to_numpy(),
-                        "id": part["id"].to_numpy(),
-                        "vector": [v.tobytes() for v in own],
-                        "nearest": [o.tobytes() for o in order],
-                    }
-                )
-
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return materialise(dealt.select("shard", "id", "vector").mapInPandas(run, _INDEX), "index"), shards
+            for dim, alike in batch.groupby("dim"):
+                for at in range(0, len(alike), 2048):
+                    part = alike.iloc[at : at + 2048]
+                    own = np.array(part["vector"].tolist(), dtype=np.float64)
+                    near = own @ chosen[dim].T / norms(own)[:, None]
+                    listed = min(prefix, len(chosen[dim]))
+                    order = np.argsort(-near, axis=1, kind="stable")[:, :listed].astype(np.uint16)
+                    yield pd.DataFrame(
+                        {
+                            "shard": part["shard"].to_numpy(),
+                            "dim": part["dim"].to_numpy(),
+                            "id": part["id"].to_numpy(),
+                            "vector": [v.tobytes() for v in own],
+                            "nearest": [o.tobytes() for o in order],
+                        }
+                    )
+
+    table = vectors.sparkSession.createDataFrame(places, "dim int, first int, own int")
+    dealt = (
+        rows.withColumn("dim", F.size("vector"))
+        .join(F.broadcast(table), "dim")
+        .withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("own"))).cast("int"))
+    )
+    return materialise(dealt.select("shard", "dim", "id", "vector").mapInPandas(run, _INDEX), "index"), shards
 
 
 class Shard:
@@ -133,7 +143,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each query row.
 
-    ``queries`` are rows of the index.  A row is never its own neighbour, nor is a row
+    ``queries`` are rows of the index; they are compared with the rows of their length.  A row is never its own neighbour, nor is a row
     of the same id.  Every shard ranks ``rerank`` of its rows exactly, rows that share
     no pivot with the query last, so a query has all rows if there are fewer than
     ``k``.  Ties go to the smaller id.  Queries stream past each shard, whose rows are
@@ -141,9 +151,10 @@ def search(
     """
     targets = index.withColumn("side", F.lit(0))
     # Rows of one id ask once.
-    asked = queries.groupBy("id").agg(F.min(F.struct("vector", "nearest")).alias("v"))
-    asked = asked.select("id", "v.vector", "v.nearest", F.lit(1).alias("side"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(shards - 1, 0)))))
+    asked = queries.groupBy("id").agg(F.min(F.struct("vector", "nearest", "dim")).alias("v"))
+    asked = asked.select("id", "v.vector", "v.nearest", "v.dim", F.lit(1).alias("side"))
+    own = index.groupBy("dim").agg(F.collect_set("shard").alias("shards"))
+    asked = asked.join(own, "dim").withColumn("shard", F.explode("shards")).drop("shards")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held, shard = None, [], None
