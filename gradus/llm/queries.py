@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from checks.registry import QueryFn
 
-from gradus.llm import pivots
+from gradus.llm import lexical, pivots
 from gradus.llm.binary_codes import near_duplicates
 from gradus.llm.chat import format_conversations, read_back
 from gradus.llm.mixing import PART, STEPS, mix_sources
+from gradus.llm.packing import Limits, pack_documents
 from gradus.llm.pieces import decode_documents, encode_documents
 from gradus.llm.quality import score_documents
 from gradus.llm.shards import shard_by_bytes
 from gradus.llm.simhash import simhash_components
 from gradus.llm.tokens import count_tokens, write_token_files
+from gradus.llm.variants import spelling_variants
 from gradus.llm.warc import archive_folder, read_warc, sha1_base32, write_warc
 from gradus.storage import materialise, run_path
 
@@ -173,6 +175,60 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2,048 tokens."""
+    limits = Limits(tokens=2048, segments=128, loss=2048)
+    packed = pack_documents(table(spark, sf_dir, "documents"), limits=limits)
+    return packed.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        F.col("n_tokens").alias("doc_tokens"),
+        "sequence_id",
+        "offset",
+    )
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling_variants(table(spark, sf_dir, "documents"), noise=97)
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for every item of the benchmark."""
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    found = lexical.search(index, table(spark, sf_dir, "benchmark"), k=50)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+ORACLES["op13_search"] = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM documents
+),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tfs, totals GROUP BY term
+),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM benchmark
+),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // l))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (doc_id), totals
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 50
+"""
+
+
 for query in (
     op1_shards,
     op2_token_counts,
@@ -184,6 +240,9 @@ for query in (
     op8_sentencepiece,
     op9_chat,
     op10_mixing,
+    op11_packing,
+    op12_variants,
+    op13_search,
 ):
     QUERIES[query.__name__] = query
 QUERIES["pipeline"] = corpus_pipeline.run

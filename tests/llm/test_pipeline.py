@@ -18,7 +18,7 @@ from tests.llm.helpers import Forest
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in QUERIES}
-    assert names == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert names == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
