@@ -118,10 +118,11 @@ def src_text_blocks(spark, sf_dir):
         .otherwise(block("", "\n", "", "\n"))
     )
     root = run_path(spark, "blocks")
-    named = documents(spark, sf_dir).filter(context != "")
+    named = V.documents(spark, sf_dir).filter(context != "")
     named.select(text.alias("value")).write.text(f"{root}/whole")
     cut = F.concat(F.lit("b\n"), context, F.lit("\nQ "), "item_id", F.lit("\nA. one"))
-    write_one_file_each(V.table(spark, sf_dir, "benchmark"), cut, f"{root}/cut")
+    items = V.table(spark, sf_dir, "benchmark").repartition("item_id")
+    write_one_file_each(items, cut, f"{root}/cut")
     return shown(R.read_text_blocks(spark, root, "blocks", default_split="train"), "raw")
 
 

@@ -154,23 +154,23 @@ def read_text_blocks(
     splits.  A block that the file ends in is rejected with its lines.
     """
     blocks = B.blocks_of_lines(scan_files(spark, path, extension))
-    line = lambda part: X.strip(F.get(F.map_values(F.map_filter("parts", lambda k, _: k == part)), F.lit(0)))
-    fits = F.map_contains_key("parts", F.lit(B.LAST_OPTION))
-    options = [X.strip_option_letter(line(p)) for p in range(B.FIRST_OPTION, B.LAST_OPTION + 1)]
+    line = lambda i: X.strip(F.get("lines", F.lit(i)))
+    options = F.transform(F.slice("lines", 3, 4), lambda o: X.strip_option_letter(X.strip(o)))
+    cut = F.col("raw").isNotNull()
     name = F.regexp_extract("_file", "([^/]*)$", 1)
     return blocks.select(
         *canonical(
             dataname,
             "MCQA",
             reasoning_type,
-            context=line(B.CONTEXT),
-            question=line(B.QUESTION),
-            options=F.filter(F.array(*options), lambda o: o.isNotNull()),
-            answer=X.letter_to_index(line(B.LETTER)),
+            context=line(0),
+            question=line(1),
+            options=options,
+            answer=X.letter_to_index(X.strip(F.col("letter"))),
             split=X.split_from_name(name, split_rules, default_split),
         ),
-        F.when(~fits, "block ends before its last option").alias("reject_reason"),
-        F.when(~fits, F.col("raw")).alias("raw"),
+        F.when(cut, "block ends before its last option").alias("reject_reason"),
+        "raw",
         *SCAN_ORDER,
     )
 
