@@ -121,7 +121,7 @@ def src_text_blocks(spark, sf_dir):
     named = V.documents(spark, sf_dir).filter(context != "")
     named.select(text.alias("value")).write.text(f"{root}/whole")
     cut = F.concat(F.lit("b\n"), context, F.lit("\nQ "), "item_id", F.lit("\nA. one"))
-    items = V.table(spark, sf_dir, "benchmark").repartition("item_id")
+    items = V.table(spark, sf_dir, "benchmark").repartition(spark.sparkContext.defaultParallelism, "item_id")
     write_one_file_each(items, cut, f"{root}/cut")
     return shown(R.read_text_blocks(spark, root, "blocks", default_split="train"), "raw")
 

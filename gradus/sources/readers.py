@@ -19,6 +19,7 @@ from gradus.functions import text as X
 from gradus.operators.ordering import SCAN_ORDER
 from gradus.schema import PREDICTION
 from gradus.sources import blocks as B
+from gradus.sources import documents as D
 from gradus.storage import exists
 
 ITEM_COLUMNS = [
@@ -72,6 +73,33 @@ def _json(
     )
 
 
+def _json_records(
+    spark: SparkSession, path: str, ddl: str | T.StructType, extension: str, inside_key: str | None = None
+) -> DataFrame:
+    """Records of JSON documents that are read in splits, parsed one by one.
+
+    A record that does not parse has its text in the corrupt column, and so has every
+    split of a file that is not whole.
+    """
+    lines = (
+        _reader(spark, extension)
+        .option("lineSep", D.SEPARATOR)
+        .text(path)
+        .select("value", *_scan_order(), F.col("_metadata.file_size").alias("_size"))
+    )
+    records, broken = D.json_records(lines, inside_key)
+    fields = (T.StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl).fields
+    schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
+    options = {"columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
+    entry = F.from_json("text", schema, options)
+    parsed = records.withColumn("_e", F.when(F.startswith("text", F.lit("{")), entry)).select(
+        *[F.col(f"_e.`{f.name}`").alias(f.name) for f in fields],
+        F.when(F.col("_e").isNull(), F.col("text")).otherwise(F.col(f"_e.{_CORRUPT}")).alias(_CORRUPT),
+        *SCAN_ORDER,
+    )
+    return parsed.unionByName(broken.withColumnRenamed("raw", _CORRUPT), allowMissingColumns=True)
+
+
 def _json_entries(spark: SparkSession, path: str, ddl: str, extension: str) -> DataFrame:
     """Entries of JSON arrays written one to a line, read in splits."""
     entry = F.regexp_replace(F.trim("value"), r",$", "")
@@ -80,8 +108,8 @@ def _json_entries(spark: SparkSession, path: str, ddl: str, extension: str) -> D
         _reader(spark, extension)
         .text(path)
         .where(~F.trim("value").isin("[", "]", "", "[]"))
-        .select(parsed.alias("_entry"), F.col("_metadata"))
-        .select("_entry.*", "_metadata")
+        .select(parsed.alias("_entry"), *_scan_order())
+        .select("_entry.*", *SCAN_ORDER)
     )
 
 
@@ -134,6 +162,10 @@ def _n_options(options: Column) -> Column:
     return F.coalesce(F.size(options), F.lit(0)).alias("n_options")
 
 
+def _name_of_file() -> Column:
+    return F.regexp_extract("_file", "([^/]*)$", 1)
+
+
 def _split(rules: Sequence[tuple[str, str]], default: str) -> Column:
     return X.split_from_name(F.col("_metadata.file_name"), rules, default)
 
@@ -157,7 +189,6 @@ def read_text_blocks(
     line = lambda i: X.strip(F.get("lines", F.lit(i)))
     options = F.transform(F.slice("lines", 3, 4), lambda o: X.strip_option_letter(X.strip(o)))
     cut = F.col("raw").isNotNull()
-    name = F.regexp_extract("_file", "([^/]*)$", 1)
     return blocks.select(
         *canonical(
             dataname,
@@ -167,7 +198,7 @@ def read_text_blocks(
             question=line(1),
             options=options,
             answer=X.letter_to_index(X.strip(F.col("letter"))),
-            split=X.split_from_name(name, split_rules, default_split),
+            split=X.split_from_name(_name_of_file(), split_rules, default_split),
         ),
         F.when(cut, "block ends before its last option").alias("reject_reason"),
         "raw",
@@ -243,8 +274,9 @@ def read_json_array_mcqa(
 ) -> DataFrame:
     """A JSON array per file with ``context, question, answers, label``.
 
-    A file is one task, since a JSON array cannot be split; where each entry stands
-    on a line of its own, ``lines=True`` reads large files in splits.  Options
+    Files are read in splits, however their entries are laid out; where each entry stands
+    on a line of its own, ``lines=True`` saves looking for their bounds.  An entry that does
+    not parse is rejected, and a file that is not whole with all its text.  Options
     beyond ``max_options`` are cut (None keeps all); ``n_options`` counts those that
     were there.
     """
@@ -252,7 +284,7 @@ def read_json_array_mcqa(
     if lines:
         raw = _json_entries(spark, path, ddl, extension)
     else:
-        raw = _json(spark, path, ddl, extension, True)
+        raw = _json_records(spark, path, ddl, extension)
     return raw.select(
         *canonical(
             dataname,
@@ -262,12 +294,12 @@ def read_json_array_mcqa(
             question=F.col("question"),
             options=F.col("answers"),
             answer=F.col("label"),
-            split=_split(split_rules, default_split),
+            split=X.split_from_name(_name_of_file(), split_rules, default_split),
             max_options=max_options,
         ),
         _n_options(F.col("answers")),
         *_bad_json("question"),
-        *_scan_order(),
+        *SCAN_ORDER,
     )
 
 
@@ -309,26 +341,20 @@ def read_nested_qa(
 ) -> DataFrame:
     """``data_samples[].qa_pairs[]``: one yes/no item per question.
 
-    The scan order gains ``_sample`` and ``_pair``.
+    Files are read in splits, a sample being a record of its own place.  The scan order
+    gains ``_sample`` (0) and ``_pair``.
     """
-    raw = _json(
-        spark,
-        path,
-        "data_samples array<struct<context:string,"
-        "qa_pairs:array<struct<question:string,answer:string>>>>",
-        extension,
-        True,
-    ).select(
-        "*",
-        X.reasoning_from_path(F.col("_metadata.file_path"), reasoning_rules).alias("_reasoning"),
-        *_scan_order(),
+    ddl = "context string, qa_pairs array<struct<question:string,answer:string>>"
+    raw = _json_records(spark, path, ddl, extension, "data_samples").withColumn(
+        "_reasoning", X.reasoning_from_path(F.col("_file"), reasoning_rules)
     )
     bad = [F.col("reject_reason"), F.col("raw")]
     samples = raw.select(
-        *_bad_json("data_samples"),
+        *_bad_json("context"),
         "_reasoning",
         *SCAN_ORDER,
-        F.posexplode_outer("data_samples").alias("_sample", "_s"),
+        F.lit(0).alias("_sample"),
+        F.struct("context", "qa_pairs").alias("_s"),
     )
     pairs = samples.select(
         *bad,
@@ -360,13 +386,12 @@ def read_union_folder(
 ) -> DataFrame:
     """Folder of JSON files: arrays give their elements, objects one row each.
 
-    Scalars and malformed files keep their text in ``raw`` with a reason.
+    Files are read in splits.  Scalars and malformed files keep their text in ``raw`` with a
+    reason, a row for each split; an entry that does not parse is rejected alone.
     """
-    raw = _json(spark, path, schema, extension, True)
-    fields = [c for c in raw.columns if c != _CORRUPT]
-    return raw.select(
-        *[F.col(f"`{c}`") for c in fields], *_bad_json(fields[0]), *_scan_order()
-    )
+    raw = _json_records(spark, path, schema, extension)
+    fields = [c for c in raw.columns if c not in (_CORRUPT, *SCAN_ORDER)]
+    return raw.select(*[F.col(f"`{c}`") for c in fields], *_bad_json(fields[0]), *SCAN_ORDER)
 
 
 def read_jsonl_lenient(
