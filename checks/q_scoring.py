@@ -175,6 +175,39 @@ def stats(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) for c in ("mean", "variance")])
 
 
+# Scores cut to 16 binary digits are whole numbers k / 65536.  Their sum K is exact, so the mean is
+# one division; the variance is (n Q - K^2) / (n^2 2^32), of which 57 to 61 binary digits are made
+# in whole numbers, with any rest marked in the last one, and rounded by the cast.
+@query(
+    "score_stats_exact",
+    Q.sql(
+        """SELECT * FROM (SELECT dataname, n, k::DOUBLE / (65536.0::DOUBLE * n) AS mean,
+  ((q // (n * n)::HUGEINT)::BIGINT | CASE WHEN q % (n * n)::HUGEINT <> 0 THEN 1 ELSE 0 END)::DOUBLE
+    / 288230376151711744.0::DOUBLE AS variance
+FROM (SELECT dataname, n, k, (n::HUGEINT * kk - k::HUGEINT * k) * 67108864::HUGEINT AS q
+  FROM (SELECT dataname, count(*) AS n, sum(k)::BIGINT AS k, sum(k::HUGEINT * k)::HUGEINT AS kk
+    FROM (SELECT dataname, floor(score_log * 65536)::BIGINT AS k FROM raw) GROUP BY dataname))),
+  (VALUES (1), (13)) t(partitions)""",
+        "raw",
+    ),
+)
+def exact_stats(spark, sf_dir):
+    """Unrounded statistics of each data set, from one partition and from thirteen."""
+    raw = materialise(
+        with_raw_score(V.scoring_input(spark, sf_dir)).select("id", "dataname", "score_log"),
+        "raw-scores",
+    )
+    cut = raw.withColumn("score_log", F.floor(F.col("score_log") * 65536) / 65536.0)
+    both = None
+    for partitions in (1, 13):
+        dealt = cut.coalesce(1) if partitions == 1 else cut.repartition(partitions, "id")
+        counts = dealt.groupBy(F.col("dataname").alias("_d")).agg(F.count("*").alias("n"))
+        found = score_stats(dealt, ["dataname"]).join(counts, F.col("dataname").eqNullSafe(F.col("_d")))
+        found = found.select("dataname", "n", "mean", "variance", F.lit(partitions).alias("partitions"))
+        both = found if both is None else both.unionByName(found)
+    return both
+
+
 @query(
     "score_items",
     Q.sql(

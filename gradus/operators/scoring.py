@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions import score as S
+from gradus.operators.exact import exact_moments
 from gradus.storage import materialise
 
 
@@ -27,10 +28,12 @@ def with_raw_score(df: DataFrame, zero_markers: Sequence[str] = S.ZERO_MARKERS)
 
 
 def score_stats(df: DataFrame, group_cols: Sequence[str] = (), score: str = "score_log") -> DataFrame:
-    """Mean and population variance of the raw scores, per group if asked."""
-    return df.groupBy(*group_cols).agg(
-        F.avg(score).alias("mean"), F.var_pop(score).alias("variance")
-    )
+    """Mean and population variance of the raw scores, per group if asked.
+
+    Both are summed exactly, so they and the scores normalised with them are the same
+    however the rows are partitioned.
+    """
+    return exact_moments(df, score, group_cols)
 
 
 def normalise(
