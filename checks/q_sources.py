@@ -343,7 +343,7 @@ def sink_append_results(spark, sf_dir):
     K.append_results(items.filter(mcqa), path, 1)
     for _ in range(2):
         K.append_results(items.filter(~mcqa), path, 2)
-    return spark.read.parquet(path).select("id", "context", F.col("batch").cast("bigint").alias("batch"))
+    return K.read_results(spark, path).select("id", "context", F.col("batch").cast("bigint").alias("batch"))
 
 
 @query(

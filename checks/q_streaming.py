@@ -9,6 +9,7 @@ from checks import views as V
 from checks.q_items import SEP, joined, strip
 from checks.registry import query
 from gradus.operators.scoring import score_stats, with_raw_score
+from gradus.sources.commits import read_results
 from gradus.storage import run_path
 from gradus.streaming.incremental import incremental_extract, incremental_score
 
@@ -65,7 +66,7 @@ def extract_twice(spark, sf_dir):
     users = turns.filter(F.col("role") == "user")
     incremental_extract(as_items(users), echo_lists("P"), path, f"{checkpoints}/users")
     incremental_extract(as_items(turns), echo_lists("Q"), path, f"{checkpoints}/all")
-    return spark.read.parquet(path).select(
+    return read_results(spark, path).select(
         "dataname",
         "id",
         joined(F.col("predicates")).alias("predicates"),
@@ -94,7 +95,7 @@ def score_stream(spark, sf_dir):
     cores = spark.sparkContext.defaultParallelism
     for name, docs in (("en", arriving.filter(F.col("lang") == "en")), ("all", arriving)):
         incremental_score(V.scoring_input_of(docs), stats, path, f"{checkpoints}/{name}", cores)
-    return spark.read.parquet(path).select(
+    return read_results(spark, path).select(
         "dataname",
         "id",
         F.round("score_log", 6).alias("score_log"),

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions.bins import interval_text
 from gradus.schema import to_file_names
+from gradus.sources.commits import append_results, read_results
+from gradus.storage import exists, list_names, make_folder, move, remove
+
+__all__ = [
+    "append_results", "bin_stats_lines", "histogram_line", "histogram_lines", "metrics_table",
+    "read_results", "report_lines", "write_dataset", "write_lines", "write_metrics", "write_predictions",
+]
 
 # Fixed value: name of a prediction file.
 PREDICTIONS_FILE = "generated_predictions.jsonl"
@@ -39,15 +48,6 @@ def write_dataset(
     df.write.mode(mode).partitionBy(*partition_by).format(fmt).save(path)
 
 
-def append_results(df: DataFrame, path: str, batch_id: int, stream: str = "default") -> None:
-    """Add one batch of one stream; only the same batch written again is replaced.
-
-    Batch numbers restart with every checkpoint, so ``stream`` must tell the
-    checkpoints that write to ``path`` apart.
-    """
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream={stream}/batch={batch_id}")
-
-
 def histogram_line() -> Column:
     return F.concat(
         interval_text(F.col("lower"), F.col("upper"), F.col("closed_right")),
@@ -104,11 +104,32 @@ def write_predictions(
     The layout is ``root/<data set>/<model>/generated_predictions.jsonl/``; the
     prediction readers find it by their defaults.
     """
-    pairs = df.select(dataset, model).distinct().collect()  # one row per model
-    for row in pairs:
-        own = df.filter(F.col(dataset).eqNullSafe(row[0]) & F.col(model).eqNullSafe(row[1]))
-        path = f"{root.rstrip('/')}/{row[0]}/{row[1]}/{PREDICTIONS_FILE}"
-        own.select("label", "predict").write.mode(mode).json(path)
+    if mode not in ("append", "overwrite", "errorifexists"):
+        raise ValueError(f"unknown mode {mode}")
+    spark, root = df.sparkSession, root.rstrip("/")
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    named = {c: F.coalesce(F.col(own).cast("string"), F.lit("None")) for c, own in (("_d", dataset), ("_m", model))}
+    df.select("label", "predict", *[v.alias(k) for k, v in named.items()]).write.partitionBy("_d", "_m").json(staged)
+    # One pass over the rows; what is left is to move folders, one per model.
+    for data in list_names(spark, staged):
+        for name in list_names(spark, f"{staged}/{data}") if "=" in data else ():
+            target = "/".join(unquote(part.split("=", 1)[1]) for part in (data, name))
+            _place(spark, f"{staged}/{data}/{name}", f"{root}/{target}/{PREDICTIONS_FILE}", mode)
+    remove(spark, staged)
+
+
+def _place(spark: SparkSession, folder: str, target: str, mode: str) -> None:
+    """Move a written folder to its place, or its files beside those that are there."""
+    if exists(spark, target):
+        if mode == "errorifexists":
+            raise FileExistsError(target)
+        if mode == "append":
+            for name in list_names(spark, folder):
+                move(spark, f"{folder}/{name}", f"{target}/{name}")
+            return
+        remove(spark, target)
+    make_folder(spark, target.rsplit("/", 1)[0])
+    move(spark, folder, target)
 
 
 def report_lines(report: DataFrame) -> DataFrame:

@@ -59,6 +59,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none when it is not there."""
+    files, place = _file_system(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; one that is there is an error."""
+    files, place = _file_system(spark, path)
+    out = files.create(place, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Rename a file; the target must not be there."""
+    files, place = _file_system(spark, path)
+    if not files.rename(place, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot rename {path} to {target}")
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.mkdirs(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
 def release(spark: SparkSession) -> int:
     """Remove the tables this application has written to the shared folder.
 

@@ -15,8 +15,8 @@ from gradus.operators.filters import has_context
 from gradus.operators.generate import Generate, generate_batch
 from gradus.operators.joins import anti_join_done
 from gradus.operators.scoring import normalise, with_raw_score
-from gradus.sources.sinks import append_results
-from gradus.storage import exists
+from gradus.sources.commits import Commit, commit_batch, new_attempt, read_results
+from gradus.streaming.keys import finished_keys, write_keys
 
 KEYS = ("dataname", "id")
 
@@ -36,11 +36,12 @@ def finished(
 ) -> DataFrame | None:
     """Keys already done without an error, leaving out the batch being (re)written.
 
-    None when nothing was written yet; a path that cannot be read is an error.
+    None when nothing was written yet; a path that cannot be read is an error.  This reads
+    all results; a batch asks :func:`gradus.streaming.keys.finished_keys` instead.
     """
-    if not exists(spark, path):
+    out = read_results(spark, path)
+    if out is None:
         return None
-    out = spark.read.parquet(path)
     if batch_id is not None:
         rewritten = (F.col("batch") == batch_id) & (F.col("stream") == stream)
         out = out.filter(~rewritten)
@@ -49,6 +50,24 @@ def finished(
     return out.select(*keys)
 
 
+def _add(batch: DataFrame, batch_id: int, path: str, stream: str, keys: Sequence[str], work) -> int:
+    """Do ``work`` for the keys of a batch that are not finished, and commit its rows and keys.
+
+    Returns how many earlier keys were read to tell.
+    """
+    spark = batch.sparkSession
+    done, read = finished_keys(batch, path, keys, leave_out=(stream, batch_id))
+    todo = batch if done is None else anti_join_done(batch, done, keys)
+    attempt = new_attempt()
+    place = Commit(stream, batch_id, 0, attempt).folder(path)
+    work(todo).write.parquet(place)
+    made = spark.read.parquet(place)
+    good = made.filter(F.col("error").isNull()) if "error" in made.columns else made
+    note = write_keys(good.select(*keys).distinct(), keys, path, attempt)
+    commit_batch(spark, path, stream, batch_id, attempt, note | {"keys_read": read})
+    return read
+
+
 def extract_step(items: DataFrame, make_generate: Callable[[], Generate]) -> DataFrame:
     """Prompt, generate and parse; rows keep an error or a reject reason."""
     asked = items.filter(has_context()).withColumn("prompt", extract_prompt(F.col("context")))
@@ -77,16 +96,16 @@ def incremental_extract(
 ) -> None:
     """Process what a streaming source of items has new, then stop.
 
-    Finished keys are skipped by an anti join, so a batch that failed is done
-    again while a key that succeeded is never generated twice, whatever checkpoint
-    its run had.  A replayed batch overwrites its own output and no other.
+    Finished keys are skipped, so a key that failed is done again when it comes again while
+    one that succeeded is never generated twice, whatever checkpoint its run had.  A batch
+    reads filters of the keys of earlier ones, and such keys only as may be its own.
+    Batches are added by two-phase commit (read them with ``read_results``); a replayed
+    one replaces its own output and no other.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         stream = stream_id(batch.sparkSession, checkpoint)
-        done = finished(batch.sparkSession, path, batch_id, stream)
-        todo = batch if done is None else anti_join_done(batch, done, KEYS)
-        append_results(step(todo, make_generate), path, batch_id, stream)
+        _add(batch, batch_id, path, stream, KEYS, lambda todo: step(todo, make_generate))
 
     _run(items, handle, checkpoint)
 
@@ -112,11 +131,11 @@ def incremental_score(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stream = stream_id(batch.sparkSession, checkpoint)
-        done = finished(batch.sparkSession, path, batch_id, stream, keys)
-        todo = batch if partitions is None else batch.repartition(partitions)
-        todo = todo if done is None else anti_join_done(todo, done, keys)
-        append_results(normalise(with_raw_score(todo), frozen), path, batch_id, stream)
+        def work(todo: DataFrame) -> DataFrame:
+            dealt = todo if partitions is None else todo.repartition(partitions)
+            return normalise(with_raw_score(dealt), frozen)
+
+        _add(batch, batch_id, path, stream_id(batch.sparkSession, checkpoint), keys, work)
 
     _run(items, handle, checkpoint)
 
