@@ -165,6 +165,29 @@ def random_per_bin(spark, sf_dir):
     )
 
 
+@query("select_per_bin_80", Q.sql(selected_sql("id, dataname NULLS FIRST, n", 80, ""), "scores"))
+def select_eighty_per_bin(spark, sf_dir):
+    """The fixed number, first items of every bin over all data sets."""
+    return shown_selection(
+        N.select_per_bin(clashing(V.scores(spark, sf_dir)), row_key=["dataname", "id", "n"])
+    )
+
+
+@query(
+    "random_per_bin_80",
+    Q.sql(
+        selected_sql("md5(concat_ws('|', '7', dataname, id, n))[:15], dataname NULLS FIRST, id, n", 80, "dataname,"),
+        "scores",
+    ),
+)
+def random_eighty_per_bin(spark, sf_dir):
+    """The fixed number of hashed items of every bin of every data set."""
+    scores = clashing(V.scores(spark, sf_dir))
+    return shown_selection(
+        N.select_per_bin(scores, seed=7, within=["dataname"], row_key=["dataname", "id", "n"])
+    )
+
+
 @query(
     "selection_report",
     Q.sql(

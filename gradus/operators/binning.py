@@ -13,6 +13,8 @@ from gradus.functions.labels import error_flag
 from gradus.storage import materialise
 
 SELECT_SALTS = 32
+#: Spark's setting: up to this rank a task drops rows before they are shuffled.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def _per_bin(
@@ -116,31 +118,33 @@ def select_per_bin(
     row_key: Sequence[str] = ("dataname", "id"),
     order_by: Sequence[Column | str] = ("id",),
     seed: int | None = None,
-    salts: int = SELECT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """First ``n`` rows of each bin (and group), or ``n`` hashed ones with a seed.
 
     Ties in ``order_by`` go by ``row_key``; nulls in a group or key are values.
 
-    Only keys are ranked.  Ranking runs first inside hashed salts, then over the
-    survivors, so a bin holding most rows is spread over many tasks.  The whole
-    records are fetched by key at the end.
+    Only keys are ranked.  Every task keeps the least ``n`` of each bin before anything is
+    shuffled, so a bin holding most rows sends ``n`` rows a task.  Spark does so up to
+    the ``n`` of its group limit; beyond that, or when ``salts`` is given, ranking runs first
+    inside hashed salts.  The whole records are fetched by key at the end.
     """
     if seed is not None:
         order_by = (hash60(seed, *[F.col(c) for c in row_key]), *row_key)
     order = [c if isinstance(c, Column) else F.col(c) for c in (*order_by, *row_key)]
     names = list(dict.fromkeys([*within, *row_key]))
-    slim = (
-        df.filter(B.is_valid_score(F.col(score)))
-        .select(
-            *names,
-            custom_bin(score).alias("bin"),
-            *[c.alias(f"_o{i}") for i, c in enumerate(order)],
-        )
-        .withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.lit(salts)))
+    slim = df.filter(B.is_valid_score(F.col(score))).select(
+        *names,
+        custom_bin(score).alias("bin"),
+        *[c.alias(f"_o{i}") for i, c in enumerate(order)],
     )
+    scopes = [[*within, "bin"]]
+    limited = int(df.sparkSession.conf.get(GROUP_LIMIT, "1000"))
+    if salts or n > limited:
+        slim = slim.withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.lit(salts or SELECT_SALTS)))
+        scopes.insert(0, [*within, "bin", "_salt"])
     ranks = [f"_o{i}" for i in range(len(order))]
-    for scope in ([*within, "bin", "_salt"], [*within, "bin"]):
+    for scope in scopes:
         rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*ranks))
         slim = slim.withColumn("rank", rank).filter(F.col("rank") <= n)
     chosen = slim.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "bin", "rank")

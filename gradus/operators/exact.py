@@ -72,8 +72,9 @@ def exact_moments(df: DataFrame, value: str, group_cols: Sequence[str] = ()) ->
 
     Nulls are left out; a group of nulls only, and an empty table without groups, gives
     nulls.  A NaN, or infinities of both signs, gives NaN; infinities of one sign that
-    infinity.  Without infinities two aggregations: a row per exponent and group (at most
-    some 2,100) from each task, then one per group.
+    infinity.  Two aggregations: a row per exponent and group (at most some 2,100 a group) from
+    each task, then one per group.  Without groups these few rows come to the driver when the
+    frame is built, and its one row is a constant.
     """
     keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)]
     names = [f"_g{i}" for i in range(len(group_cols))]
@@ -98,9 +99,19 @@ def exact_moments(df: DataFrame, value: str, group_cols: Sequence[str] = ()) ->
         # The sum of what is not finite says which kind it is.
         F.sum("_special").alias("_special"),
     )
-    terms = F.struct("n", F.col("_e").alias("e"), "m", "hh", "hl", "ll")
+    by_exponent = by_exponent.withColumnRenamed("_e", "e")
+    if not names:
+        found = by_exponent.collect()
+        specials = [r["_special"] for r in found if r["_special"] is not None]
+        mean, variance = _moments([r for r in found if r["e"] is not None])
+        if specials:
+            mean, variance = sum(specials), math.nan
+        return df.sparkSession.range(0, 1, 1, 1).select(
+            F.lit(mean).cast("double").alias("mean"), F.lit(variance).cast("double").alias("variance")
+        )
+    terms = F.struct("n", "e", "m", "hh", "hl", "ll")
     grouped = by_exponent.groupBy(*names).agg(
-        F.collect_list(F.when(F.col("_e").isNotNull(), terms)).alias("_sums"),
+        F.collect_list(F.when(F.col("e").isNotNull(), terms)).alias("_sums"),
         F.sum("_special").alias("_special"),
     )
     special = F.col("_special")

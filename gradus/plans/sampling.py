@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.hashing import hash60, hash120
+from gradus.operators.quantiles import quantile
 from gradus.operators.ordering import order_by_score, sorted_ranges, with_position
 from gradus.plans.schedule import (
     EPOCHS,
@@ -277,74 +278,50 @@ def plan_staged(
 
 @dataclass(frozen=True)
 class _Admitted:
-    """What a curriculum needs to know of its items, from one sort by score."""
+    """What a curriculum needs to know of its items."""
 
     limits: list[float]
     sizes: list[int]
-    ranked: DataFrame
-    n_ranked: int
     n_hard: int
 
 
 def score_quantile(
-    items: DataFrame, fraction: float, score: str = "score_norm", key: Sequence[str] = KEY
+    items: DataFrame, fraction: float, score: str = "score_norm", approximate: bool = False
 ) -> float | None:
-    """Exact quantile with linear interpolation, read from two ranks of a distributed sort."""
-    ranked = _ranked(items, score, key)
-    return _quantile(ranked, ranked.count(), fraction, score)
-
-
-def _ranked(items: DataFrame, score: str, key: Sequence[str]) -> DataFrame:
-    return with_position(items.select(score, *key).filter(F.col(score).isNotNull()), [score, *key])
-
-
-def _quantile(ranked: DataFrame, n: int, fraction: float, score: str) -> float | None:
-    if not n:
-        return None
-    at = fraction * (n - 1)
-    low = math.floor(at)
-    near = [
-        r[score]
-        for r in ranked.filter(F.col("position").isin(low, min(low + 1, n - 1)))
-        .orderBy("position")
-        .select(score)
-        .collect()
-    ]
-    return near[0] + (near[-1] - near[0]) * (at - low)
+    """Quantile with linear interpolation: exact, from a sketch and filtered passes, or the sketch's own."""
+    return quantile(items, score, fraction, approximate)
 
 
-def _within(items: DataFrame, limits: Sequence[float], score: str, hard: float) -> tuple[int, int, int, list[int]]:
-    """Rows, ranked rows, hard rows, and rows within each limit; one pass."""
+def _within(items: DataFrame, limits: Sequence[float], score: str, hard: float) -> tuple[int, int, list[int]]:
+    """Rows, hard rows, and rows within each limit; one pass."""
     row = items.agg(
         F.count(F.lit(1)),
-        F.count(score),
         F.count(F.when(F.col(score) > hard, 1)),
         *[F.count(F.when(F.col(score) <= x, 1)) for x in limits],
     ).first()
-    return row[0], row[1], row[2], list(row[3:])
+    return row[0], row[1], list(row[2:])
 
 
-def _admit(items: DataFrame, settings: Curriculum, score: str, key: Sequence[str]) -> _Admitted:
-    ranked = _ranked(items, score, key)
+def _admit(items: DataFrame, settings: Curriculum, score: str, approximate: bool = False) -> _Admitted:
     limits = settings.limits()
-    n, n_ranked, n_hard, sizes = _within(items, limits, score, settings.hard_score)
+    n, n_hard, sizes = _within(items, limits, score, settings.hard_score)
     short = [i for i, size in enumerate(sizes) if size < settings.min_coverage * n]
-    if short and n_ranked:
-        quantile = _quantile(ranked, n_ranked, settings.min_coverage, score)
-        size = ranked.filter(F.col(score) <= quantile).count()
+    least = quantile(items, score, settings.min_coverage, approximate) if short else None
+    if least is not None:
+        size = items.filter(F.col(score) <= least).count()
         for i in short:
-            limits[i], sizes[i] = quantile, size
-    return _Admitted(limits, sizes, ranked, n_ranked, n_hard)
+            limits[i], sizes[i] = least, size
+    return _Admitted(limits, sizes, n_hard)
 
 
 def curriculum_limits(
     items: DataFrame,
     settings: Curriculum = Curriculum(),
     score: str = "score_norm",
-    key: Sequence[str] = KEY,
+    approximate: bool = False,
 ) -> list[float]:
     """Score limit per epoch; epochs that would admit too few items use the quantile."""
-    return _admit(items, settings, score, key).limits
+    return _admit(items, settings, score, approximate).limits
 
 
 def _eligible(items: DataFrame, limits: Sequence[float], score: str, columns: Sequence[str]) -> DataFrame:
@@ -358,9 +335,10 @@ def curriculum_eligible(
     settings: Curriculum = Curriculum(),
     score: str = "score_norm",
     key: Sequence[str] = KEY,
+    approximate: bool = False,
 ) -> DataFrame:
-    """(epoch, key, score) of every item admitted in an epoch."""
-    limits = curriculum_limits(items, settings, score, key)
+    """(epoch, key, score) of every item admitted in an epoch; ``approximate`` takes the sketch's quantile."""
+    limits = curriculum_limits(items, settings, score, approximate)
     return _eligible(items, limits, score, [*key, score])
 
 
@@ -378,18 +356,18 @@ def curriculum_oversample(
     number.
     """
     kept = [*key, score] if with_score else list(key)
-    return _oversample(_admit(items, settings, score, key), settings, score, kept, seed)
+    return _oversample(items, _admit(items, settings, score), settings, score, key, kept, seed)
 
 
 def _oversample(
-    admitted: _Admitted, settings: Curriculum, score: str, kept: Sequence[str], seed: int
-) -> DataFrame:
+    items: DataFrame, admitted: _Admitted, settings: Curriculum, score: str, key: Sequence[str],
+    kept: Sequence[str], seed: int,
+) -> DataFrame:
     early = [e for e, x in enumerate(settings.limits()) if x < settings.oversample_below]
     extra = [(e, size, int(size * settings.oversample_share)) for e, size in enumerate(admitted.sizes) if e in early]
-    # Hard items stand last in the order of scores.
-    hard = admitted.ranked.filter(F.col(score) > settings.hard_score).withColumn(
-        "_number", F.col("position") - (admitted.n_ranked - admitted.n_hard)
-    ).select("_number", *kept)
+    # Only the hard items are sorted.
+    numbered = items.select(score, *key).filter(F.col(score) > settings.hard_score)
+    hard = with_position(numbered, [score, *key], name="_number").select("_number", *kept)
     spark = hard.sparkSession
     draws = None
     for epoch, size, n in extra if admitted.n_hard else []:
@@ -422,10 +400,10 @@ def plan_curriculum(
     """Shuffled eligible items per epoch, then the extra hard draws.
 
     ``with_score`` keeps the score, so that statistics of the plan need no join.
-    Building the frame sorts the items and counts them.
+    Building the frame counts the items and sorts the hard ones.
     """
     kept = [*key, score] if with_score else list(key)
-    admitted = _admit(items, settings, score, key)
+    admitted = _admit(items, settings, score)
     shuffled = with_position(
         _eligible(items, admitted.limits, score, [*key, score]).select(
             "epoch", *kept, hash60(seed, F.col("epoch"), *[F.col(k) for k in key]).alias("_h")
@@ -433,7 +411,7 @@ def plan_curriculum(
         ["_h", *key],
         within=["epoch"],
     ).select("epoch", "position", *kept)
-    return shuffled.unionByName(_oversample(admitted, settings, score, kept, seed))
+    return shuffled.unionByName(_oversample(items, admitted, settings, score, key, kept, seed))
 
 
 METHODS = ("sequential", "sorted", "shuffle", "weighted", "staged", "curriculum")
