@@ -466,17 +466,27 @@ def read_predictions_folders(
     file_glob: str = PREDICTIONS_GLOB,
     keep_bad: bool = False,
     report: Callable[[str], None] = log.warning,
+    on_error: str = "raise",
 ) -> DataFrame:
     """Predictions of an ordered list of folders; missing ones are reported and skipped.
 
     Order by ``source_rank`` and the scan order to keep the list order.  A folder
-    that is there but cannot be read is an error.
+    that is there but cannot be read is an error; with ``on_error="skip"`` every folder is
+    read once beforehand, and one that cannot be read is reported and skipped too.
     """
+    if on_error not in ("raise", "skip"):
+        raise ValueError("on_error must be raise or skip")
     whole = None
     for rank, folder in enumerate(folders):
         if not exists(spark, folder):
             report(f"skipped, not there: {folder}")
             continue
+        if on_error == "skip":
+            try:
+                _predictions(spark, folder, file_glob).write.format("noop").mode("overwrite").save()
+            except Exception as failure:  # whatever the file system or the format raises
+                report(f"skipped, cannot be read: {folder}: {type(failure).__name__}")
+                continue
         part = _good(_predictions(spark, folder, file_glob), keep_bad).withColumn(
             "source_rank", F.lit(rank)
         )
@@ -484,3 +494,22 @@ def read_predictions_folders(
     if whole is None:
         raise ValueError("none of the folders is there")
     return whole
+
+
+FORMATS: dict[str, Callable[..., DataFrame]] = {
+    "text_blocks": read_text_blocks,
+    "jsonl_mcqa": read_jsonl_mcqa,
+    "json_array_mcqa": read_json_array_mcqa,
+    "jsonl_premises": read_jsonl_premises,
+    "nested_qa": read_nested_qa,
+}
+
+
+def read_items(spark: SparkSession, path: str, fmt: str, dataname: str, **options) -> DataFrame:
+    """Items of one source layout with ``reject_reason`` and ``raw``; see :data:`FORMATS`.
+
+    ``options`` are those of the layout's own reader.
+    """
+    if fmt not in FORMATS:
+        raise ValueError(f"fmt must be one of {sorted(FORMATS)}")
+    return FORMATS[fmt](spark, path, dataname, **options)

@@ -268,3 +268,32 @@ def test_metrics_file(spark, tmp_path):
     K.write_metrics(df, str(path))
     (file,) = (path / "dataset=d").glob("*.csv")
     assert file.read_text().splitlines() == ["model,accuracy,precision,recall,f1_score", "m,0.5,0.25,1.0,0.4"]
+
+
+def test_entry_points_by_name(spark, tmp_path):
+    import gradus
+
+    put(tmp_path, "a/train.txt", block("b", 1))
+    items = gradus.accepted(gradus.read_items(spark, str(tmp_path / "a"), "text_blocks", "blocks"))
+    (asked,) = gradus.build_prompts(items, "extract").collect()
+    assert asked.prompt.startswith("System: ") and "context 1" in asked.prompt
+    (asked,) = gradus.build_prompts(items, "train").collect()
+    assert [m.role for m in asked.prompt] == ["system", "user", "assistant"] and asked.prompt[2].content == "1"
+    assert len(gradus.build_prompts(items, "infer").first().prompt) == 2
+    for call in (lambda: gradus.read_items(spark, "x", "csv", "d"), lambda: gradus.build_prompts(items, "other")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_folders_that_cannot_be_read_are_skipped_when_asked(spark, tmp_path):
+    put(tmp_path, "good/generated_predictions.jsonl", '{"label": "yes", "predict": "no"}')
+    put(tmp_path, "worse/part-1.json.gz", "no gzip")
+    folders = [str(tmp_path / n) for n in ("worse", "good")]
+    glob, said = "{generated_predictions.jsonl,part-*.json*}", []
+    found = R.read_predictions_folders(spark, folders, glob, report=said.append, on_error="skip").collect()
+    assert [(r.source_rank, r.label) for r in found] == [(1, "yes")]
+    assert len(said) == 1 and "cannot be read" in said[0] and "worse" in said[0]
+    with pytest.raises(Exception):
+        R.read_predictions_folders(spark, folders, glob).collect()
+    with pytest.raises(ValueError):
+        R.read_predictions_folders(spark, folders, on_error="ignore")
