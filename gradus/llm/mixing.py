@@ -114,13 +114,10 @@ def mix_sources(
         "rates",
     )
     side = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+    parts = F.sequence(F.lit(1), F.col("_mix_parts"))
+    uniforms = F.transform(parts, lambda j: uniform53(seed, "poisson", F.col(id_col), j))
     draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("_mix_parts")),
-        F.lit(0),
-        lambda n, j: n
-        + F.size(
-            F.filter("_mix_steps", lambda c: c <= uniform53(seed, "poisson", F.col(id_col), j))
-        ),
+        uniforms, F.lit(0), lambda n, u: n + F.size(F.filter("_mix_steps", lambda c: c <= u))
     )
     drawn = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     kept = [c for c in docs.columns if c.lower() not in (copy_col.lower(), order_col.lower())]

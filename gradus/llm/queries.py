@@ -42,9 +42,10 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by the square root of the size of their source."""
-    # Written whole, so that the texts are repeated and shuffled too.
     mixed = materialise(mix_sources(table(spark, sf_dir, "documents"), power=0.5, seed=7), "mixed")
-    return mixed.select("doc_id", "source", "copy", "shuffle_key")
+    # Taken from the rows as they were repeated and shuffled.
+    text_sha256 = F.sha2("text", 256).alias("text_sha256")
+    return mixed.select("doc_id", "source", "lang", "n_chars", text_sha256, "copy", "shuffle_key")
 
 
 # The steps are summed from 0 upwards, as the operator does; a mean above PART would
@@ -68,14 +69,14 @@ below AS (
   FROM (SELECT *, max(c) OVER (PARTITION BY source) AS top FROM steps) GROUP BY source, parts
 ),
 drawn AS (
-  SELECT d.doc_id, d.source, list_sum(list_transform(range(1, b.parts + 1), lambda j:
+  SELECT d.doc_id, d.source, d.lang, d.n_chars, sha256(d.text) AS text_sha256, list_sum(list_transform(range(1, b.parts + 1), lambda j:
     len(list_filter(b.cs, lambda c: c <= (
       ('0x' || substr(md5('7|poisson|' || d.doc_id || '|' || j), 1, 15))::BIGINT >> 7) / 9007199254740992.0::DOUBLE)))) AS n
   FROM documents d JOIN below b ON d.source IS NOT DISTINCT FROM b.source
 )
-SELECT doc_id, source, copy::INT AS copy,
+SELECT doc_id, source, lang, n_chars, text_sha256, copy::INT AS copy,
   ('0x' || substr(md5('7|order|' || doc_id || '|' || copy), 1, 15))::BIGINT AS shuffle_key
-FROM (SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy FROM drawn WHERE n > 0)
+FROM (SELECT doc_id, source, lang, n_chars, text_sha256, unnest(range(1, n::BIGINT + 1)) AS copy FROM drawn WHERE n > 0)
 """
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
