@@ -6,6 +6,10 @@ product with any query without bias, and its error stays, but for a vanishing ch
 within ``width`` standard deviations sqrt((1 - f^2) / f^2 / (d - 1)).  Only pairs
 whose interval reaches the threshold are computed exactly.
 
+The query is held in four bits a component, so an estimate is a few counts of set bits in
+64-bit words.  Codes, factors and quantised queries are all that meets in buckets at first;
+vectors are fetched for those rows only that have a pair whose interval reaches the threshold.
+
 Pairs meet in buckets: the largest component (and its sign) of further rotations.
 Vectors close in angle have the same largest component with high probability; the
 number of tables makes the chance that a pair at the threshold never meets ``miss``.
@@ -29,18 +33,21 @@ from gradus.storage import materialise
 SEED = 20_240
 #: Rows of a bucket that are compared in one task; more are dealt out in pairs of blocks.
 BLOCK = 2048
-#: Chance that two vectors at cosine 0.98 agree in one hash, two hashes, ... (64 and more components).
-AGREE = (0.79, 0.52, 0.40)
+#: Hashes of a key at most, and rows that should meet under one.
+MOST_HASHES = 3
+PER_BUCKET = 64
+#: Bits a component of a query.
+QUERY_BITS = 4
 BUCKET = ["label", "dim", "table", "key"]
 _FOUND = "a long, b long, n long, label long, dim int, table int, key long"
 
 
-def plan_tables(rows: int, dim: int, miss: float, per_bucket: int = 64) -> tuple[int, int]:
-    """(hashes per key, tables) for the largest set of vectors compared with each other."""
+def hashes_for(rows: int, dim: int, per_bucket: int = PER_BUCKET) -> int:
+    """Hashes per key for the largest set of vectors compared with each other."""
     hashes = 1
-    while hashes < len(AGREE) and (2 * dim) ** hashes * per_bucket < rows:
+    while hashes < MOST_HASHES and (2 * dim) ** hashes * per_bucket < rows:
         hashes += 1
-    return hashes, math.ceil(math.log(miss) / math.log(1 - AGREE[hashes - 1]))
+    return hashes
 
 
 @functools.lru_cache(maxsize=64)
@@ -88,32 +95,110 @@ def encode(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(turned > 0, axis=1), factor
 
 
-class Rows:
-    """Vectors of one bucket with their codes."""
+def quantise(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated vectors in ``QUERY_BITS`` bits a component: packed planes, lowest value and step."""
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / ((1 << QUERY_BITS) - 1), 1e-300)
+    levels = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    planes = [np.packbits(levels >> b & 1, axis=1) for b in range(QUERY_BITS)]
+    return np.concatenate(planes, axis=1), low, step
+
+
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as 64-bit words, filled up with zeros."""
+    fill = -rows.shape[1] % 8
+    return np.ascontiguousarray(np.pad(rows, ((0, 0), (0, fill)))).view(np.uint64)
+
+
+class Codes:
+    """Codes and quantised queries of the rows of one bucket."""
 
-    def __init__(self, part: pd.DataFrame, dim: int, seed: int) -> None:
+    def __init__(self, part: pd.DataFrame, dim: int) -> None:
+        self.dim = dim
         self.ids = part["class"].to_numpy()
+        nbytes = (dim + 7) // 8
+        packed = np.frombuffer(b"".join(part["code"]), dtype=np.uint8).reshape(len(part), -1)
+        self.code = _words(packed[:, :nbytes])
+        self.planes = np.stack(
+            [_words(packed[:, nbytes * (b + 1) : nbytes * (b + 2)]) for b in range(QUERY_BITS)], axis=1
+        )
+        self.factor, self.low, self.step = (part[c].to_numpy() for c in ("factor", "low", "step"))
+        ones = np.bitwise_count(self.planes).sum(axis=2, dtype=np.int64) @ (1 << np.arange(QUERY_BITS))
+        #: The sum of the components of the quantised query.
+        self.total = self.low * dim + self.step * ones
+
+    def take(self, rows) -> Codes:
+        part = object.__new__(type(self))
+        part.__dict__ = {k: v[rows] if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+        return part
+
+
+def upper_bounds(coded: Codes, query: Codes, width: float) -> np.ndarray:
+    """Upper confidence bounds of the inner products, (query, coded), by counting bits."""
+    counts = np.zeros((len(query.ids), len(coded.ids)))
+    for b in range(QUERY_BITS):
+        for w in range(coded.code.shape[1]):
+            both = query.planes[:, b, w, None] & coded.code[None, :, w]
+            counts += np.bitwise_count(both) * float(1 << b)
+    ones = np.bitwise_count(coded.code).sum(axis=1, dtype=np.int64)
+    product = 2 * (query.low[:, None] * ones[None, :] + query.step[:, None] * counts) - query.total[:, None]
+    f = coded.factor[None, :]
+    # The error of the code, and that of rounding each component to the nearest step.
+    spread = np.maximum(1 - f**2, 0) / max(1, coded.dim - 1) + (query.step[:, None] ** 2) / 12
+    return (product / math.sqrt(coded.dim) + width * np.sqrt(spread)) / f
+
+
+def may_link(left: Codes, right: Codes, threshold: float, width: float) -> np.ndarray:
+    """Pairs whose intervals, either way, reach the threshold."""
+    near = upper_bounds(right, left, width) >= threshold
+    rows, columns = np.nonzero(near)
+    if len(rows) * 4 < near.size:
+        # Few are left: the other way is looked at pair by pair.
+        back = np.empty(len(rows), dtype=bool)
+        for at in range(0, len(rows), 1 << 16):
+            i, j = rows[at : at + (1 << 16)], columns[at : at + (1 << 16)]
+            back[at : at + (1 << 16)] = _pairwise(left.take(i), right.take(j), width) >= threshold
+        near[rows[~back], columns[~back]] = False
+        return near
+    return near & (upper_bounds(left, right, width).T >= threshold)
+
+
+def _pairwise(coded: Codes, query: Codes, width: float) -> np.ndarray:
+    """As :func:`upper_bounds`, row by row."""
+    counts = np.zeros(len(coded.ids))
+    for b in range(QUERY_BITS):
+        counts += np.bitwise_count(query.planes[:, b] & coded.code).sum(axis=1, dtype=np.int64) * float(1 << b)
+    ones = np.bitwise_count(coded.code).sum(axis=1, dtype=np.int64)
+    product = 2 * (query.low * ones + query.step * counts) - query.total
+    spread = np.maximum(1 - coded.factor**2, 0) / max(1, coded.dim - 1) + query.step**2 / 12
+    return (product / math.sqrt(coded.dim) + width * np.sqrt(spread)) / coded.factor
+
+
+class Rows(Codes):
+    """As codes, with the vectors and their keys of all tables."""
+
+    def __init__(self, part: pd.DataFrame, dim: int) -> None:
+        super().__init__(part, dim)
         self.copies = part["copies"].to_numpy()
         self.keys = np.frombuffer(b"".join(part["keys"]), dtype=np.int64).reshape(len(part), -1)
-        vectors = np.frombuffer(b"".join(part["vector"]), dtype=np.float64).reshape(-1, dim)
+        vectors = np.array(part["vector"].tolist(), dtype=np.float64)
         self.unit = vectors / norms(vectors)[:, None]
-        self.turned = self.unit @ rotation(dim, seed)
-        bits = np.frombuffer(b"".join(part["code"]), dtype=np.uint8).reshape(len(part), -1)
-        signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float64) * 2 - 1
-        self.signs = signs / math.sqrt(dim)
-        self.factor = part["factor"].to_numpy()
-
-    def take(self, at: int, to: int) -> Rows:
-        part = object.__new__(Rows)
-        part.__dict__ = {k: v[at:to] for k, v in self.__dict__.items()}
-        return part
 
 
-def _estimates(coded: Rows, exact: Rows, width: float) -> np.ndarray:
-    """Upper confidence bounds of the inner products, (exact, coded)."""
-    f = coded.factor[None, :]
-    spread = np.sqrt(np.maximum(1 - f**2, 0) / f**2 / max(1, coded.unit.shape[1] - 1))
-    return exact.turned @ coded.signs.T / f + width * spread
+def candidates(left: Codes, right: Codes | None, table: int, threshold: float, width: float) -> pd.DataFrame:
+    """Rows of a bucket that have a pair whose interval reaches the threshold, as (a)."""
+    other = left if right is None else right
+    here, there = np.zeros(len(left.ids), dtype=bool), np.zeros(len(other.ids), dtype=bool)
+    for at in range(0, len(left.ids), 256):
+        part = left.take(slice(at, at + 256))
+        near = may_link(part, other, threshold, width)
+        if right is None:
+            near[np.arange(len(part.ids)), np.arange(at, at + len(part.ids))] = False
+        here[at : at + 256] |= near.any(axis=1)
+        there |= near.any(axis=0)
+    found = np.concatenate([left.ids[here | there]] if right is None else [left.ids[here], right.ids[there]])
+    nothing = pd.array([None] * len(found), dtype="Int64")
+    return pd.DataFrame({"a": found.astype(np.int64), "b": nothing, "n": nothing})
 
 
 def compare(left: Rows, right: Rows | None, table: int, threshold: float, width: float) -> pd.DataFrame:
@@ -128,10 +213,8 @@ def compare(left: Rows, right: Rows | None, table: int, threshold: float, width:
     root = np.arange(len(ids))
     links: list[tuple[int, int]] = []
     for at in range(0, len(left.ids), 256):
-        part = left.take(at, at + 256)
-        near = (_estimates(other, part, width) >= threshold) & (
-            _estimates(part, other, width).T >= threshold
-        )
+        part = left.take(slice(at, at + 256))
+        near = may_link(part, other, threshold, width)
         if right is None:
             near &= np.arange(len(other.ids))[None, :] > np.arange(at, at + len(part.ids))[:, None]
         rows, columns = np.nonzero(near)
@@ -168,8 +251,11 @@ def _with_bucket(frame: pd.DataFrame, bucket: tuple | None) -> pd.DataFrame:
     return frame
 
 
-def _bucket_stream(threshold: float, width: float, seed: int, block: int):
-    """Partition function over rows sorted by bucket; a bucket above ``block`` is only named."""
+def _bucket_stream(make, work, threshold: float, width: float, block: int):
+    """Partition function over rows sorted by bucket: ``work`` on the rows ``make`` holds.
+
+    A bucket above ``block`` is only named.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket: tuple | None = None
@@ -181,10 +267,10 @@ def _bucket_stream(threshold: float, width: float, seed: int, block: int):
                 one = pd.DataFrame({n: pd.array([None], dtype="Int64") for n in ("a", "b", "n")})
                 yield _with_bucket(one, bucket)
             elif sum(map(len, held)) > 1:
-                rows = Rows(pd.concat(held), bucket[1], seed)
-                found = compare(rows, None, bucket[2], threshold, width)
+                rows = make(pd.concat(held), bucket[1])
+                found = work(rows, None, bucket[2], threshold, width)
                 if len(found):
-                    yield _with_bucket(found, None)
+                    yield _with_bucket(found, bucket if work is candidates else None)
 
         for batch in batches:
             if not len(batch):
@@ -208,7 +294,7 @@ def _bucket_stream(threshold: float, width: float, seed: int, block: int):
 
 
 def _large_buckets(
-    keyed: DataFrame, large: DataFrame, threshold: float, width: float, seed: int, block: int
+    keyed: DataFrame, large: DataFrame, make, work, threshold: float, width: float, block: int
 ) -> DataFrame:
     """The buckets above ``block``: every pair of their blocks is a task of its own."""
     rows = keyed.join(large, BUCKET, "left_semi")
@@ -231,42 +317,83 @@ def _large_buckets(
         if not len(left) or (right is not None and not len(right)):
             found = pd.DataFrame({n: pd.array([], dtype="Int64") for n in ("a", "b", "n")})
         else:
-            found = compare(
-                Rows(left, dim, seed), None if right is None else Rows(right, dim, seed), table, threshold, width
-            )
-        return _with_bucket(found, None)
+            others = None if right is None else make(right, dim)
+            found = work(make(left, dim), others, table, threshold, width)
+        return _with_bucket(found, tuple(int(group[c].iat[0]) for c in BUCKET) if work is candidates else None)
 
     return dealt.groupBy(*BUCKET, "i", "j").applyInPandas(pairs, _FOUND)
 
 
-def _keyed(classes: DataFrame, hashes: int, tables: int, seed: int) -> DataFrame:
-    """Each distinct vector under its bucket of every table."""
+def _met(keyed: DataFrame, make, work, threshold: float, width: float, block: int) -> DataFrame:
+    """What ``work`` finds in all buckets; those above ``block`` are dealt out in pairs of blocks."""
+    found = materialise(
+        keyed.repartition(*BUCKET)
+        .sortWithinPartitions(*BUCKET)
+        .mapInPandas(_bucket_stream(make, work, threshold, width, block), _FOUND),
+        "vector-links",
+    )
+    large = found.where("a IS NULL").select(*BUCKET)
+    found = found.where("a IS NOT NULL")
+    if large.limit(1).count():
+        more = _large_buckets(keyed, large, make, work, threshold, width, block)
+        found = found.unionByName(materialise(more, "vector-links"))
+    return found
+
+
+_CODE = ["class", "code", "factor", "low", "step"]
+_CODED = "class long, code binary, factor double, low double, step double"
+
+
+def _keyed(classes: DataFrame, plan: dict[int, tuple[int, int]], seed: int) -> DataFrame:
+    """The code of each distinct vector under its bucket of every table; ``plan`` has (hashes, tables) by length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby("dim"):
+                hashes, tables = plan[dim]
                 for at in range(0, len(part), 1024):
                     piece = part.iloc[at : at + 1024]
-                    vectors = np.array(piece["vector"].tolist(), dtype=np.float64)
-                    unit = vectors / norms(vectors)[:, None]
-                    keys = bucket_keys(unit, hashes, tables, seed)
-                    codes, factors = encode(unit, seed)
-                    wide = piece[["label", "dim", "class", "copies"]].assign(
-                        vector=[v.tobytes() for v in vectors],
-                        keys=[k.tobytes() for k in keys],
-                        code=[c.tobytes() for c in codes],
-                        factor=factors,
-                    )
+                    wide, keys = _coded(piece, dim, hashes, tables, seed)
                     out = wide.loc[wide.index.repeat(tables)].reset_index(drop=True)
                     out["table"] = np.tile(np.arange(tables, dtype=np.int32), len(piece))
                     out["key"] = keys.ravel()
-                    yield out[[*BUCKET, "class", "copies", "vector", "keys", "code", "factor"]]
+                    yield out[[*BUCKET, *_CODE]]
+
+    schema = f"label long, dim int, table int, key long, {_CODED}"
+    return classes.select("label", "dim", "class", "vector").mapInPandas(run, schema)
 
-    schema = (
-        "label long, dim int, table int, key long, class long, copies long, vector binary, "
-        "keys binary, code binary, factor double"
+
+def _coded(piece: pd.DataFrame, dim: int, hashes: int, tables: int, seed: int) -> tuple[pd.DataFrame, np.ndarray]:
+    vectors = np.array(piece["vector"].tolist(), dtype=np.float64)
+    unit = vectors / norms(vectors)[:, None]
+    codes, factors = encode(unit, seed)
+    planes, low, step = quantise(unit @ rotation(dim, seed))
+    packed = np.concatenate([codes, planes], axis=1)
+    wide = piece[["label", "dim", "class"]].assign(
+        code=[c.tobytes() for c in packed], factor=factors, low=low, step=step
     )
-    return classes.select("label", "dim", "class", "copies", "vector").mapInPandas(run, schema)
+    return wide, bucket_keys(unit, hashes, tables, seed)
+
+
+def _with_vectors(met: DataFrame, classes: DataFrame, plan: dict[int, tuple[int, int]], seed: int) -> DataFrame:
+    """The rows of buckets that have candidates, with codes, keys and vectors."""
+    rows = met.select("table", "key", F.col("a").alias("class")).distinct()
+    held = rows.join(classes.select("label", "dim", "class", "copies", "vector"), "class")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, part in batch.groupby("dim"):
+                hashes, tables = plan[dim]
+                for at in range(0, len(part), 1024):
+                    piece = part.iloc[at : at + 1024].reset_index(drop=True)
+                    wide, keys = _coded(piece, dim, hashes, tables, seed)
+                    wide["keys"] = [k.tobytes() for k in keys]
+                    yield pd.concat([wide, piece[["table", "key", "copies", "vector"]]], axis=1)[
+                        [*BUCKET, *_CODE, "copies", "vector", "keys"]
+                    ]
+
+    schema = f"label long, dim int, table int, key long, {_CODED}, copies long, vector array<double>, keys binary"
+    return held.select("label", "dim", "table", "key", "class", "copies", "vector").mapInPandas(run, schema)
 
 
 def near_duplicates(
@@ -310,26 +437,17 @@ def near_duplicates(
         .withColumn("class", F.monotonically_increasing_id()),
         "vector-classes",
     )
-    largest = classes.groupBy("label", "dim").count().orderBy(F.desc("count")).first()
-    if largest is None:
+    sizes = classes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("rows")).collect()
+    if not sizes:
         found = None
-        links = counts = None
     else:
-        hashes, _ = plan_tables(largest["count"], largest["dim"], miss)
-        dims = [r.dim for r in classes.select("dim").distinct().collect()]
-        tables = max(tables_for(dim, hashes, threshold, miss) for dim in dims)
-        keyed = _keyed(classes, hashes, tables, seed)
-        found = materialise(
-            keyed.repartition(*BUCKET)
-            .sortWithinPartitions(*BUCKET)
-            .mapInPandas(_bucket_stream(threshold, width, seed, block), _FOUND),
-            "vector-links",
-        )
-        large = found.where("a IS NULL").select(*BUCKET)
-        found = found.where("a IS NOT NULL")
-        if large.limit(1).count():
-            more = _large_buckets(keyed, large, threshold, width, seed, block)
-            found = found.unionByName(materialise(more, "vector-links"))
+        # One row per length of vectors.
+        plan = {}
+        for r in sizes:
+            hashes = hashes_for(r.rows, r.dim)
+            plan[r.dim] = hashes, tables_for(r.dim, hashes, threshold, miss)
+        met = _met(_keyed(classes, plan, seed), Codes, candidates, threshold, width, block)
+        found = _met(_with_vectors(met, classes, plan, seed), Rows, compare, threshold, width, block)
         links = found.where("b IS NOT NULL")
         counts = found.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("n"))
     if found is None:

@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from gradus.llm import pivots
-from gradus.llm.binary_codes import encode, near_duplicates, plan_tables
+from gradus.llm.binary_codes import Codes, _coded, encode, hashes_for, may_link, near_duplicates, upper_bounds
 from gradus.llm.vectors import norms, rotation
 from tests.llm.helpers import Forest
 
@@ -53,9 +54,24 @@ def test_estimates_are_unbiased_and_bounded():
     assert (np.abs(error) <= 6 * np.sqrt((1 - factor**2) / factor**2 / 63)).all()
 
 
-def test_plan_grows_with_the_rows():
-    assert plan_tables(100, 64, 1e-9) == (1, 14)
-    assert plan_tables(10**6, 64, 1e-9)[0] == 2 < plan_tables(10**8, 64, 1e-9)[0]
+@pytest.mark.parametrize("dim", [64, 100, 7])
+def test_counted_bits_bound_the_products(dim):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([near_copies(rng, 40, 6, dim, 0.15), unit(rng.standard_normal((200, dim)))])
+    frame = pd.DataFrame({"label": 0, "dim": dim, "class": np.arange(len(x)), "vector": list(x)})
+    codes = Codes(_coded(frame, dim, 1, 2, 5)[0], dim)
+    exact, bounds = x @ x.T, upper_bounds(codes, codes, 6.0)
+    assert (bounds >= exact - 1e-9).all()
+    near = may_link(codes, codes, 0.98, 6.0)
+    assert near[exact >= 0.98].all()
+    if dim > 50:
+        # Without the margin the estimates lie around the products; most pairs need no vector.
+        assert abs((upper_bounds(codes, codes, 0.0) - exact)[exact < 0.9].mean()) < 0.01
+        assert near[exact < 0.5].mean() < 0.05
+
+
+def test_hashes_grow_with_the_rows():
+    assert hashes_for(100, 64) == 1 and hashes_for(10**6, 64) == 2 and hashes_for(10**8, 64) == 3
 
 
 BAD = [None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0]]
