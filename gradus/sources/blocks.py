@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -90,19 +89,21 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole, n = _SAME, 0
 
 
-def _chain(splits: pd.DataFrame) -> pd.DataFrame:
+def _chain(splits: list[dict]) -> list[dict]:
     """State at the start of each split of a file, and the split an open block began in."""
-    splits = splits.sort_values("_block")
-    state, began, states, begun = 0, -1, [], []
-    for block, ends, n in zip(splits["_block"], splits["ends"], splits["n"]):
-        states.append(state)
-        begun.append(began)
-        goes_on = state and n < STATES - state
-        state = int(ends[state])
-        began = began if goes_on else block if state else -1
-    return pd.DataFrame({"_file": splits["_file"], "_block": splits["_block"], "state": states, "began": begun})
-
-
+    state, began, rows = 0, -1, []
+    for split in splits:
+        rows.append({"_file": split["_file"], "_block": split["_block"], "state": state, "began": began})
+        goes_on = state and split["n"] < STATES - state
+        state = int(split["ends"][state])
+        began = began if goes_on else split["_block"] if state else -1
+    return rows
+
+
+_STATES = "_file string, _block long, state int, began long"
+_STATES_SCHEMA = pa.schema(
+    [("_file", pa.string()), ("_block", pa.int64()), ("state", pa.int32()), ("began", pa.int64())]
+)
 _CUT = "_file string, _block long, _row long, key long, letter string, lines array<string>"
 
 
@@ -182,7 +183,7 @@ def blocks_of_lines(lines: DataFrame) -> DataFrame:
     """
     lines = lines.select("_file", "_block", "_row", "value")
     summaries = lines.mapInArrow(_summarise, _SUMMARY)
-    states = chained(summaries, _chain, "_file string, _block long, state int, began long")
+    states = chained(summaries, _chain, _STATES, _STATES_SCHEMA)
     cut = materialise(
         with_states(lines, states.select(*SPLIT, "state").where("state <> 0")).mapInArrow(_cut, _CUT), "blocks"
     )

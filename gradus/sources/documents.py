@@ -18,12 +18,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.sources.splits import SPLIT, chained, rows_of, runs, split_of, with_states
+from gradus.sources.splits import SPLIT, chained, per_file, rows_of, runs, split_of, with_states
 from gradus.storage import materialise
 
 QUOTE, OPEN, CLOSE = 1, 2, 3
@@ -121,27 +120,33 @@ def record_depth(first: str, nested: bool) -> int:
 
 
 def _chain(nested: bool):
-    def run(splits: pd.DataFrame) -> pd.DataFrame:
-        splits = splits.sort_values("_block").reset_index(drop=True)
-        first = next((c for c in splits["first"] if c), "")
+    def run(splits: list[dict]) -> list[dict]:
+        first = next((s["first"] for s in splits if s["first"]), "")
         level = record_depth(first, nested)
         # The last piece has no separator unless the sizes say so.
-        ended = int(splits["bytes"].sum()) in (int(splits["size"].iat[0]), int(splits["size"].iat[0]) - _BOM)
+        size = splits[0]["size"]
+        ended = sum(s["bytes"] for s in splits) in (size, size - _BOM)
         inside, depth, began, rows = 0, 0, -1, []
-        for i, row in splits.iterrows():
-            rows.append((row["_file"], row["_block"], inside, depth, began, level, not ended and i == len(splits) - 1))
-            lowest, depth = depth + row["least"][inside], depth + row["depth"][inside]
-            inside = row["inside"][inside]
+        for split in splits:
+            open_end = not ended and split is splits[-1]
+            state = {"inside": inside, "depth": depth, "began": began, "level": level, "open_end": open_end}
+            rows.append({"_file": split["_file"], "_block": split["_block"], **state})
+            lowest, depth = depth + split["least"][inside], depth + split["depth"][inside]
+            inside = split["inside"][inside]
             if not level or depth < level:
                 began = -1
             elif began < 0 or lowest < level:
-                began = row["_block"]
-        return pd.DataFrame(rows, columns=["_file", "_block", "inside", "depth", "began", "level", "open_end"])
+                began = split["_block"]
+        return rows
 
     return run
 
 
 _STATES = "_file string, _block long, inside int, depth long, began long, level int, open_end boolean"
+_STATES_SCHEMA = pa.schema(
+    [("_file", pa.string()), ("_block", pa.int64()), ("inside", pa.int32()), ("depth", pa.int64())]
+    + [("began", pa.int64()), ("level", pa.int32()), ("open_end", pa.bool_())]
+)
 _CUT = "_file string, _block long, _row long, kind int, began long, run string, text string"
 WHOLE, PART, SKELETON = 0, 1, 2
 
@@ -251,15 +256,19 @@ def _judge(inside_key: str | None):
         good = isinstance(found, list) and all(isinstance(v, str) and v.startswith(MARK) for v in found)
         return found if good else None
 
-    def run(parts: pd.DataFrame) -> pd.DataFrame:
-        text = "".join(parts.sort_values("_block")["text"])
+    def run(parts: list[dict]) -> list[dict]:
+        text = "".join(p["text"] for p in parts)
         runs = kept(text)
         others = sorted(set(re.findall(f"{MARK}[0-9]+:[0-9]+", text)) - set(runs or []))
-        return pd.DataFrame({"_file": [parts["_file"].iat[0]], "whole": [runs is not None], "others": [others]})
+        return [{"_file": parts[0]["_file"], "whole": runs is not None, "others": others}]
 
     return run
 
 
+_FILES = "_file string, whole boolean, others array<string>"
+_FILES_SCHEMA = pa.schema([("_file", pa.string()), ("whole", pa.bool_()), ("others", pa.list_(pa.string()))])
+
+
 def json_records(lines: DataFrame, inside_key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Texts of the records of JSON files, and of the files that are not whole.
 
@@ -274,17 +283,13 @@ def json_records(lines: DataFrame, inside_key: str | None = None) -> tuple[DataF
     compressed to be split; a compressed one is read as one split.
     """
     lines = lines.select("_file", "_block", "_row", "_size", "value")
-    states = chained(
-        lines.mapInArrow(_summarise, _SUMMARY), _chain(inside_key is not None), _STATES
-    )
+    chain = _chain(inside_key is not None)
+    states = chained(lines.mapInArrow(_summarise, _SUMMARY), chain, _STATES, _STATES_SCHEMA)
     cut = materialise(
         with_states(lines.drop("_size"), states).mapInArrow(_cut, _CUT), "json-records"
     )
-    judged = materialise(
-        cut.where(F.col("kind") == SKELETON).select("_file", "_block", "text")
-        .groupBy("_file").applyInPandas(_judge(inside_key), "_file string, whole boolean, others array<string>"),
-        "json-files",
-    )
+    skeletons = cut.where(F.col("kind") == SKELETON).select("_file", "_block", "text")
+    judged = materialise(per_file(skeletons, _judge(inside_key), _FILES, _FILES_SCHEMA), "json-files")
     parts = (
         cut.where(F.col("kind") == PART)
         .groupBy("_file", "began")

@@ -8,7 +8,7 @@ one per cut, are put together by a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +70,30 @@ def with_states(lines: DataFrame, states: DataFrame) -> DataFrame:
     return joined.repartition(*SPLIT).sortWithinPartitions(*SPLIT, "_row")
 
 
-def chained(summaries: DataFrame, chain, schema: str) -> DataFrame:
-    """The states of all splits: ``chain`` sees the summaries of one file."""
-    return materialise(summaries.groupBy("_file").applyInPandas(chain, schema), "states")
+def per_file(rows: DataFrame, run: Callable[[list[dict]], list[dict]], ddl: str, schema: pa.Schema) -> DataFrame:
+    """``run`` on the rows of every file, in the order of their splits.
+
+    ``rows`` are small, one or two per split.  Files are sorted and streamed through a task,
+    so that a folder of many small files costs a call per batch of rows, not one per file.
+    """
 
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            made: list[dict] = []
+            for row in batch.to_pylist():
+                if held and row["_file"] != held[0]["_file"]:
+                    made += run(held)
+                    held = []
+                held.append(row)
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(run(held), schema)
 
+    return rows.repartition("_file").sortWithinPartitions(*SPLIT).mapInArrow(stream, ddl)
+
+
+def chained(summaries: DataFrame, chain: Callable[[list[dict]], list[dict]], ddl: str, schema: pa.Schema) -> DataFrame:
+    """The states of all splits: ``chain`` sees the summaries of one file."""
+    return materialise(per_file(summaries, chain, ddl, schema), "states")
