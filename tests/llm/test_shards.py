@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gradus.llm.shards import differencing, shard_by_bytes
+from gradus.llm.shards import combined, differencing, exchanged, shard_by_bytes, summed
 from tests.llm.helpers import ODD_TEXTS, docs
 
 
@@ -30,6 +30,32 @@ def test_differencing_is_close_to_even(sizes, parts):
     assert max(found) - min(found) <= max(sizes, default=0)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 5).flatmap(lambda n: st.lists(st.lists(st.integers(0, 200), min_size=n, max_size=n), max_size=12)))
+def test_combined_partitions_are_close_to_even(partials):
+    partials = [sorted(p, reverse=True) for p in partials]
+    moves = combined(partials)
+    assert all(sorted(m) == list(range(len(m))) for m in moves)
+    if partials:
+        found = summed(partials, moves, len(partials[0]))
+        assert found == sorted(found, reverse=True) and sum(found) == sum(map(sum, partials))
+        assert max(found) - min(found) <= max(p[0] - p[-1] for p in partials)
+
+
+def test_only_parts_of_equal_start_are_exchanged():
+    moves = exchanged([[5, 1, 9, 2], [7, 1, 9, 2]], [3, 0, 3, 0])
+    assert all({m[0], m[2]} == {0, 2} and {m[1], m[3]} == {1, 3} for m in moves)
+    assert summed([[5, 1, 9, 2], [7, 1, 9, 2]], moves, 4) in ([14, 3, 16, 3], [16, 3, 14, 3])
+    assert exchanged([], [0, 0]) == []
+
+
+@pytest.mark.parametrize("start", [[0] * 16, [400_000] + [0] * 15, [i * 9_001 for i in range(16)]])
+def test_a_start_is_evened_out(start):
+    sizes = [(i * 7919) % 10_007 + 1 for i in range(4_096)]
+    found = [a + b for a, b in zip(start, sums(sizes, differencing(sizes, 16, start), 16))]
+    assert max(found) - min(found) <= 16
+
+
 def test_differencing_beats_dealing_by_size():
     sizes = [(i * 7919) % 10_007 + 1 for i in range(500)]
     dealt = [0] * 16
@@ -58,9 +84,13 @@ def test_groups_stay_together_and_bytes_are_even(spark):
     texts = ["copy"] * 300 + [f"text {i} " * (i % 37 + 1) for i in range(900)]
     loads = check(shard_by_bytes(docs(spark, texts)).collect(), texts, 16)
     assert max(loads) - min(loads) <= 3
-    # Fewer bundles than groups: the bundles are what is balanced.
-    loads = check(shard_by_bytes(docs(spark, texts), shards=4, bundles=64).collect(), texts, 4)
-    assert max(loads) - min(loads) <= sum(loads) / 64
+    # Many blocks a task: every group is still differenced as itself.
+    loads = check(shard_by_bytes(docs(spark, texts), shards=4, block=16).collect(), texts, 4)
+    assert max(loads) - min(loads) <= 64
+    # A group of half of all bytes leaves the other shards even.
+    texts = ["x" * 99] * 1000 + [f"text {i} " * (i % 37 + 1) for i in range(600)]
+    loads = check(shard_by_bytes(docs(spark, texts), block=100).collect(), texts, 16)
+    assert max(loads) == 100_000 and sorted(loads)[-2] - min(loads) <= 128
 
 
 def test_odd_rows(spark):
