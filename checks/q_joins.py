@@ -8,6 +8,8 @@ from checks import sql as Q
 from checks import views as V
 from checks.registry import query
 from gradus.operators import joins as J
+from gradus.sources import versions as T
+from gradus.storage import run_path
 
 SHIFT = 1_000_000_000_000  # second copies and unmatched keys lie beyond every given id
 
@@ -43,21 +45,30 @@ def upsert_source(spark, sf_dir):
     )
 
 
-@query(
-    "upsert_by_id",
-    Q.sql(
-        f"""SELECT i.dataname, i.id, i.id AS ordinal,
+UPSERT_SQL = Q.sql(
+    f"""SELECT i.dataname, i.id, i.id AS ordinal,
   CASE WHEN l.doc_id IS NULL THEN context ELSE 'repaired 2: ' || context END AS context,
   CASE WHEN l.doc_id IS NULL THEN answer ELSE quality::VARCHAR END AS answer
 FROM items i LEFT JOIN labels l ON i.id = l.doc_id
 UNION ALL SELECT dataname, id, id + {SHIFT}, context, answer FROM items""",
-        "items",
-    ),
+    "items",
 )
+
+
+@query("upsert_by_id", UPSERT_SQL)
 def upsert_by_id(spark, sf_dir):
     return J.upsert(upsert_target(spark, sf_dir), upsert_source(spark, sf_dir))
 
 
+@query("upsert_by_file", UPSERT_SQL)
+def upsert_by_file(spark, sf_dir):
+    """The same repair of a kept table: only files that hold a repaired record are rewritten."""
+    path = run_path(spark, "items-table")
+    T.create_table(upsert_target(spark, sf_dir), path)
+    T.merge_table(spark, path, upsert_source(spark, sf_dir))
+    return T.read_table(spark, path)
+
+
 NAME_SQL = "source || '-' || lang"
 
 
