@@ -16,22 +16,10 @@ from gradus.storage import materialise
 REPAIR_SUFFIX = r"(?i)_error\.json$"
 
 
-def last_repairs(
-    source: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str]
-) -> DataFrame:
-    """(keys, _new): the last source record of each key without nulls."""
-    last = F.max_by(F.struct(*fields), order).alias("_new")
-    return source.dropna(subset=list(keys)).groupBy(*keys).agg(last)
-
-
 def first_targets(
     target: DataFrame, repaired: DataFrame, keys: Sequence[str], order: str, more: Sequence[str] = ()
 ) -> DataFrame:
-    """(keys, order, more) of the first target record of each repaired key.
-
-    The record is found on keys alone, to be joined on (key, order): a key repeated in many
-    target rows does not gather in one task.
-    """
+    """(keys, order, more) of the first target record of each repaired key."""
     return (
         target.select(*keys, order, *more)
         .join(repaired.select(*keys), list(keys), "left_semi")
@@ -41,21 +29,6 @@ def first_targets(
     )
 
 
-def patched(
-    target: DataFrame, patches: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str]
-) -> DataFrame:
-    """``target`` with the fields of ``patches`` (keys, order, _new) where there is one."""
-    joined = target.join(patches, [*keys, order], "left")
-    return joined.select(
-        *keys,
-        order,
-        *[
-            F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
-            for c in fields
-        ],
-    )
-
-
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -71,12 +44,26 @@ def upsert(
     """
     keys = list(keys)
     fields = [c for c in target.columns if c not in (order, *keys)]
-    repaired = last_repairs(source, keys, order, fields)
+    repaired = (
+        source.dropna(subset=keys)
+        .groupBy(*keys)
+        .agg(F.max_by(F.struct(*fields), order).alias("_new"))
+    )
+    # The record to replace is found on keys alone, then joined on (key, order):
+    # a key repeated in many target rows does not gather in one task.
     first = first_targets(target, repaired, keys, order)
     # Written first, so that its size is known: a small table is broadcast and the
     # target is not shuffled, a large one is sort-merge joined.
     patches = materialise(first.join(repaired, keys), "patches")
-    return patched(target, patches, keys, order, fields)
+    joined = target.join(patches, [*keys, order], "left")
+    return joined.select(
+        *keys,
+        order,
+        *[
+            F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+            for c in fields
+        ],
+    )
 
 
 def repair_target(file_name: Column) -> Column:

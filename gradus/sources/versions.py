@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.operators.joins import first_targets, last_repairs, patched
+from gradus.operators.joins import first_targets
 from gradus.storage import list_names, materialise, move, remove, write_small
 
 VERSIONS = "_versions"
@@ -93,17 +93,21 @@ def merge_table(
     """Replace records of the last version as ``upsert`` does, in the files that hold them.
 
     The last source record of a key replaces the first target record of that key; null keys
-    match nothing, unmatched source records are ignored, extra source columns too.  A
-    repair that matches nothing makes no version.  Other columns must be the same in both.
+    match nothing, unmatched source records are ignored, extra source columns too.  ``order``
+    is a unique row number in both.  A repair that matches nothing makes no version.
+
+    What is to be replaced is found on keys alone.  A replaced record takes only its keys and its
+    place from the target, so no text of the target is joined with one of the source.
     """
     keys = list(keys)
     before = files_of(spark, path)
     target = _read(spark, path, before)
-    fields = [c for c in target.columns if c not in (order, *keys)]
-    repaired = materialise(last_repairs(source, keys, order, fields), "repairs")
+    latest = source.dropna(subset=keys).groupBy(*keys).agg(F.max(order).alias("_last"))
+    latest = materialise(latest, "repairs")
     # Keys and places only: the scan reads no other column.
     places = target.select(*keys, order, F.col("_metadata.file_name").alias("_name"))
-    found = materialise(first_targets(places, repaired, keys, order, ["_name"]), "places")
+    first = first_targets(places, latest, keys, order, ["_name"])
+    found = materialise(first.join(latest, keys), "places")
     # At most one name per file of the table.
     names = {r._name for r in found.select("_name").distinct().collect()}
     touched = [f for f in before if f.rsplit("/", 1)[1] in names]
@@ -111,9 +115,15 @@ def merge_table(
     last = versions(spark, path)[-1]
     if not touched:
         return Merge(last, 0, len(kept))
-    patches = materialise(found.drop("_name").join(repaired, keys), "patches")
-    rewritten = patched(_read(spark, path, touched), patches, keys, order, fields)
-    made = _write(rewritten.select(*target.columns), path)
+    left = _read(spark, path, touched).join(found, [*keys, order], "left_anti")
+    fields = [c for c in target.columns if c not in (order, *keys)]
+    new = (
+        source.select(*keys, F.col(order).alias("_last"), *fields)
+        .join(found.withColumnRenamed(order, "_place"), [*keys, "_last"])
+        .withColumnRenamed("_place", order)
+    )
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema]
+    made = _write(left.select(*target.columns).unionByName(new.select(*typed)), path)
     _commit(spark, path, last + 1, kept + made)
     return Merge(last + 1, len(touched), len(kept))
 
