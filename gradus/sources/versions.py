@@ -25,6 +25,8 @@ from gradus.storage import list_names, materialise, move, remove, write_small
 
 VERSIONS = "_versions"
 _SUFFIX = ".json"
+#: Repaired places (two row numbers each, some 40 MB in all) that are broadcast; beyond, records are shuffled to them.
+BROADCAST_PLACES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -115,11 +117,15 @@ def merge_table(
     last = versions(spark, path)[-1]
     if not touched:
         return Merge(last, 0, len(kept))
-    left = _read(spark, path, touched).join(found, [*keys, order], "left_anti")
+    # Row numbers are unique, so they stand for the keys.
+    pairs = found.select(F.col(order).alias("_place"), "_last")
+    if found.count() <= BROADCAST_PLACES:
+        pairs = F.broadcast(pairs)
+    left = _read(spark, path, touched).join(pairs, F.col(order) == F.col("_place"), "left_anti")
     fields = [c for c in target.columns if c not in (order, *keys)]
     new = (
         source.select(*keys, F.col(order).alias("_last"), *fields)
-        .join(found.withColumnRenamed(order, "_place"), [*keys, "_last"])
+        .join(pairs, "_last")
         .withColumnRenamed("_place", order)
     )
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema]

@@ -35,7 +35,9 @@ def test_ten_rows_rewrite_at_most_ten_files(spark, tmp_path):
         T.read_table(spark, path, 1)
 
 
-def test_copies_nulls_and_unmatched_records(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_copies_nulls_and_unmatched_records(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(T, "BROADCAST_PLACES", broadcast)
     path = str(tmp_path / "t")
     old = [("d", 1, "a", 0), ("d", 1, "b", 1), (None, 2, "c", 2), ("d", None, "d", 3), ("e", 1, None, 4)]
     target = spark.createDataFrame(old, DDL).repartition(5, "ordinal")
