@@ -27,21 +27,14 @@ def upsert_source(spark, sf_dir):
     labels = V.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
     base = V.items(spark, sf_dir).select("dataname", "id", "context").join(labels, "id")
 
-    def version(n: int, key):
-        return base.select(
-            "dataname",
-            key.alias("id"),
-            F.concat(F.lit(f"repaired {n}: "), "context").alias("context"),
-            F.col("quality").cast("string").alias("answer"),
-            (F.col("id") + n * SHIFT).alias("ordinal"),
-        )
-
-    nothing = F.lit(None).cast("bigint")
-    return (
-        version(1, F.col("id"))
-        .unionByName(version(2, F.col("id")))
-        .unionByName(version(3, F.col("id") + SHIFT))
-        .unionByName(version(4, nothing))
+    n, nothing = F.col("n"), F.lit(None).cast("bigint")
+    # Versions 1 and 2 repair an item, 3 has an unknown id and 4 none.
+    return base.withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).select(
+        "dataname",
+        F.when(n <= 2, F.col("id")).when(n == 3, F.col("id") + SHIFT).otherwise(nothing).alias("id"),
+        F.concat(F.lit("repaired "), n.cast("string"), F.lit(": "), "context").alias("context"),
+        F.col("quality").cast("string").alias("answer"),
+        (F.col("id") + n * SHIFT).alias("ordinal"),
     )
 
 
