@@ -99,7 +99,8 @@ def merge_table(
     is a unique row number in both.  A repair that matches nothing makes no version.
 
     What is to be replaced is found on keys alone.  A replaced record takes only its keys and its
-    place from the target, so no text of the target is joined with one of the source.
+    place from the target, so no text of the target is joined with one of the source; new records
+    go to files of their own beside what is left of the touched ones.
     """
     keys = list(keys)
     before = files_of(spark, path)
