@@ -4,15 +4,23 @@ Fingerprints of 64 bits link when at most ``budget`` bits differ.  The bits are
 into ``budget + 1`` segments in a ring.  If two fingerprints link, some segment
 starts a chain whose first l segments together differ in at most
 ``floor(l * budget / segments)`` bits, for every l: the first segment is equal, the
-first two differ in one bit at most, and so on.  The first two conditions are made
-an equality: the key is the first segment and the second one with one bit masked
-out, for each place of that bit.  The longer chains and the full distance are
-checked on the rows that meet under a key.  Nothing is lost and nothing is capped.
+first two differ in one bit at most, the first three in two, and so on.  The first
+three conditions are made equalities, in two cases:
+
+* the second segment is equal too, so the third differs in two bits at most, and one of
+  its thirds is equal;
+* the second segment differs in one bit, so it is equal outside one of its quarters; the
+  third differs in one bit at most, and one of its halves is equal.
+
+That is eleven keys a segment.  The longer chains and the full distance are checked on the
+rows that meet under a key.  Nothing is lost and nothing is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,6 +35,8 @@ BITS = 64
 SEED = 42
 #: Fingerprints compared at once under one key; more are dealt out in pairs of blocks.
 BLOCK = 2048
+#: Bits of a key below its tag.
+TAG_AT = 56
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -69,46 +79,85 @@ def segments(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def chain_keys(fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of each fingerprint: (rows, keys) and the packed (segment, bit) of each."""
+def _cut(segment: tuple[int, int], parts: int) -> list[tuple[int, int]]:
+    at, width = segment
+    cuts = [at + width * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _bits(values: np.ndarray, part: tuple[int, int]) -> np.ndarray:
+    at, width = part
+    return (values >> np.uint64(at)) & np.uint64((1 << width) - 1)
+
+
+@dataclass(frozen=True)
+class Chain:
+    """One kind of key: the bits that must be equal for two fingerprints to meet.
+
+    ``masked`` is the quarter of the second segment that is left out, None if all of it is in
+    the key.  ``own`` is the part of the third segment in the key; the ``earlier`` ones
+    differ, else the pair meets under those.
+    """
+
+    tag: int
+    first: tuple[int, int]
+    second: tuple[int, int]
+    masked: tuple[int, int] | None
+    own: tuple[int, int]
+    earlier: tuple[tuple[int, int], ...]
+
+
+@cache
+def chains(budget: int) -> dict[int, Chain]:
+    """All kinds of keys by tag."""
     ring = segments(budget)
-    columns, tags = [], []
-    for i, (at, width) in enumerate(ring):
-        next_at, next_width = ring[(i + 1) % len(ring)]
-        own = (fp >> np.uint64(at)) & np.uint64((1 << width) - 1)
-        after = (fp >> np.uint64(next_at)) & np.uint64((1 << next_width) - 1)
-        for bit in range(next_width):
-            masked = after & np.uint64(((1 << next_width) - 1) ^ (1 << bit))
-            tag = i * 64 + bit
-            columns.append(
-                (np.uint64(tag) << np.uint64(48))
-                | (own << np.uint64(next_width))
-                | masked
-            )
-            tags.append(tag)
-    return np.stack(columns, axis=1), np.array(tags)
+    found = []
+    for i, first in enumerate(ring):
+        second = ring[(i + 1) % len(ring)]
+        # A ring of two segments has no third.
+        third = ring[(i + 2) % len(ring)] if len(ring) > 2 else None
+        kinds = [(None, 3)] + [(quarter, 2) for quarter in _cut(second, 4)]
+        for masked, parts in kinds:
+            cut = _cut(third, parts) if third else [(0, 0)]
+            found += [(first, second, masked, own, tuple(cut[:j])) for j, own in enumerate(cut)]
+    return {tag: Chain(tag, *kind) for tag, kind in enumerate(found)}
+
+
+def chain_keys(fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of each fingerprint: a column for each kind of key, and the tags of the columns.
+
+    The tag stands above the bits of the key.  With a budget of 1 these are too many, and the
+    highest are left out; they are compared when rows have met.
+    """
+    columns = []
+    for tag, chain in chains(budget).items():
+        after = _bits(fp, chain.second)
+        if chain.masked:
+            at, width = chain.masked
+            after = after & ~np.uint64(((1 << width) - 1) << (at - chain.second[0]))
+        value = (_bits(fp, chain.first) << np.uint64(chain.second[1])) | after
+        value = (value << np.uint64(chain.own[1])) | _bits(fp, chain.own)
+        columns.append((np.uint64(tag) << np.uint64(TAG_AT)) | (value & np.uint64((1 << TAG_AT) - 1)))
+    return np.stack(columns, axis=1), np.array(list(chains(budget)))
 
 
 def _linked(left: np.ndarray, right: np.ndarray, tag: int, budget: int) -> np.ndarray:
     """Pairs (rows of left, columns of right) that pass the ring chain and the distance.
 
-    A pair that meets under several masks of the same chain is taken under the mask
-    of the bit that differs, or of bit 0 when none does.
+    A pair that meets under several kinds of key from the same segment is taken under one: by
+    the quarter that holds the differing bit, and the first equal part of the third segment.
     """
-    ring = segments(budget)
-    first, bit = divmod(tag, 64)
+    ring, chain = segments(budget), chains(budget)[tag]
+    first = ring.index(chain.first)
     differ = left[:, None] ^ right[None, :]
-    after_at, after_width = ring[(first + 1) % len(ring)]
-    after = (differ >> np.uint64(after_at)) & np.uint64((1 << after_width) - 1)
-    alive = after == np.uint64(1 << bit)
-    if bit == 0:
-        alive |= after == 0
+    alive = _bits(differ, chain.masked) != 0 if chain.masked else _bits(differ, chain.second) == 0
+    for part in chain.earlier:
+        alive &= _bits(differ, part) != 0
     rows, columns = np.nonzero(alive)
     rest = differ[rows, columns]
     spent = np.zeros(len(rows), dtype=np.int64)
     for length in range(1, len(ring) + 1):
-        at, width = ring[(first + length - 1) % len(ring)]
-        spent += np.bitwise_count((rest >> np.uint64(at)) & np.uint64((1 << width) - 1))
+        spent += np.bitwise_count(_bits(rest, ring[(first + length - 1) % len(ring)]))
         keep = spent <= length * budget // len(ring)
         rows, columns, rest, spent = rows[keep], columns[keep], rest[keep], spent[keep]
     return np.stack([rows, columns], axis=1)
@@ -142,7 +191,7 @@ def _links_under_key(
     shift = 0 if right is None else len(left)
     kept: list[tuple[int, int]] = []
     for at in range(0, len(left), 512):
-        found = _linked(left[at : at + 512], other, int(key) >> 48, budget)
+        found = _linked(left[at : at + 512], other, int(key) >> TAG_AT & 255, budget)
         found[:, 0] += at
         if right is None:
             found = found[found[:, 0] < found[:, 1]]
@@ -158,22 +207,20 @@ def _groups(budget: int, block: int):
     """Partition function over rows sorted by key: links, or the rows of a large group.
 
     At most ``block`` fingerprints of one key are held; a larger group is passed on
-    whole, row by row, to be dealt out over many tasks.
+    whole, in arrays, to be dealt out over many tasks.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held, large = None, np.empty(0, dtype=np.int64), False
 
-        def close() -> list[tuple[int, int, int | None]]:
-            if large or len(held) < 2:
-                return []
-            pairs = _links_under_key(key, held.view(np.uint64), None, budget)
-            return [(_signed(a), _signed(b), None) for a, b in pairs]
+        def close() -> list[tuple[int, int]]:
+            return [] if large or len(held) < 2 else _links_under_key(key, held.view(np.uint64), None, budget)
 
         for batch in batches:
             if not len(batch):
                 continue
-            out: list[tuple[int, int | None, int | None]] = []
+            links: list[tuple[int, int]] = []
+            passed: list[tuple[int, np.ndarray]] = []
             keys, fps = batch["key"].to_numpy(), batch["fp"].to_numpy()
             cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
             sizes = np.diff(cuts)
@@ -182,33 +229,32 @@ def _groups(budget: int, block: int):
             several[[0, -1]] = True
             for at, n in zip(cuts[:-1][several].tolist(), sizes[several].tolist()):
                 if keys[at] != key:
-                    out += close()
+                    links += close()
                     key, held, large = keys[at], np.empty(0, dtype=np.int64), False
                 own = fps[at : at + n]
                 if not large and len(held) + n > block:
-                    out += [(int(x), None, int(key)) for x in held]
+                    passed.append((key, held))
                     held, large = held[:0], True
                 if large:
-                    out += [(int(x), None, int(key)) for x in own]
+                    passed.append((key, own))
                 else:
                     held = np.concatenate([held, own])
-            if out:
-                yield _frame(out)
+            if links:
+                yield _links_frame(links)
+            for at_key, rows in passed:
+                yield pd.DataFrame({"a": rows, "b": _NONE.repeat(len(rows)), "key": at_key})
         if rest := close():
-            yield _frame(rest)
+            yield _links_frame(rest)
 
     return run
 
 
-def _signed(bits: int) -> int:
-    return bits - (1 << BITS) if bits >> (BITS - 1) else bits
+_NONE = pd.array([None], dtype="Int64")
 
 
-def _frame(rows: list) -> pd.DataFrame:
-    columns = list(zip(*rows)) or [(), (), ()]
-    return pd.DataFrame(
-        {n: pd.array(list(c), dtype="Int64") for n, c in zip(("a", "b", "key"), columns)}
-    )
+def _links_frame(links: list[tuple[int, int]]) -> pd.DataFrame:
+    pairs = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "key": _NONE.repeat(len(pairs))})
 
 
 def _explode_keys(budget: int):
@@ -244,9 +290,7 @@ def _large_groups(rows: DataFrame, budget: int, block: int) -> DataFrame:
         own = group["own"].to_numpy()
         sides = (fps, None) if i == j else (fps[own == i], fps[own == j])
         found = _links_under_key(key, *sides, budget)
-        return _frame(
-            [(_signed(a), _signed(b), None) for a, b in found]
-        )
+        return _links_frame(found)
 
     return dealt.groupBy("key", "i", "j").applyInPandas(pairs, _LINKS)
 

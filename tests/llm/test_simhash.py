@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gradus.llm.components import connected_components
-from gradus.llm.simhash import _linked, chain_keys, fingerprint, simhash_components, simhash_links
+from gradus.llm.simhash import _linked, chain_keys, chains, fingerprint, simhash_components, simhash_links
 from tests.llm.helpers import ODD_TEXTS, Forest, docs
 
 
@@ -37,13 +37,27 @@ def test_a_linked_pair_meets_under_exactly_one_key_of_some_chain(value, bits):
     for b in bits:
         other ^= 1 << b
     both = np.array([value, other], dtype=np.uint64)
-    keys, tags = chain_keys(both, 4)
-    met = [
-        tag
-        for column, tag in enumerate(tags.tolist())
-        if keys[0, column] == keys[1, column] and len(_linked(both[:1], both[1:], tag, 4))
-    ]
-    assert bool(met) == (len(bits) <= 4)
+    for budget in (1, 2, 4, 5, 15):
+        keys, tags = chain_keys(both, budget)
+        met = [
+            tag
+            for column, tag in enumerate(tags.tolist())
+            if keys[0, column] == keys[1, column] and len(_linked(both[:1], both[1:], tag, budget))
+        ]
+        assert bool(met) == (len(bits) <= budget)
+        starts = [chains(budget)[tag].first for tag in met]
+        assert len(starts) == len(set(starts))
+
+
+def test_three_segments_make_the_keys():
+    """Keys of at least 28 bits for 4 bits of 64: chance meetings fall with every bit."""
+    values = np.random.default_rng(5).integers(0, 2**63, 200_000).astype(np.uint64)
+    keys, tags = chain_keys(values, 4)
+    assert keys.shape[1] == len(set((keys[0] >> np.uint64(56)).tolist())) == 5 * 11
+    ordered = np.sort(keys, axis=0)
+    meetings = (ordered[1:] == ordered[:-1]).sum()
+    # Under the first two segments alone each of 65 keys had 25 bits: 600 meetings a key.
+    assert meetings < 55 * 200_000**2 / 2 / 2**28
 
 
 def components(values, budget):
@@ -55,23 +69,23 @@ def components(values, budget):
     return [forest.root(i) for i in range(len(values))]
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_links_join_the_classes_of_all_pairs(spark, block):
+@pytest.mark.parametrize("block, budget", [(2048, 4), (3, 4), (2048, 1), (3, 7)])
+def test_links_join_the_classes_of_all_pairs(spark, block, budget):
     rng = np.random.default_rng(3)
     values = [int(v) for v in rng.integers(-(2**63), 2**63 - 1, 40)]
     for v in values[:12]:
         for _ in range(9):
             w = v & (2**64 - 1)
-            for b in rng.choice(64, rng.integers(1, 5), replace=False):
+            for b in rng.choice(64, rng.integers(1, budget + 1), replace=False):
                 w ^= 1 << int(b)
             values.append(w - 2**64 if w >> 63 else w)
     frame = spark.createDataFrame([(v,) for v in values], "fp long")
     forest = Forest(range(len(values)))
     place = {v: i for i, v in reversed(list(enumerate(values)))}
-    for a, b in simhash_links(frame, block=block).collect():
-        assert bin((a ^ b) & (2**64 - 1)).count("1") <= 4
+    for a, b in simhash_links(frame, budget, block).collect():
+        assert bin((a ^ b) & (2**64 - 1)).count("1") <= budget
         forest.join(place[a], place[b])
-    expected = components(values, 4)
+    expected = components(values, budget)
     assert [forest.root(place[v]) for v in values] == [expected[place[v]] for v in values]
 
 
