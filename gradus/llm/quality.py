@@ -4,7 +4,9 @@ A document is described by a few transformed statistics of its whole text.  Each
 class has a mean and a covariance, shrunk towards the pooled covariance and towards a
 sphere; the score is the logistic function of the difference of the log densities
 plus the log odds of the classes.  Means and covariances come from sums over all
-labelled rows, so nothing is sampled; the Cholesky factors are computed once.
+labelled rows, so nothing is sampled; the Cholesky factors are computed once.  The sums are
+whole numbers and a row is scored by itself, so models and scores have the same bits on
+any partitioning.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ STATISTICS = (
 #: Bytes that prose is made of, beside letters and digits: space, tab, line ends, ' , - .
 _PLAIN = [9, 10, 13, 32, 39, 44, 45, 46]
 _WORD_ENDS = frozenset(".,;:?!'\")-")
+#: Statistics are learnt in whole multiples of 1 / UNIT; they are below 32, so a product has 62 bits at most.
+UNIT = 2**26
 
 
 def statistics(text: str | None) -> list[float]:
@@ -73,6 +77,21 @@ def statistics_column(text: Column) -> Column:
     return of(text)
 
 
+def _forward(factor: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Solve ``factor @ x = columns`` for a lower triangular factor.
+
+    Component by component over all columns, so that a column's result does not depend on
+    those beside it, as it may in a matrix product.
+    """
+    solved = np.empty_like(columns)
+    for i, row in enumerate(factor):
+        left = columns[i].copy()
+        for j in range(i):
+            left -= row[j] * solved[j]
+        solved[i] = left / row[i]
+    return solved
+
+
 @dataclass(frozen=True)
 class Discriminant:
     """A fitted model: per class the mean, the Cholesky factor and the log of its share."""
@@ -90,7 +109,7 @@ class Discriminant:
             return np.full(len(rows), sure)
         density = []
         for mean, factor, prior in (low, high):
-            apart = np.linalg.solve(factor, (scaled - mean).T)
+            apart = _forward(factor, (scaled - mean).T)
             density.append(prior - np.log(np.diag(factor)).sum() - 0.5 * (apart**2).sum(axis=0))
         return density[1] - density[0]
 
@@ -105,23 +124,28 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
+def _total(value: Column) -> Column:
+    """Sum of whole numbers below 2^63, of up to 10^10 rows."""
+    return F.sum(value.cast("decimal(19,0)"))
+
+
 def fit(labelled: DataFrame, pooled: float = 0.02, sphere: float = 0.02) -> Discriminant:
     """Fit on (``features``, ``quality``); rows whose label is neither 0 nor 1 say nothing.
 
     ``pooled`` and ``sphere`` are the shares of the pooled covariance and of the
-    sphere of equal variance in each class covariance.  One aggregation; two rows
-    come back.
+    sphere of equal variance in each class covariance.  One aggregation of whole numbers,
+    exact in any order; two rows come back.
     """
     p = len(STATISTICS)
-    x = [F.col("features")[i] for i in range(p)]
+    x = [F.rint(F.col("features")[i] * UNIT).cast("bigint") for i in range(p)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = (
         labelled.where("quality IN (0, 1)")
         .groupBy("quality")
         .agg(
             F.count("*").alias("n"),
-            F.array(*[F.sum(v) for v in x]).alias("sums"),
-            F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("products"),
+            F.array(*[_total(v) for v in x]).alias("sums"),
+            F.array(*[_total(x[i] * x[j]) for i, j in pairs]).alias("products"),
         )
         .collect()
     )
@@ -129,10 +153,12 @@ def fit(labelled: DataFrame, pooled: float = 0.02, sphere: float = 0.02) -> Disc
     for row in sums:
         square = np.zeros((p, p))
         for (i, j), value in zip(pairs, row.products):
-            square[i, j] = square[j, i] = value
-        moments[row.quality] = (row.n, np.array(row.sums), square)
+            square[i, j] = square[j, i] = int(value) / UNIT**2
+        moments[row.quality] = (row.n, np.array([int(v) / UNIT for v in row.sums]), square)
     if not moments:
         return Discriminant(np.zeros(p), np.ones(p), (None, None))
+    # In the order of the labels, not of arrival.
+    moments = dict(sorted(moments.items()))
     total = sum(n for n, _, _ in moments.values())
     centre = sum(s for _, s, _ in moments.values()) / total
     spread = sum(q for _, _, q in moments.values()) / total - np.outer(centre, centre)

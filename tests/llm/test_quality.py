@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from gradus.llm.quality import STATISTICS, fit, keep_good, score_documents, statistics
+from gradus.llm.quality import STATISTICS, _forward, fit, keep_good, score_documents, statistics
 from tests.llm.helpers import ODD_TEXTS, docs
 
 PROSE = "Some words in a plain line, number {i} of many that differ a little. And so it goes on for {j} more."
@@ -73,3 +73,23 @@ def test_odd_tables(spark):
     assert all(np.isfinite(statistics(t)).all() for t in ODD_TEXTS)
     nulls = frame.withColumn("doc_id", F.lit(None).cast("long"))
     assert {r.held_out for r in score_documents(nulls, labels).collect()} == {False}
+
+
+def test_same_bits_on_any_partitioning(spark):
+    texts, quality = corpus(300)
+    frame = docs(spark, texts)
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(quality)], "doc_id long, quality int, toxic int")
+    found = []
+    for n in (1, 3, 13):
+        rows = score_documents(frame.repartition(n, F.xxhash64("text")), labels.repartition(n)).collect()
+        found.append({r.doc_id: r.score.hex() for r in rows})
+    assert len(found[0]) == 300 and found[0] == found[1] == found[2]
+
+
+def test_forward_substitution():
+    rng = np.random.default_rng(1)
+    factor, columns = np.tril(rng.normal(0, 1, (9, 9))) + 3 * np.eye(9), rng.normal(0, 1, (9, 70))
+    solved = _forward(factor, columns)
+    assert np.allclose(factor @ solved, columns)
+    alone = np.concatenate([_forward(factor, columns[:, [i]]) for i in range(70)], axis=1)
+    assert (alone == solved).all()
