@@ -15,9 +15,12 @@ from gradus.streaming.incremental import incremental_extract, incremental_score
 
 
 def stream(spark, sf_dir, name):
-    """A given table as a stream: its file is the first and only one to arrive."""
+    """A given table as a stream: all its files have arrived.
+
+    The path is a glob, which streams take for one file as well as for a folder of files.
+    """
     schema = V.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
 def as_items(turns):

@@ -208,3 +208,27 @@ def test_a_crash_leaves_old_rows_or_new_ones(spark, tmp_path, monkeypatch):
     assert found.count() == 5 and set(found.columns) == {"id", "v", "stream", "batch"}
     with pytest.raises(ValueError):
         C.read_results(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_a_table_is_a_file_or_a_folder(spark, tmp_path, folder):
+    """Large tables are folders of files; a stream has the rows of all."""
+    from checks.q_streaming import stream as table_stream
+
+    rows = [("d", i, f"text {i}") for i in range(6)] + [("d", 5, "text 5"), (None, None, None)]
+    df = spark.createDataFrame(rows, ITEM)
+    if folder:
+        df.repartition(3).write.parquet(str(tmp_path / "items.parquet"))
+    else:
+        df.toPandas().astype({"id": "Int64"}).to_parquet(tmp_path / "items.parquet", index=False)
+    spark.createDataFrame([("x", 9, "other")], ITEM).write.parquet(str(tmp_path / "other.parquet"))
+    query = (
+        table_stream(spark, str(tmp_path), "items")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(rows, key=str)
