@@ -184,6 +184,35 @@ def test_parse_extraction_literal(spark):
     assert found.predicates == ["`P(x)`: a"] and found.reject_reason is None
 
 
+def test_literal_items_are_those_of_the_pattern(spark):
+    lists = ["", "[]", '["a"]', '["a", "b"]', '["a" "b"', '[""]', '["a", "", "b"]', '["a[1', '["a", "b', '"', '""', '"""', 'a"b"c']
+    rows = spark.createDataFrame([(t,) for t in [*lists, None]], "t string")
+    pattern = F.regexp_extract_all("t", F.lit(C.ITEM_PATTERN), 1)
+    made = rows.select(C._literal_items(F.col("t")).alias("a"), pattern.alias("b"))
+    assert all(r.a == r.b for r in made.collect())
+    plan = made.select("a")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "contains(" in plan
+
+
+def test_literal_keys_in_any_case_and_place(spark):
+    texts = ['PREDICATES:["p"]', "predicatepredicates : [\"p\"] 'x'", '""predicateſ" :\n["p"]', 'PredIcates: no, "predıcates": ["p"]']
+    for text in texts:
+        ((found,),) = values(spark, "t string", [(text + ' constants: ["c"] Logical expressionS":[]',)], C.parse_extraction(F.col("t"), "literal"))
+        assert (found.predicates, found.constants, found.logical_expressions) == (["p"], ["c"], [])
+
+
+def test_json_list_escapes_as_one_text_each(spark):
+    import json
+
+    lists = [[], ["a"], ["a", "b"], ["a\",", ",", '","', "\\", "\n\t\x01é/"], ["", ""], [""], ["\uf8fe", "x"], ["a", "b\uf8fe"]]
+    rows = spark.createDataFrame([(x,) for x in [*lists, None, ["a", None]]], "t array<string>")
+    found = [r[0] for r in rows.select(P.json_list(F.col("t"))).collect()]
+    assert found[:-2] == [json.dumps(x, ensure_ascii=False) for x in lists]
+    assert found[-2:] == ["[]", '["a", ""]']
+    plan = rows.select(P.json_list(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json(array(array_join(" in plan
+
+
 def test_each_list_is_parsed_once(spark):
     df = spark.createDataFrame([("x",)], "t string").select(C.parse_extraction(F.upper("t")).alias("p")).select("p.*")
     plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
