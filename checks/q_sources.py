@@ -160,9 +160,9 @@ def src_jsonl_mcqa(spark, sf_dir):
 
 
 def chunked(df, entry):
-    """JSON arrays of bounded size: the records of one source and id range."""
+    """JSON arrays of ``ARRAY_CHUNK`` records: those of one id range, whatever their source."""
     return (
-        df.groupBy("source", F.floor(F.col("doc_id") / ARRAY_CHUNK).alias("chunk"))
+        df.groupBy(F.floor(F.col("doc_id") / ARRAY_CHUNK).alias("chunk"))
         .agg(F.collect_list(F.to_json(entry)).alias("entries"))
         .withColumn("array", F.concat(F.lit("[\n"), F.array_join("entries", ",\n"), F.lit("\n]")))
     )

@@ -112,6 +112,11 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, first, inside, depth, least = 0, "", [0, 1], [0, 0], [0, 0]
 
 
+def _ended(size: int) -> tuple[int, int]:
+    """Bytes of the pieces with their separators, if the last one has its own; Spark drops a byte order mark."""
+    return size, size - _BOM
+
+
 def record_depth(first: str, nested: bool) -> int:
     """Depth of a record: elements of an array, a single object, or elements of an array in it; 0 for none."""
     if first == "[":
@@ -125,7 +130,7 @@ def _chain(nested: bool):
         level = record_depth(first, nested)
         # The last piece has no separator unless the sizes say so.
         size = splits[0]["size"]
-        ended = sum(s["bytes"] for s in splits) in (size, size - _BOM)
+        ended = sum(s["bytes"] for s in splits) in _ended(size)
         inside, depth, began, rows = 0, 0, -1, []
         for split in splits:
             open_end = not ended and split is splits[-1]
@@ -152,12 +157,16 @@ WHOLE, PART, SKELETON = 0, 1, 2
 
 
 class _Cutter:
-    """Cuts the records out of one split."""
+    """Cuts the records out of one split; without a state, the split is a whole file."""
 
-    def __init__(self, batch: pa.RecordBatch) -> None:
+    def __init__(self, batch: pa.RecordBatch, nested: bool) -> None:
         self.file, self.block = split_of(batch)
+        self.nested, self.size, self.bytes = nested, batch.column("_size")[0].as_py(), 0
+        self.alone = "level" not in batch.schema.names
         self.inside, self.depth, self.began, self.level, self.open_end = (
-            batch.column(c)[0].as_py() for c in ("inside", "depth", "began", "level", "open_end")
+            (0, 0, -1, 0, False)
+            if self.alone
+            else (batch.column(c)[0].as_py() for c in ("inside", "depth", "began", "level", "open_end"))
         )
         #: The open record: its text so far, the row it starts in, the split it began in (-1: this one).
         self.open = self.level > 0 and self.depth >= self.level
@@ -186,6 +195,11 @@ class _Cutter:
     def add(self, batch: pa.RecordBatch, last: bool) -> None:
         pieces = _pieces(batch)
         text = _whole(pieces)
+        if self.alone:
+            if not self.level and not self.skeleton and not self.gap:
+                self.level = record_depth(text.lstrip(_SPACE)[:1].decode("latin-1"), self.nested)
+            self.bytes += len(text)
+            self.open_end = self.bytes not in _ended(self.size)
         if last and self.open_end:
             text = text[:-1]
         at, kinds = events(np.frombuffer(text, dtype=np.uint8))
@@ -223,13 +237,13 @@ class _Cutter:
             self.out.append((self.file, self.block, 0, SKELETON, None, None, rest))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], nested: bool) -> Iterator[pa.RecordBatch]:
     """Whole records, parts of cut ones and the skeleton of each split."""
     names = ["_file", "_block", "_row", "kind", "began", "run", "text"]
     types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
     cutter = None
     for batch, last in runs(batches):
-        cutter = cutter or _Cutter(batch)
+        cutter = cutter or _Cutter(batch, nested)
         cutter.add(batch, last)
         if last:
             cutter.finish()
@@ -269,11 +283,14 @@ _FILES = "_file string, whole boolean, others array<string>"
 _FILES_SCHEMA = pa.schema([("_file", pa.string()), ("whole", pa.bool_()), ("others", pa.list_(pa.string()))])
 
 
-def json_records(lines: DataFrame, inside_key: str | None = None) -> tuple[DataFrame, DataFrame]:
+def json_records(
+    lines: DataFrame, inside_key: str | None = None, small: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Texts of the records of JSON files, and of the files that are not whole.
 
     ``lines`` is a text scan with :data:`SEPARATOR` between lines: ``value``, the scan-order columns
-    and ``_size`` of the file.  Records are the elements of a top-level array or one
+    and ``_size`` of the file.  ``small`` is a like scan of other files, each of which is one
+    split: it starts in a known state, so these are read once only.  Records are the elements of a top-level array or one
     top-level object; with ``inside_key``, the elements of the array of that key in
     a top-level object.  Returns (scan order, text) of the records in whole files, and
     (scan order, raw) of broken files, a row for each split with its text: files that do not
@@ -283,11 +300,18 @@ def json_records(lines: DataFrame, inside_key: str | None = None) -> tuple[DataF
     compressed to be split; a compressed one is read as one split.
     """
     lines = lines.select("_file", "_block", "_row", "_size", "value")
-    chain = _chain(inside_key is not None)
-    states = chained(lines.mapInArrow(_summarise, _SUMMARY), chain, _STATES, _STATES_SCHEMA)
-    cut = materialise(
-        with_states(lines.drop("_size"), states).mapInArrow(_cut, _CUT), "json-records"
-    )
+    nested = inside_key is not None
+
+    def cut_nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cut(batches, nested)
+
+    states = chained(lines.mapInArrow(_summarise, _SUMMARY), _chain(nested), _STATES, _STATES_SCHEMA)
+    made = with_states(lines, states).mapInArrow(cut_nested, _CUT)
+    if small is not None:
+        small = small.select(*lines.columns)
+        made = made.unionByName(small.mapInArrow(cut_nested, _CUT))
+        lines = lines.unionByName(small)
+    cut = materialise(made, "json-records")
     skeletons = cut.where(F.col("kind") == SKELETON).select("_file", "_block", "text")
     judged = materialise(per_file(skeletons, _judge(inside_key), _FILES, _FILES_SCHEMA), "json-files")
     parts = (
@@ -309,12 +333,13 @@ def json_records(lines: DataFrame, inside_key: str | None = None) -> tuple[DataF
     broken = judged.where("NOT whole").select("_file")
     if broken.isEmpty():
         return records, records.withColumnRenamed("text", "raw").limit(0)
-    whole = lines.join(broken, "_file", "left_semi").join(states.select(*SPLIT, "open_end"), SPLIT)
+    whole = lines.join(broken, "_file", "left_semi").join(states.select(*SPLIT, "open_end"), SPLIT, "left")
+    ended = F.array_contains(F.array(*_ended(F.first("_size"))), F.sum(F.octet_length("value") + 1))
     raw = (
         whole.groupBy(*SPLIT)
         .agg(
             F.array_sort(F.collect_list(F.struct("_row", "value"))).alias("_pieces"),
-            F.first("open_end").alias("_open"),
+            F.coalesce(F.first("open_end"), ~ended).alias("_open"),
         )
         .select(
             *SPLIT,

@@ -9,6 +9,7 @@ and ``assign_ids`` for sequential ids.
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,16 @@ def _json(
     )
 
 
+def _one_split_bytes(spark: SparkSession) -> int:
+    """Files up to this size are never split: Spark's splits are as large as a file costs to open, at least."""
+
+    def size(name: str) -> int:
+        number, unit = re.fullmatch(r"(\d+) *([kmgtp]?)b?", spark.conf.get(name).strip().lower()).groups()
+        return int(number) << 10 * " kmgtp".index(unit or " ")
+
+    return min(size("spark.sql.files.openCostInBytes"), size("spark.sql.files.maxPartitionBytes"))
+
+
 def _json_records(
     spark: SparkSession, path: str, ddl: str | T.StructType, extension: str, inside_key: str | None = None
 ) -> DataFrame:
@@ -81,13 +92,14 @@ def _json_records(
     A record that does not parse has its text in the corrupt column, and so has every
     split of a file that is not whole.
     """
-    lines = (
-        _reader(spark, extension)
-        .option("lineSep", D.SEPARATOR)
-        .text(path)
-        .select("value", *_scan_order(), F.col("_metadata.file_size").alias("_size"))
-    )
-    records, broken = D.json_records(lines, inside_key)
+    scan = _reader(spark, extension).option("lineSep", D.SEPARATOR).text(path)
+    size = F.col("_metadata.file_size")
+
+    def lines(chosen: Column) -> DataFrame:
+        return scan.where(chosen).select("value", *_scan_order(), size.alias("_size"))
+
+    one_split = size <= _one_split_bytes(spark)
+    records, broken = D.json_records(lines(~one_split), inside_key, lines(one_split))
     fields = (T.StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl).fields
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}

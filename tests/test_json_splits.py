@@ -107,3 +107,44 @@ def test_escapes(text):
             expected.append(i)
         slashes = 0
     assert at.tolist() == expected
+
+
+def test_files_of_one_split_are_read_once(spark, tmp_path, monkeypatch):
+    """Their states are known, so none is looked for; endings and broken files come out as in splits."""
+    texts = {
+        "a.json": json.dumps(entries(30)), "b.json": " \n" + json.dumps(entries(3), indent=1) + "\n",
+        "c.json": '{"question": "one"}', "d.json": '{"question": "two"}\n', "e.json": "[]", "f.json": "17",
+        "g.json": '{"question": "x"', "h.json": '[{"question": "y"},', "i.json": '{"question": "z"}}', "j.json": " \n",
+    }
+    for name, text in texts.items():
+        put(tmp_path, name, text)
+    chained, states = D.chained, []
+
+    def counted(summaries, *more):
+        states.append(summaries.count())
+        return chained(summaries, *more)
+
+    monkeypatch.setattr(D, "chained", counted)
+    ddl = "question string"
+
+    def read():
+        return sorted((r.question or "", r.reject_reason or "", r.raw or "") for r in R.read_union_folder(spark, str(tmp_path), ddl).collect())
+
+    once = read()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    in_splits = read()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert states[0] == 0 and states[1] > 3
+    good = lambda rows: [r for r in rows if not r[1]]
+    assert good(once) == good(in_splits) and len(good(once)) == 35
+    bad = sorted(r[2] for r in once if r[1])
+    assert bad == sorted(texts[k] for k in ("f.json", "g.json", "h.json", "i.json", "j.json"))
+
+
+def test_array_files_hold_as_many_records_as_they_say(spark):
+    from checks.q_sources import ARRAY_CHUNK, chunked
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"src{i % 20}", "t") for i in range(3 * ARRAY_CHUNK)]
+    made = chunked(spark.createDataFrame(rows, "doc_id long, source string, text string"), F.struct("doc_id"))
+    assert [r.n for r in made.select(F.size("entries").alias("n")).collect()] == [ARRAY_CHUNK] * 3
