@@ -9,7 +9,7 @@ from checks import views as V
 from checks.q_items import SEP, joined, strip
 from checks.registry import query
 from gradus.functions import text as X
-from gradus.operators.ordering import assign_ids
+from gradus.operators.ordering import assign_ids, range_partitions
 from gradus.schema import from_file_names
 from gradus.sources import readers as R
 from gradus.sources import sinks as K
@@ -352,9 +352,15 @@ def sink_append_results(spark, sf_dir):
 FROM documents""",
 )
 def assign_ids_scan_order(spark, sf_dir):
-    """Written as several files in the order of their names; ids follow the scan."""
+    """Written as several files in the order of their names; ids follow the scan.
+
+    There are at least four files, and as many as the scan of the table has parts, so that no
+    task's share grows with the table.
+    """
     path = run_path(spark, "scan")
-    documents(spark, sf_dir).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(
+    docs = documents(spark, sf_dir)
+    files = max(4, range_partitions(docs), docs.rdd.getNumPartitions())
+    docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").select(
         "text", F.concat(F.lit("Q "), "doc_id").alias("question")
     ).write.json(path)
     items = R.read_jsonl_mcqa(spark, path, "scan", extension=".json")

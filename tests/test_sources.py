@@ -297,3 +297,22 @@ def test_folders_that_cannot_be_read_are_skipped_when_asked(spark, tmp_path):
         R.read_predictions_folders(spark, folders, glob).collect()
     with pytest.raises(ValueError):
         R.read_predictions_folders(spark, folders, on_error="ignore")
+
+
+def test_files_of_a_scan_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from checks import q_sources as Q
+
+    rows = [(i, f"text {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(Q, "run_path", lambda *a: str(tmp_path / "scan"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        found = Q.assign_ids_scan_order(spark, str(tmp_path)).orderBy("id").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [(r.id, r.context) for r in found] == [(i + 1, t) for i, t in rows]
+    assert len(list((tmp_path / "scan").glob("part-*.json"))) >= 12
