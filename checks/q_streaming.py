@@ -94,10 +94,13 @@ def score_stream(spark, sf_dir):
     """
     path, checkpoints = run_path(spark, "scored"), run_path(spark, "score-checkpoints")
     stats = score_stats(with_raw_score(V.scoring_input(spark, sf_dir)))
-    arriving = stream(spark, sf_dir, "documents")
+    keys = [F.col("source").alias("dataname"), F.col("doc_id").alias("id")]
+    arriving = stream(spark, sf_dir, "documents").select("*", *keys)
     cores = spark.sparkContext.defaultParallelism
     for name, docs in (("en", arriving.filter(F.col("lang") == "en")), ("all", arriving)):
-        incremental_score(V.scoring_input_of(docs), stats, path, f"{checkpoints}/{name}", cores)
+        incremental_score(
+            docs, stats, path, f"{checkpoints}/{name}", cores, prepare=V.scoring_input_of
+        )
     return read_results(spark, path).select(
         "dataname",
         "id",

@@ -117,6 +117,7 @@ def incremental_score(
     checkpoint: str,
     partitions: int | None = None,
     keys: Sequence[str] = KEYS,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Score new items with frozen statistics and append them.
 
@@ -124,6 +125,8 @@ def incremental_score(
     earlier statistics is read first and used for every new item.  Keys scored
     before, under any checkpoint, are skipped.  ``partitions`` deals each batch out
     before scoring; give it when the arriving files are few and cannot be split.
+    ``prepare`` makes the fields that are scored from rows that have the keys; a batch is made
+    whole whenever it is read, so what is costly or wide belongs there and not in ``items``.
     """
     row = stats.select("mean", "variance").first()
     frozen = items.sparkSession.range(0, 1, 1, 1).select(
@@ -133,7 +136,7 @@ def incremental_score(
     def handle(batch: DataFrame, batch_id: int) -> None:
         def work(todo: DataFrame) -> DataFrame:
             dealt = todo if partitions is None else todo.repartition(partitions)
-            return normalise(with_raw_score(dealt), frozen)
+            return normalise(with_raw_score(dealt if prepare is None else prepare(dealt)), frozen)
 
         _add(batch, batch_id, path, stream_id(batch.sparkSession, checkpoint), keys, work)
 

@@ -1,5 +1,6 @@
 """Incremental runs: resume, retry after failures, frozen statistics."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,31 @@ def test_a_table_is_a_file_or_a_folder(spark, tmp_path, folder):
     query.awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(map(tuple, found), key=str) == sorted(rows, key=str)
+
+
+def test_a_batch_prepares_new_rows_only(spark, tmp_path):
+    """Neither the keys of a batch nor rows scored before are made ready for scoring."""
+    ddl = "dataname string, id bigint, words string"
+    stats = score_stats(spark.createDataFrame([(1.0,), (3.0,)], "score_log double"))
+    made = spark.sparkContext.accumulator(0)
+
+    def prepare(df):
+        def count(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        words = F.split("words", " ")
+        step = "array<struct<preconditions:array<string>,deduction_steps:array<struct<expression:string>>>>"
+        return df.mapInArrow(count, df.schema).select(
+            "dataname", "id", words.alias("predicates"), words.alias("constants"),
+            F.array().cast("array<string>").alias("logical_expressions"), F.lit(None).cast(step).alias("option_analysis"),
+        )
+
+    out = str(tmp_path / "out")
+    for run, ids in (("1", [1, 2, None]), ("2", [2, 3])):
+        arrive(spark, tmp_path / run, "x", [("d", i, "a b") for i in ids], ddl)
+        incremental_score(stream(spark, tmp_path / run, ddl), stats, out, str(tmp_path / f"s{run}"), 2, prepare=prepare)
+    found = read_results(spark, out).collect()
+    assert sorted((r.id or 0) for r in found) == [0, 1, 2, 3] and made.value == 4
+    assert {round(r.score_log, 9) for r in found} == {round(float(np.log(5)), 9)}
